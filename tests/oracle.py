@@ -1,0 +1,94 @@
+"""Compare registered queries with their SQL on the same tables. ``python tests/oracle.py [sf_dir] [name ...]``"""
+
+import glob
+import math
+import os
+import sys
+import time
+from decimal import Decimal
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def connect(sf_dir):
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        name = os.path.basename(path)[: -len(".parquet")]
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else repr(round(value, 9))
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    return str(value)
+
+
+def sorted_rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(plain(row[i]) for i in order) for row in rows)
+
+
+SPARK_NAMES = {
+    "VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double",
+    "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp", "JSON": "string",
+}
+
+
+def compare(df, con, sql):
+    """None when equal, else what differs."""
+    rel = con.execute(sql)
+    names = [d[0] for d in rel.description]
+    types = [str(d[1]) for d in rel.description]
+    expected = rel.fetchall()
+    if sorted(df.columns) != sorted(names):
+        return f"columns {sorted(df.columns)} != {sorted(names)}"
+    got_types = dict(df.dtypes)
+    wanted_types = {n: SPARK_NAMES.get(t, t.lower().replace(" ", "")) for n, t in zip(names, types)}
+    if got_types != wanted_types:
+        diff = {n: (got_types[n], wanted_types[n]) for n in names if got_types[n] != wanted_types[n]}
+        return f"types {diff}"
+    got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
+    want = sorted_rows(names, expected)
+    if len(got) != len(want):
+        return f"rows {len(got)} != {len(want)}"
+    for a, b in zip(got, want):
+        if a != b:
+            return f"first difference:\n  spark {a}\n  sql   {b}"
+    return None
+
+
+def main(sf_dir, only):
+    from __spark_entry__ import oracle_sql, queries
+    from roomledger.session import local_session
+
+    spark = local_session(8)
+    con = connect(sf_dir)
+    sqls, failed = oracle_sql(), 0
+    for name, run in queries().items():
+        if only and name not in only:
+            continue
+        start = time.time()
+        try:
+            df = run(spark, sf_dir)
+            problem = compare(df, con, sqls[name]) if name in sqls else f"no SQL, {df.count()} rows"
+        except Exception as error:  # noqa: BLE001
+            problem = f"{type(error).__name__}: {str(error)[:600]}"
+        ok = problem is None or problem.startswith("no SQL")
+        failed += not ok
+        print(f"{'ok  ' if ok else 'FAIL'} {time.time() - start:6.1f}s {name} {problem or ''}", flush=True)
+    print(f"{failed} failed")
+    return failed
+
+
+if __name__ == "__main__":
+    args = sys.argv[1:]
+    folder = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
+    sys.exit(main(folder, set(args)))
