@@ -40,10 +40,15 @@ def split_cutoff(df: DataFrame, date_col: str = "arrival_date", q: float = 0.8)
     return df.agg(F.percentile(F.unix_date(date_col), q).alias("cutoff"))
 
 
-def temporal_split(df: DataFrame, date_col: str = "arrival_date", q: float = 0.8) -> DataFrame:
-    """Rows marked train (before the cutoff) or test (all others, a missing date included) (M1)."""
-    cutoff = split_cutoff(df, date_col, q).scalar()
-    before = F.coalesce(F.unix_date(date_col) < cutoff, F.lit(False))
+def temporal_split(
+    df: DataFrame, date_col: str = "arrival_date", q: float = 0.8, cutoff: float | None = None
+) -> DataFrame:
+    """Rows marked train (before the cutoff) or test (all others, a missing date included) (M1).
+
+    A cutoff already known is used as it is, which spares each later pass finding it again.
+    """
+    limit = split_cutoff(df, date_col, q).scalar() if cutoff is None else F.lit(cutoff)
+    before = F.coalesce(F.unix_date(date_col) < limit, F.lit(False))
     return df.withColumn("split", F.when(before, "train").otherwise("test"))
 
 

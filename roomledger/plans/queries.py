@@ -1,6 +1,7 @@
 """The registered queries: one per operator, each over the whole given tables.
 
-Every query starts from the raw star-schema tables; nothing is cached between queries.
+Queries that build a table (landing, silver, gold, risk, serving, snapshot) start from the raw
+star-schema tables every time. Queries that ask something of a table read the written layers.
 """
 
 from collections.abc import Callable
@@ -19,6 +20,7 @@ from roomledger.schemas import (
     ANALYST, CITY_HOTEL, CITY_MANAGER, CATEGORICAL_FEATURES, ENGINEER, LABEL, MASKED_COLUMNS,
     NUMERIC_FEATURES, RESORT_MANAGER, SOURCE_SCHEMA,
 )
+from roomledger.plans.warehouse import warehouse
 from roomledger.session import work_dir
 from roomledger.sources import ledger, star, tables
 from roomledger.sources.landing import csv_batch, write_csv
@@ -50,30 +52,22 @@ def query(run: Query) -> Query:
     return run
 
 
-def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.bookings(spark, sf_dir)
 
 
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_bookings(bronze(spark, sf_dir))
+def raw_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver_bookings(raw_bronze(spark, sf_dir))
 
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return golds.gold_hotel_month(silver(spark, sf_dir))
-
-
-def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.formula_risk(silver(spark, sf_dir))
-
-
-def serving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = silver(spark, sf_dir)
+def raw_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_silver(spark, sf_dir)
     return serves.build_serving(star.formula_risk(rows), rows)
 
 
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later arrivals with their label and stand-in score."""
-    marked = feats.temporal_split(silver(spark, sf_dir))
+    marked = feats.temporal_split(warehouse(spark, sf_dir).silver)
     return marked.where("split = 'test'").select(
         LABEL, star.formula_score().alias("cancel_probability")
     )
@@ -85,7 +79,7 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed(spark: SparkSession, sf_dir: str) -> str:
     """Bronze table streamed from CSV files that hold the derived bookings."""
     root = work_dir(spark, "landing")
-    write_csv(bronze(spark, sf_dir), f"{root}/csv")
+    write_csv(raw_bronze(spark, sf_dir), f"{root}/csv")
     land_csv(spark, f"{root}/csv", f"{root}/bronze", f"{root}/checkpoints/bronze").awaitTermination()
     return root
 
@@ -114,7 +108,7 @@ def csv_rescue(spark, sf_dir):  # S3, F10
         for f in SOURCE_SCHEMA.fields
     ])
     root = work_dir(spark, "rescue")
-    write_csv(bronze(spark, sf_dir), f"{root}/csv")
+    write_csv(raw_bronze(spark, sf_dir), f"{root}/csv")
     rescued = F.col("_rescued_data")
     return csv_batch(spark, f"{root}/csv", strict).select(
         "hotel",
@@ -129,21 +123,21 @@ def csv_rescue(spark, sf_dir):  # S3, F10
 
 @query
 def silver_table(spark, sf_dir):  # P1-P8, F1, F2
-    return silver(spark, sf_dir).select(*SILVER_COLUMNS)
+    return raw_silver(spark, sf_dir).select(*SILVER_COLUMNS)
 
 
 @query
 def clustered_silver(spark, sf_dir):  # S8, S9
     path = work_dir(spark, "clustered")
     tables.write_clustered(
-        silver(spark, sf_dir).select(*SILVER_COLUMNS), path, ["hotel", "arrival_date"]
+        raw_silver(spark, sf_dir).select(*SILVER_COLUMNS), path, ["hotel", "arrival_date"]
     )
     return tables.read_table(spark, path)
 
 
 @query
 def keys_with_null_token(spark, sf_dir):  # P7
-    rows = typed_bookings(bronze(spark, sf_dir).select(*SOURCE_SCHEMA.names), null_token="<null>")
+    rows = typed_bookings(raw_bronze(spark, sf_dir).select(*SOURCE_SCHEMA.names), null_token="<null>")
     return rows.groupBy("hotel").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_distinct("reservation_id").alias("distinct_keys"),
@@ -153,12 +147,12 @@ def keys_with_null_token(spark, sf_dir):  # P7
 
 @query
 def dq_metrics(spark, sf_dir):  # F1-F5
-    return quality.rule_metrics(typed_bookings(bronze(spark, sf_dir)), quality.BOOKING_RULES)
+    return quality.rule_metrics(typed_bookings(raw_bronze(spark, sf_dir)), quality.BOOKING_RULES)
 
 
 @query
 def rescued_rows(spark, sf_dir):  # F10
-    return profile.rescued_rows(bronze(spark, sf_dir))
+    return profile.rescued_rows(raw_bronze(spark, sf_dir))
 
 
 # ---- gold and its questions -------------------------------------------------
@@ -166,57 +160,57 @@ def rescued_rows(spark, sf_dir):  # F10
 
 @query
 def gold_hotel_month(spark, sf_dir):  # A1
-    return gold(spark, sf_dir)
+    return golds.gold_hotel_month(raw_silver(spark, sf_dir))
 
 
 @query
 def hotel_headline(spark, sf_dir):  # A2
-    return golds.hotel_headline(gold(spark, sf_dir))
+    return golds.hotel_headline(warehouse(spark, sf_dir).gold)
 
 
 @query
 def hotel_compare(spark, sf_dir):  # A8, F9
-    return golds.hotel_compare(gold(spark, sf_dir))
+    return golds.hotel_compare(warehouse(spark, sf_dir).gold)
 
 
 @query
 def portfolio_rollup(spark, sf_dir):  # A10
-    return golds.portfolio_rollup(gold(spark, sf_dir))
+    return golds.portfolio_rollup(warehouse(spark, sf_dir).gold)
 
 
 @query
 def monthly_trend(spark, sf_dir):  # A12
-    return golds.monthly_trend(gold(spark, sf_dir), CITY_HOTEL, TREND_YEAR)
+    return golds.monthly_trend(warehouse(spark, sf_dir).gold, CITY_HOTEL, TREND_YEAR)
 
 
 @query
 def monthly_cancel_rates(spark, sf_dir):  # T4
-    return golds.monthly_cancel_rates(gold(spark, sf_dir), CITY_HOTEL)
+    return golds.monthly_cancel_rates(warehouse(spark, sf_dir).gold, CITY_HOTEL)
 
 
 @query
 def recovery_sensitivity(spark, sf_dir):  # A13
-    return golds.recovery_sensitivity(gold(spark, sf_dir))
+    return golds.recovery_sensitivity(warehouse(spark, sf_dir).gold)
 
 
 @query
 def peak_month(spark, sf_dir):  # W1
-    return golds.peak_months(gold(spark, sf_dir))
+    return golds.peak_months(warehouse(spark, sf_dir).gold)
 
 
 @query
 def top_loss_months(spark, sf_dir):  # T3
-    return golds.top_loss_months(gold(spark, sf_dir))
+    return golds.top_loss_months(warehouse(spark, sf_dir).gold)
 
 
 @query
 def gold_preview(spark, sf_dir):  # T6
-    return golds.gold_preview(gold(spark, sf_dir))
+    return golds.gold_preview(warehouse(spark, sf_dir).gold)
 
 
 @query
 def silver_preview(spark, sf_dir):  # T5
-    return golds.silver_preview(silver(spark, sf_dir))
+    return golds.silver_preview(warehouse(spark, sf_dir).silver)
 
 
 # ---- counts, keys, duplicates ----------------------------------------------
@@ -224,40 +218,35 @@ def silver_preview(spark, sf_dir):  # T5
 
 @query
 def layer_counts(spark, sf_dir):  # A15, V1, V2, V3, V4
-    rows = silver(spark, sf_dir)
-    scored = star.formula_risk(rows)
+    w = warehouse(spark, sf_dir)
     return profile.layer_counts(
-        bronze=bronze(spark, sf_dir),
-        silver=rows,
-        gold=golds.gold_hotel_month(rows),
-        risk=scored,
-        serving=serves.build_serving(scored, rows),
+        bronze=w.bronze, silver=w.silver, gold=w.gold, risk=w.risk, serving=w.serving
     )
 
 
 @query
 def bronze_vs_silver(spark, sf_dir):  # J3, V2
-    return profile.compare_counts(bronze(spark, sf_dir), silver(spark, sf_dir))
+    return profile.compare_counts(warehouse(spark, sf_dir).bronze, warehouse(spark, sf_dir).silver)
 
 
 @query
 def key_uniqueness(spark, sf_dir):  # A14
-    return profile.key_uniqueness(silver(spark, sf_dir), "reservation_id")
+    return profile.key_uniqueness(warehouse(spark, sf_dir).silver, "reservation_id")
 
 
 @query
 def serving_key_uniqueness(spark, sf_dir):  # A14, V4
-    return profile.key_uniqueness(serving(spark, sf_dir), "reservation_id")
+    return profile.key_uniqueness(warehouse(spark, sf_dir).serving, "reservation_id")
 
 
 @query
 def duplicate_profile(spark, sf_dir):  # D2
-    return profile.duplicate_profile(silver(spark, sf_dir), "reservation_id")
+    return profile.duplicate_profile(warehouse(spark, sf_dir).silver, "reservation_id")
 
 
 @query
 def duplicate_keys(spark, sf_dir):  # D2
-    return profile.duplicate_keys(silver(spark, sf_dir), "reservation_id")
+    return profile.duplicate_keys(warehouse(spark, sf_dir).silver, "reservation_id")
 
 
 # ---- risk ------------------------------------------------------------------
@@ -265,47 +254,47 @@ def duplicate_keys(spark, sf_dir):  # D2
 
 @query
 def reservation_risk(spark, sf_dir):  # P9, P10
-    return risk(spark, sf_dir)
+    return star.formula_risk(raw_silver(spark, sf_dir))
 
 
 @query
 def score_check(spark, sf_dir):  # V3
-    return risks.score_check(risk(spark, sf_dir))
+    return risks.score_check(warehouse(spark, sf_dir).risk)
 
 
 @query
 def risk_band_summary(spark, sf_dir):  # A3
-    return risks.risk_band_summary(risk(spark, sf_dir))
+    return risks.risk_band_summary(warehouse(spark, sf_dir).risk)
 
 
 @query
 def risk_band_distribution(spark, sf_dir):  # A6
-    return risks.risk_band_distribution(risk(spark, sf_dir))
+    return risks.risk_band_distribution(warehouse(spark, sf_dir).risk)
 
 
 @query
 def high_risk_by_hotel(spark, sf_dir):  # A7, F9
-    return risks.high_risk_by_hotel(risk(spark, sf_dir))
+    return risks.high_risk_by_hotel(warehouse(spark, sf_dir).risk)
 
 
 @query
 def score_model_version(spark, sf_dir):  # A9
-    return risks.score_model_version(risk(spark, sf_dir))
+    return risks.score_model_version(warehouse(spark, sf_dir).risk)
 
 
 @query
 def risk_triage_share(spark, sf_dir):  # A11
-    return risks.risk_triage(risk(spark, sf_dir))
+    return risks.risk_triage(warehouse(spark, sf_dir).risk)
 
 
 @query
 def hotel_scorecard(spark, sf_dir):  # J4
-    return risks.hotel_scorecard(gold(spark, sf_dir), risk(spark, sf_dir))
+    return risks.hotel_scorecard(warehouse(spark, sf_dir).gold, warehouse(spark, sf_dir).risk)
 
 
 @query
 def newest_version_by_hotel(spark, sf_dir):  # W3
-    versions = risk(spark, sf_dir).groupBy(
+    versions = warehouse(spark, sf_dir).risk.groupBy(
         F.col("hotel").alias("model"), F.col("model_version").alias("version")
     ).agg(F.count(F.lit(1)).alias("scored"))
     return ledger.newest_version(versions)
@@ -316,36 +305,36 @@ def newest_version_by_hotel(spark, sf_dir):  # W3
 
 @query
 def reservation_serving(spark, sf_dir):  # J1, D1, P13
-    return serving(spark, sf_dir)
+    return raw_serving(spark, sf_dir)
 
 
 @query
 def published_snapshot(spark, sf_dir):  # S8, S10, S11, R5
     root = work_dir(spark, "snapshots")
-    tables.publish(serving(spark, sf_dir), root, "reservation_id", ["hotel", "arrival_date"])
+    tables.publish(raw_serving(spark, sf_dir), root, "reservation_id", ["hotel", "arrival_date"])
     return tables.read_snapshot(spark, root)
 
 
 @query
 def kpi_row(spark, sf_dir):  # A4, V5, V8
-    return serves.kpis(serving(spark, sf_dir)).withColumn(
+    return serves.kpis(warehouse(spark, sf_dir).serving).withColumn(
         "avg_cancel_probability", F.round("avg_cancel_probability", 4)
     )
 
 
 @query
 def risk_band_mix(spark, sf_dir):  # A5
-    return serves.band_mix(serving(spark, sf_dir))
+    return serves.band_mix(warehouse(spark, sf_dir).serving)
 
 
 @query
 def at_risk_page(spark, sf_dir):  # T1, T2
-    return serves.list_page(serving(spark, sf_dir), limit="junk", offset=40)
+    return serves.list_page(warehouse(spark, sf_dir).serving, limit="junk", offset=40)
 
 
 @query
 def at_risk_next_page(spark, sf_dir):  # T1
-    return serves.next_page(serving(spark, sf_dir), 0.8, "", limit=9999)
+    return serves.next_page(warehouse(spark, sf_dir).serving, 0.8, "", limit=9999)
 
 
 @query
@@ -353,7 +342,7 @@ def filtered_page(spark, sf_dir):  # F6, T1, T2
     wanted = serves.reservation_filter(
         hotel=CITY_HOTEL, risk_band="high", market_segment="MACHINERY", min_lead_time=30
     )
-    return serves.list_page(serving(spark, sf_dir), wanted, limit=20)
+    return serves.list_page(warehouse(spark, sf_dir).serving, wanted, limit=20)
 
 
 @query
@@ -361,24 +350,24 @@ def filtered_count(spark, sf_dir):  # F6, A17
     wanted = serves.reservation_filter(
         hotel=CITY_HOTEL, risk_band="high", market_segment="", min_lead_time=0
     )
-    return serves.count_page(serving(spark, sf_dir), wanted)
+    return serves.count_page(warehouse(spark, sf_dir).serving, wanted)
 
 
 @query
 def reservation_lookup(spark, sf_dir):  # F8
-    rows = silver(spark, sf_dir)
-    last_key = rows.agg(F.max("reservation_id")).scalar()
-    return serves.lookup(serves.build_serving(star.formula_risk(rows), rows), last_key)
+    w = warehouse(spark, sf_dir)
+    last_key = w.silver.agg(F.max("reservation_id")).scalar()
+    return serves.lookup(w.serving, last_key)
 
 
 @query
 def serving_json(spark, sf_dir):  # S14
-    return to_json_rows(serving(spark, sf_dir))
+    return to_json_rows(warehouse(spark, sf_dir).serving)
 
 
 @query
 def serving_display(spark, sf_dir):  # P14
-    return display_reservations(serving(spark, sf_dir))
+    return display_reservations(warehouse(spark, sf_dir).serving)
 
 
 # ---- actions ---------------------------------------------------------------
@@ -401,7 +390,7 @@ def action_stream(spark, sf_dir):  # S12, R4, F7
 
 @query
 def action_rejects(spark, sf_dir):  # F7, S12
-    return acts.action_rejects(star.booking_actions(spark, sf_dir, silver(spark, sf_dir)))
+    return acts.action_rejects(star.booking_actions(spark, sf_dir, warehouse(spark, sf_dir).silver))
 
 
 @query
@@ -422,18 +411,16 @@ def actions_display(spark, sf_dir):  # P14
 
 @query
 def reservation_detail(spark, sf_dir):  # J2, T7
-    rows = silver(spark, sf_dir)
-    valid = acts.split_actions(star.booking_actions(spark, sf_dir, rows))[0]
-    return acts.reservation_detail(
-        serves.build_serving(star.formula_risk(rows), rows), valid
-    )
+    w = warehouse(spark, sf_dir)
+    valid = acts.split_actions(star.booking_actions(spark, sf_dir, w.silver))[0]
+    return acts.reservation_detail(w.serving, valid)
 
 
 @query
 def actions_from_page(spark, sf_dir):  # S13, S12, V7
     """Actions written for the top high-risk page, read back from the log."""
     page = serves.list_page(
-        serving(spark, sf_dir), serves.reservation_filter(risk_band="high"), limit=25
+        warehouse(spark, sf_dir).serving, serves.reservation_filter(risk_band="high"), limit=25
     )
     when = F.lit(star.SCORED_AT).cast("timestamp")
     drafts = acts.actions_for_page(page, "reconfirmed", "called the guest", "desk", when)
@@ -450,18 +437,18 @@ def actions_from_page(spark, sf_dir):  # S13, S12, V7
 @query
 def model_features(spark, sf_dir):  # P11, P12
     return feats.features(
-        silver(spark, sf_dir), ["reservation_id"], CATEGORICAL_FEATURES, NUMERIC_FEATURES
+        warehouse(spark, sf_dir).silver, ["reservation_id"], CATEGORICAL_FEATURES, NUMERIC_FEATURES
     )
 
 
 @query
 def split_cutoff(spark, sf_dir):  # M1
-    return feats.split_cutoff(silver(spark, sf_dir))
+    return feats.split_cutoff(warehouse(spark, sf_dir).silver)
 
 
 @query
 def split_balance(spark, sf_dir):  # M1, A16
-    return feats.split_balance(feats.temporal_split(silver(spark, sf_dir)))
+    return feats.split_balance(feats.temporal_split(warehouse(spark, sf_dir).silver))
 
 
 @query
@@ -493,8 +480,9 @@ def class_report(spark, sf_dir):  # M12
 
 
 def _fitted(spark: SparkSession, sf_dir: str):
-    """Written silver, marked train or test, and a model fitted on its train rows."""
-    marked = tables.materialize(feats.temporal_split(silver(spark, sf_dir)), "model-input")
+    """Silver marked train or test, and a model fitted on its train rows."""
+    rows = warehouse(spark, sf_dir).silver
+    marked = feats.temporal_split(rows, cutoff=feats.split_cutoff(rows).first()[0])
     return marked, model.fit(marked.where("split = 'train'"), QUICK_MODEL)
 
 
@@ -526,19 +514,19 @@ VIEW_COLUMNS = ["reservation_id", "hotel", "arrival_date", "adr", *MASKED_COLUMN
 
 @query
 def persona_city_view(spark, sf_dir):  # G1, G2, G3, U1, U2
-    return governance.persona_view(silver(spark, sf_dir), [CITY_MANAGER]).select(*VIEW_COLUMNS)
+    return governance.persona_view(warehouse(spark, sf_dir).silver, [CITY_MANAGER]).select(*VIEW_COLUMNS)
 
 
 @query
 def persona_analyst_view(spark, sf_dir):  # G1, G2, G3
-    return governance.persona_view(silver(spark, sf_dir), [ANALYST]).select(*VIEW_COLUMNS)
+    return governance.persona_view(warehouse(spark, sf_dir).silver, [ANALYST]).select(*VIEW_COLUMNS)
 
 
 @query
 def persona_engineer_view(spark, sf_dir):  # G1, G2, G3
-    return governance.persona_view(silver(spark, sf_dir), [ENGINEER]).select(*VIEW_COLUMNS)
+    return governance.persona_view(warehouse(spark, sf_dir).silver, [ENGINEER]).select(*VIEW_COLUMNS)
 
 
 @query
 def persona_visibility(spark, sf_dir):  # G9
-    return governance.visibility(silver(spark, sf_dir), PERSONA_GROUPS)
+    return governance.visibility(warehouse(spark, sf_dir).silver, PERSONA_GROUPS)

@@ -5,9 +5,9 @@ and readers keep the last published snapshot.
 """
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from roomledger.operators.features import feature_lists, split_cutoff, temporal_split
 from roomledger.operators.gold import gold_hotel_month
@@ -22,6 +22,7 @@ from roomledger.sources.tables import (
 from roomledger.streaming.medallion import build_silver, land_csv
 
 MODEL_NAME = "cancel_classifier"
+EPOCH = date(1970, 1, 1)
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,8 @@ def train_and_register(
     What comes back to the driver is one row of metrics at a time.
     """
     spark = silver.sparkSession
-    marked = temporal_split(silver)
+    cutoff = split_cutoff(silver).first()[0]
+    marked = temporal_split(silver, cutoff=cutoff)
     train, test = marked.where("split = 'train'"), marked.where("split = 'test'")
     model = fit(train, params)
     scored = materialize(predict(model, test, [LABEL]), "holdout-scores")
@@ -63,13 +65,12 @@ def train_and_register(
         **threshold_metrics(scored, LABEL, "cancel_probability").first().asDict(),
     }
     sizes = {row.split: row["count"] for row in marked.groupBy("split").count().collect()}
-    cutoff = split_cutoff(silver).select(F.date_from_unix_date(F.floor("cutoff").cast("int"))).first()[0]
     categorical, numeric = feature_lists(silver.columns)
     record = {
         **params.as_dict(),
         "estimator": "GBTClassifier",
         "split": "temporal",
-        "split_cutoff": cutoff,
+        "split_cutoff": EPOCH + timedelta(days=int(cutoff)),
         "n_train": sizes.get("train", 0),
         "n_test": sizes.get("test", 0),
         "n_categorical": len(categorical),
