@@ -66,6 +66,7 @@ def rule_progress(query: StreamingQuery) -> dict[str, int]:
     """Rule failures and rows over the batches a query still remembers."""
     totals: dict[str, int] = {}
     for progress in query.recentProgress:
-        for rule, failed in (progress.observedMetrics.get(RULES_METRIC) or {}).items():
+        counts = progress.observedMetrics.get(RULES_METRIC)
+        for rule, failed in (counts.asDict() if counts else {}).items():
             totals[rule] = totals.get(rule, 0) + failed
     return totals
