@@ -35,6 +35,26 @@ class ModelParams:
 FULL_TRAINING = ModelParams(iterations=300, learning_rate=0.06, depth=8, seed=42)
 
 
+MAX_CATEGORIES = 10_000
+
+
+class TooManyCategories(ValueError):
+    """A categorical feature has more values than an encoding should hold."""
+
+
+def check_categories(rows: DataFrame, categorical: list[str], limit: int = MAX_CATEGORIES) -> None:
+    """Stop before an indexer would gather an unbounded list of categories on the driver.
+
+    The estimate errs by a few percent and needs a fixed amount of memory per column.
+    """
+    if not categorical:
+        return
+    found = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
+    wide = {c: found[c] for c in categorical if found[c] > limit}
+    if wide:
+        raise TooManyCategories(f"more than {limit} categories: {wide}")
+
+
 def fit(train: DataFrame, params: ModelParams = ModelParams(), label: str = LABEL) -> PipelineModel:
     """Fit on the features a table has. Runs the training jobs.
 
@@ -47,6 +67,7 @@ def fit(train: DataFrame, params: ModelParams = ModelParams(), label: str = LABE
     rows = features(train.where(F.col(label).isNotNull()), [label], categorical, numeric).withColumn(
         label, F.col(label).cast("double")
     )
+    check_categories(rows, categorical)
     stages = []
     if categorical:
         indexed = [f"{c}__index" for c in categorical]

@@ -18,17 +18,22 @@ def typed_bookings(bronze: DataFrame, null_token: str | None = None) -> DataFram
     keyed = bronze.withColumn(
         "reservation_id", surrogate_key(business_columns(bronze.columns), null_token)
     )
+    source = dict(bronze.dtypes)
+
+    def typed_as(name, to):
+        return soft_cast(name, to, source.get(name))
+
     typed = keyed.withColumns({
         # identifiers, not measures
         "agent": F.col("agent").cast("string"),
         "company": F.col("company").cast("string"),
-        "is_canceled": soft_cast("is_canceled", "boolean"),
-        "lead_time": soft_cast("lead_time", "int"),
-        "adr": soft_cast("adr", "decimal(10,2)"),
-        "arrival_year": soft_cast("arrival_date_year", "int"),
-        "arrival_day": soft_cast("arrival_date_day_of_month", "int"),
+        "is_canceled": typed_as("is_canceled", "boolean"),
+        "lead_time": typed_as("lead_time", "int"),
+        "adr": typed_as("adr", "decimal(10,2)"),
+        "arrival_year": typed_as("arrival_date_year", "int"),
+        "arrival_day": typed_as("arrival_date_day_of_month", "int"),
         **{
-            name: int_or_zero(name)
+            name: int_or_zero(name, source.get(name))
             for name in (
                 "adults", "children", "babies",
                 "stays_in_weekend_nights", "stays_in_week_nights",

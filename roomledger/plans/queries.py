@@ -129,9 +129,8 @@ def silver_table(spark, sf_dir):  # P1-P8, F1, F2
 @query
 def clustered_silver(spark, sf_dir):  # S8, S9
     path = work_dir(spark, "clustered")
-    tables.write_clustered(
-        raw_silver(spark, sf_dir).select(*SILVER_COLUMNS), path, ["hotel", "arrival_date"]
-    )
+    written = warehouse(spark, sf_dir).silver.select(*SILVER_COLUMNS)
+    tables.write_clustered(written, path, ["hotel", "arrival_date"])
     return tables.read_table(spark, path)
 
 

@@ -15,7 +15,6 @@ from roomledger.operators.serving import build_serving
 from roomledger.operators.silver import silver_bookings
 from roomledger.session import work_dir
 from roomledger.sources import star
-from roomledger.sources.tables import clustered
 
 _OPEN: dict[tuple[str, str], "Warehouse"] = {}
 
@@ -37,9 +36,7 @@ class Warehouse:
 
     @cached_property
     def silver(self) -> DataFrame:
-        return self._written(
-            "silver", lambda: clustered(silver_bookings(self.bronze), ["hotel", "arrival_date"])
-        )
+        return self._written("silver", lambda: silver_bookings(self.bronze))
 
     @cached_property
     def gold(self) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roomledger.functions.parsing import soft_cast
 from roomledger.schemas import SOURCE_SCHEMA
 
 BAD_LINE = "_corrupt_record"
@@ -41,10 +42,11 @@ def with_rescue(raw: DataFrame, schema: T.StructType) -> DataFrame:
     The rescue is a JSON object of the values that are not of their column's type, the whole line
     when it has too many or too few fields, and the file. It is NULL for a clean row. No row is lost.
     """
-    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    values = {f.name: soft_cast(f.name, f.dataType.simpleString(), "string") for f in schema.fields}
     misfits = {
-        f.name: F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
-        for f in typed
+        f.name: F.col(f.name).isNotNull() & values[f.name].isNull()
+        for f in schema.fields
+        if not isinstance(f.dataType, T.StringType)
     }
     anything = F.col(BAD_LINE).isNotNull()
     for misfit in misfits.values():
@@ -52,7 +54,7 @@ def with_rescue(raw: DataFrame, schema: T.StructType) -> DataFrame:
     kept = [F.when(misfit, F.col(name)).alias(name) for name, misfit in misfits.items()]
     rescued = F.to_json(F.struct(*kept, BAD_LINE, F.col("_metadata.file_path").alias("_file_path")))
     return raw.select(
-        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields],
+        *[value.alias(name) for name, value in values.items()],
         F.when(anything, rescued).alias("_rescued_data"),
         F.current_timestamp().alias("_ingested_at"),
         F.col("_metadata.file_path").alias("_source_file"),

@@ -63,6 +63,9 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 def clustered(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
     """Rows ordered so that a scan can skip files and row groups by min and max.
 
+    Range bounds are found by sampling, which runs the input once more: cluster a written table, as
+    a maintenance job does, rather than the end of a long computation.
+
     The last range column is the task a row comes from. Without it, many copies of one row would all
     be in the same range and so in one output task.
     """

@@ -75,6 +75,11 @@ def test_cutoff_interpolates_and_missing_dates_are_tested(spark):
     assert {r.arrival_date: r.split for r in known.collect()} == got
 
 
+def test_too_many_categories_stop_the_fit(split):
+    with pytest.raises(m.TooManyCategories, match="deposit_type"):
+        m.check_categories(split[0], ["hotel", "deposit_type"], limit=1)
+
+
 def test_learns_a_separable_outcome(fitted, split):
     scored = m.predict(fitted, split[1], ["is_canceled"])
     assert ranking_metrics(scored, "is_canceled", "cancel_probability").first().roc_auc > 0.95

@@ -133,7 +133,9 @@ def test_detail(spark, raw_actions):
     serving = spark.createDataFrame([("r1", 0.9), ("r9", 0.1)], "reservation_id string, cancel_probability double")
     valid = a.split_actions(raw_actions)[0]
     got = [(r.reservation_id, r.action_id, r.cancel_probability) for r in a.reservation_detail(serving, valid).collect()]
-    assert got == [("r1", 2, 0.9), ("r1", 1, 0.9), ("r1", 3, 0.9), ("r9", None, 0.1)]
+    assert sorted(got, key=str) == [("r1", 1, 0.9), ("r1", 2, 0.9), ("r1", 3, 0.9), ("r9", None, 0.1)]
+    newest_first = a.reservation_detail(serving, valid, "r1").collect()
+    assert [r.action_id for r in newest_first] == [2, 1, 3]
     one = a.reservation_detail(serving, valid, "r9").collect()
     assert [(r.reservation_id, r.action_type) for r in one] == [("r9", None)]
 
