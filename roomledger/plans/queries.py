@@ -1,7 +1,8 @@
 """The registered queries: one per operator, each over the whole given tables.
 
-Queries that build a table (landing, silver, gold, risk, serving, snapshot) start from the raw
-star-schema tables every time. Queries that ask something of a table read the written layers.
+The first written layer, bronze, is derived from the star-schema tables. A query that builds a layer
+builds it anew from the layer before; one that asks a question reads the layer it is about. The
+flagship, gold_hotel_month, goes from the star-schema tables to the answer in one plan.
 """
 
 from collections.abc import Callable
@@ -52,19 +53,6 @@ def query(run: Query) -> Query:
     return run
 
 
-def raw_bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.bookings(spark, sf_dir)
-
-
-def raw_silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return silver_bookings(raw_bronze(spark, sf_dir))
-
-
-def raw_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raw_silver(spark, sf_dir)
-    return serves.build_serving(star.formula_risk(rows), rows)
-
-
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later arrivals with their label and stand-in score."""
     marked = feats.temporal_split(warehouse(spark, sf_dir).silver)
@@ -79,7 +67,7 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed(spark: SparkSession, sf_dir: str) -> str:
     """Bronze table streamed from CSV files that hold the derived bookings."""
     root = work_dir(spark, "landing")
-    write_csv(raw_bronze(spark, sf_dir), f"{root}/csv")
+    write_csv(warehouse(spark, sf_dir).bronze, f"{root}/csv")
     land_csv(spark, f"{root}/csv", f"{root}/bronze", f"{root}/checkpoints/bronze").awaitTermination()
     return root
 
@@ -108,7 +96,7 @@ def csv_rescue(spark, sf_dir):  # S3, F10
         for f in SOURCE_SCHEMA.fields
     ])
     root = work_dir(spark, "rescue")
-    write_csv(raw_bronze(spark, sf_dir), f"{root}/csv")
+    write_csv(warehouse(spark, sf_dir).bronze, f"{root}/csv")
     rescued = F.col("_rescued_data")
     return csv_batch(spark, f"{root}/csv", strict).select(
         "hotel",
@@ -123,7 +111,7 @@ def csv_rescue(spark, sf_dir):  # S3, F10
 
 @query
 def silver_table(spark, sf_dir):  # P1-P8, F1, F2
-    return raw_silver(spark, sf_dir).select(*SILVER_COLUMNS)
+    return silver_bookings(warehouse(spark, sf_dir).bronze).select(*SILVER_COLUMNS)
 
 
 @query
@@ -136,7 +124,7 @@ def clustered_silver(spark, sf_dir):  # S8, S9
 
 @query
 def keys_with_null_token(spark, sf_dir):  # P7
-    rows = typed_bookings(raw_bronze(spark, sf_dir).select(*SOURCE_SCHEMA.names), null_token="<null>")
+    rows = typed_bookings(warehouse(spark, sf_dir).bronze.select(*SOURCE_SCHEMA.names), null_token="<null>")
     return rows.groupBy("hotel").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_distinct("reservation_id").alias("distinct_keys"),
@@ -146,12 +134,12 @@ def keys_with_null_token(spark, sf_dir):  # P7
 
 @query
 def dq_metrics(spark, sf_dir):  # F1-F5
-    return quality.rule_metrics(typed_bookings(raw_bronze(spark, sf_dir)), quality.BOOKING_RULES)
+    return quality.rule_metrics(typed_bookings(warehouse(spark, sf_dir).bronze), quality.BOOKING_RULES)
 
 
 @query
 def rescued_rows(spark, sf_dir):  # F10
-    return profile.rescued_rows(raw_bronze(spark, sf_dir))
+    return profile.rescued_rows(warehouse(spark, sf_dir).bronze)
 
 
 # ---- gold and its questions -------------------------------------------------
@@ -159,7 +147,7 @@ def rescued_rows(spark, sf_dir):  # F10
 
 @query
 def gold_hotel_month(spark, sf_dir):  # A1
-    return golds.gold_hotel_month(raw_silver(spark, sf_dir))
+    return golds.gold_hotel_month(silver_bookings(star.bookings(spark, sf_dir)))
 
 
 @query
@@ -253,7 +241,7 @@ def duplicate_keys(spark, sf_dir):  # D2
 
 @query
 def reservation_risk(spark, sf_dir):  # P9, P10
-    return star.formula_risk(raw_silver(spark, sf_dir))
+    return star.formula_risk(warehouse(spark, sf_dir).silver)
 
 
 @query
@@ -304,13 +292,14 @@ def newest_version_by_hotel(spark, sf_dir):  # W3
 
 @query
 def reservation_serving(spark, sf_dir):  # J1, D1, P13
-    return raw_serving(spark, sf_dir)
+    w = warehouse(spark, sf_dir)
+    return serves.build_serving(w.risk, w.silver)
 
 
 @query
 def published_snapshot(spark, sf_dir):  # S8, S10, S11, R5
-    root = work_dir(spark, "snapshots")
-    tables.publish(raw_serving(spark, sf_dir), root, "reservation_id", ["hotel", "arrival_date"])
+    root, w = work_dir(spark, "snapshots"), warehouse(spark, sf_dir)
+    tables.publish(serves.build_serving(w.risk, w.silver), root, "reservation_id", ["hotel", "arrival_date"])
     return tables.read_snapshot(spark, root)
 
 

@@ -15,6 +15,7 @@ from roomledger.operators.serving import build_serving
 from roomledger.operators.silver import silver_bookings
 from roomledger.session import work_dir
 from roomledger.sources import star
+from roomledger.sources.tables import write_balanced
 
 _OPEN: dict[tuple[str, str], "Warehouse"] = {}
 
@@ -32,7 +33,9 @@ class Warehouse:
 
     @cached_property
     def bronze(self) -> DataFrame:
-        return self._written("bronze", lambda: star.bookings(self.spark, self.sf_dir))
+        path = f"{self.root}/bronze"
+        write_balanced(star.bookings(self.spark, self.sf_dir), path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def silver(self) -> DataFrame:

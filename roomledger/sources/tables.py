@@ -83,6 +83,15 @@ def write_clustered(df: DataFrame, path: str, columns: list[str], partitions: in
     clustered(df, columns, partitions).write.mode("overwrite").parquet(path)
 
 
+def write_balanced(df: DataFrame, path: str) -> None:
+    """Write files of even size however skewed or few the input's partitions are.
+
+    Spark splits and joins partitions by their measured size, so one hot key makes no huge file and
+    many small inputs make no small files.
+    """
+    df.hint("rebalance").write.mode("overwrite").parquet(path)
+
+
 def require_unique_key(df: DataFrame, key: str) -> int:
     """Number of rows; InvalidKey when the key is NULL or repeats.
 
