@@ -48,11 +48,13 @@ _ADR = (
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw bookings in the landing schema, with lineage columns and the customer they belong to.
 
-    A line booked in February appears twice, which gives exact duplicates.
+    A line booked in February appears twice, which gives exact duplicates. Orders grow with the lines,
+    so the two are always joined by a shuffle, never by a broadcast that happens to fit at small scale.
     """
+    orders = table(spark, sf_dir, "orders").hint("merge")
     joined = (
         table(spark, sf_dir, "lineitem")
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .withColumns({
