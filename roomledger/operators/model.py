@@ -13,7 +13,7 @@ from roomledger.operators.features import feature_lists, features
 from roomledger.operators.metrics import ranking_from_steps
 from roomledger.operators.risk import stamp_scores
 from roomledger.schemas import LABEL
-from roomledger.session import shared_dir
+from roomledger.session import use_checkpoints
 from roomledger.sources.tables import materialize
 
 
@@ -63,7 +63,7 @@ def fit(train: DataFrame, params: ModelParams = ModelParams(), label: str = LABE
     """
     categorical, numeric = feature_lists(train.columns)
     # tree training cuts its lineage there every few iterations
-    train.sparkSession.sparkContext.setCheckpointDir(shared_dir(train.sparkSession))
+    use_checkpoints(train.sparkSession)
     rows = features(train.where(F.col(label).isNotNull()), [label], categorical, numeric).withColumn(
         label, F.col(label).cast("double")
     )

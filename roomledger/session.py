@@ -35,12 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fresh = tempfile.mkdtemp(prefix="roomledger-")
-    spark.conf.set("spark.checkpoint.dir", fresh)
-    spark.sparkContext.setCheckpointDir(fresh)
-    return fresh
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="roomledger-"))
+    return context.getCheckpointDir()
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Have Spark's own checkpoints written to the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
