@@ -1,7 +1,6 @@
 """Persona views and the policy catalog."""
 
 from collections.abc import Iterable, Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +8,7 @@ from pyspark.sql import types as T
 
 from roomledger.functions.access import hotel_row_filter, mask_pii
 from roomledger.schemas import ANALYST, CITY_MANAGER, ENGINEER, MASKED_COLUMNS, RESORT_MANAGER
+from roomledger.sources.tables import materialize
 
 # ---------------------------------------------------------------------------
 # Groups, tags, grants and lineage edges.
@@ -62,47 +62,6 @@ LINEAGE = [
 MASKS = [("silver_bookings", column, "mask_pii") for column in MASKED_COLUMNS]
 ROW_FILTERS = [("silver_bookings", "hotel_row_filter", "hotel")]
 
-TABLE_COMMENTS = {
-    "bronze_bookings": "Raw bookings as they landed from the source files; engineers only.",
-    "silver_bookings": "Typed and checked bookings with masks and a per-hotel row filter.",
-    "gold_hotel_month": "Cancellation and revenue figures for each hotel and arrival month.",
-}
-
-COLUMN_COMMENTS = {
-    "silver_bookings": {
-        "reservation_id": "Key made from the booking's content; exact copies share it.",
-        "hotel": "Which of the two properties; the row filter works on it.",
-        "is_canceled": "True when the booking was canceled; what the model predicts.",
-        "lead_time": "Days from booking to arrival.",
-        "arrival_date": "Day of arrival.",
-        "arrival_year": "Year of arrival.",
-        "stay_nights": "Weekend nights and week nights together.",
-        "adr": "Average daily rate, two decimals.",
-        "est_lost_revenue": "Rate times nights of a canceled booking, else 0; a proxy.",
-        "country": "Country the guest comes from; masked for all but engineers.",
-        "agent": "Travel agent number; masked for all but engineers.",
-        "company": "Company number; masked for all but engineers.",
-        "market_segment": "Market the booking belongs to.",
-        "distribution_channel": "Channel the booking came through.",
-        "deposit_type": "Whether a deposit was paid and can be returned.",
-        "customer_type": "Kind of contract behind the booking.",
-        "previous_cancellations": "Earlier bookings the guest canceled.",
-    },
-    "gold_hotel_month": {
-        "hotel": "Which of the two properties.",
-        "arrival_year": "Year of arrival.",
-        "arrival_month": "Month of arrival, 1 to 12.",
-        "arrival_month_start": "First day of the month of arrival.",
-        "bookings": "Bookings arriving that month.",
-        "cancellations": "How many of them were canceled.",
-        "cancel_rate": "Canceled share of the bookings; weigh by bookings when combining months.",
-        "avg_adr": "Mean daily rate of the bookings.",
-        "room_nights": "Nights booked.",
-        "canceled_room_nights": "Nights of canceled bookings.",
-        "est_lost_revenue": "Sum of the lost-revenue proxy.",
-    },
-}
-
 
 def persona_view(silver: DataFrame, groups: Iterable[str]) -> DataFrame:
     """What a member of the groups sees of silver: rows filtered first, then columns masked.
@@ -140,27 +99,11 @@ def visibility(silver: DataFrame, personas: Mapping[str, Iterable[str]]) -> Data
     )
 
 
-def dictionary(spark: SparkSession) -> DataFrame:
-    """Table and column comments: table, column (NULL for the table itself), comment."""
-    rows = [(table, None, text) for table, text in TABLE_COMMENTS.items()]
-    rows += [
-        (table, column, text)
-        for table, columns in COLUMN_COMMENTS.items()
-        for column, text in columns.items()
-    ]
-    return spark.createDataFrame(rows, "table string, column string, comment string")
-
-
-def with_comments(df: DataFrame, table: str) -> DataFrame:
-    """The same rows with the dictionary's comments in the schema, which tables keep."""
-    comments = COLUMN_COMMENTS.get(table, {})
-    return reduce(
-        lambda out, name: out.withMetadata(
-            name, {**out.schema[name].metadata, "comment": comments[name]}
-        ),
-        [name for name in df.columns if name in comments],
-        df,
-    )
+def with_comments(df: DataFrame, comments: Mapping[str, str]) -> DataFrame:
+    """The same rows with the caller's column comments in the schema, which written tables keep."""
+    for name in set(df.columns) & set(comments):
+        df = df.withMetadata(name, {**df.schema[name].metadata, "comment": comments[name]})
+    return df
 
 
 def tags(spark: SparkSession) -> DataFrame:
@@ -199,24 +142,26 @@ def lineage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LINEAGE, "upstream string, downstream string")
 
 
-def lineage_closure(edges: DataFrame, max_depth: int = 8) -> DataFrame:
+def lineage_closure(edges: DataFrame) -> DataFrame:
     """Every table pair connected by lineage, with the length of the shortest way.
 
-    Joins one step further each round, for as many rounds as the catalog is deep.
+    Each round goes one step on from the pairs that the round before found and keeps those not seen
+    yet, until there are none. So the longest shortest way decides how many rounds there are, and a
+    cycle ends like anything else. Rounds are written, which keeps every plan as small as the first.
     """
-    step = edges.select(F.col("upstream").alias("via"), F.col("downstream").alias("next"))
-    reach = edges.select("upstream", "downstream", F.lit(1).alias("depth"))
-    frontier = reach
-    for depth in range(2, max_depth + 1):
-        frontier = (
-            frontier.join(step, F.col("downstream") == F.col("via"))
-            .select("upstream", F.col("next").alias("downstream"), F.lit(depth).alias("depth"))
-            .distinct()
+    step = edges.select(F.col("upstream").alias("via"), F.col("downstream").alias("next")).distinct()
+    reach = materialize(edges.select("upstream", "downstream").distinct().withColumn("depth", F.lit(1)), "lineage")
+    frontier, depth = reach, 1
+    while not frontier.isEmpty():
+        depth += 1
+        further = frontier.join(step, F.col("downstream") == F.col("via")).select(
+            "upstream", F.col("next").alias("downstream")
+        ).distinct()
+        frontier = materialize(
+            further.join(reach, ["upstream", "downstream"], "left_anti").withColumn("depth", F.lit(depth)), "lineage"
         )
-        if frontier.isEmpty():
-            break
         reach = reach.union(frontier)
-    return reach.groupBy("upstream", "downstream").agg(F.min("depth").alias("depth"))
+    return reach
 
 
 def masks(spark: SparkSession) -> DataFrame:
@@ -230,15 +175,14 @@ def row_filters(spark: SparkSession) -> DataFrame:
 
 
 def described_columns(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-    """Columns of a live table with type, comment, tag and mask: the policy catalog as one frame."""
+    """Columns of a live table with type, tag and mask: the policy catalog as one frame."""
     live = spark.createDataFrame(
         [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(schema.fields)],
         "position int, column string, type string",
     )
     of_table = F.col("table") == table
     return (
-        live.join(dictionary(spark).where(of_table).select("column", "comment"), "column", "left")
-        .join(
+        live.join(
             tags(spark).where(of_table & F.col("column").isNotNull())
             .select("column", F.col("value").alias("data_class")),
             "column", "left",
@@ -247,5 +191,5 @@ def described_columns(spark: SparkSession, table: str, schema: T.StructType) ->
             masks(spark).where(of_table).select("column", F.col("function").alias("mask")),
             "column", "left",
         )
-        .select("position", "column", "type", "comment", "data_class", "mask")
+        .select("position", "column", "type", "data_class", "mask")
     )

@@ -54,19 +54,9 @@ def test_visibility_in_one_pass(silver):
     }
 
 
-def test_dictionary_and_comments(spark, silver):
-    words = g.dictionary(spark)
-    sizes = {r.table: r["count"] for r in words.where("column IS NOT NULL").groupBy("table").count().collect()}
-    assert sizes == {"silver_bookings": 17, "gold_hotel_month": 11}
-    assert words.where("column IS NULL").count() == 3
-    described = g.with_comments(silver, "silver_bookings")
-    assert described.schema["adr"].metadata["comment"].startswith("Average daily rate")
-    assert set(g.COLUMN_COMMENTS["silver_bookings"]) <= set(silver.columns)
-
-
 def test_comments_survive_a_write(spark, silver, folder):
-    g.with_comments(silver, "silver_bookings").write.parquet(folder)
-    assert "comment" in spark.read.parquet(folder).schema["country"].metadata
+    g.with_comments(silver, {"country": "Where the guest is from.", "no_such": "x"}).write.parquet(folder)
+    assert spark.read.parquet(folder).schema["country"].metadata["comment"] == "Where the guest is from."
 
 
 def test_tags_drive_the_masks(spark):
@@ -96,8 +86,18 @@ def test_lineage_closure(spark):
     assert len(got) == 8
 
 
+def test_lineage_has_no_depth_and_cycles_end(spark):
+    chain = spark.createDataFrame([(f"t{i:02d}", f"t{i + 1:02d}") for i in range(12)], "upstream string, downstream string")
+    got = {(r.upstream, r.downstream): r.depth for r in g.lineage_closure(chain).collect()}
+    assert len(got) == 78 and got["t00", "t12"] == 12
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "b")], "upstream string, downstream string")
+    assert sorted(map(tuple, g.lineage_closure(ring).collect())) == [
+        ("a", "a", 3), ("a", "b", 1), ("a", "c", 2), ("b", "a", 2), ("b", "b", 3), ("b", "c", 1),
+        ("c", "a", 1), ("c", "b", 2), ("c", "c", 3)]
+
+
 def test_described_columns(spark, silver):
     rows = {r.column: r for r in g.described_columns(spark, "silver_bookings", silver.schema).collect()}
     assert (rows["country"].mask, rows["country"].data_class) == ("mask_pii", "pii")
     assert rows["adr"].data_class == "financial" and rows["adr"].type == "decimal(10,2)"
-    assert rows["meal"].comment is None
+    assert rows["meal"].mask is None
