@@ -4,8 +4,11 @@ Plain folders have no transactions, so nothing is overwritten while it may be re
 written beside the old one and only then named in a pointer table.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +18,7 @@ POINTER_SCHEMA = T.StructType([
     T.StructField("snapshot", T.LongType()),
     T.StructField("row_count", T.LongType()),
     T.StructField("published_at", T.TimestampType()),
+    T.StructField("made_for", T.StringType()),
 ])
 
 
@@ -60,6 +64,48 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str, start: int = 1, order: list | None = None) -> DataFrame:
+    """A written copy of the rows with consecutive numbers, in the given order if there is one.
+
+    Numbering everything in one sorted task would not scale. The rows are written with the task they
+    come from and their place in it, and a task's numbers begin after those of the tasks before it.
+    All that has to be put in order is one count per task.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialize(
+        df.withColumn("_place", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_place", 33)),
+        "numbered",
+    )
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(F.col("_task").alias("task"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .select("task", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    )
+    in_task = F.col("_place") - F.shiftleft("_task", 33)
+    return placed.join(starts, F.col("_task") == F.col("task")).withColumn(
+        column, F.lit(start) + F.col("before") + in_task
+    ).select(*[c for c in df.columns if c != column], column)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that this library wrote; false when there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, purpose: str) -> Iterator[str]:
+    """Folder in the shared directory for tables that nothing reads once the block is left."""
+    path = work_dir(spark, purpose)
+    try:
+        yield path
+    finally:
+        remove(spark, path)
+
+
 def clustered(df: DataFrame, columns: list[str], partitions: int | None = None) -> DataFrame:
     """Rows ordered so that a scan can skip files and row groups by min and max.
 
@@ -124,23 +170,47 @@ def current_snapshot(spark: SparkSession, root: str) -> int | None:
     return pointer.agg(F.max("snapshot")).first()[0]
 
 
-def publish(df: DataFrame, root: str, key: str, cluster_by: list[str] | None = None) -> int:
+def published_for(spark: SparkSession, root: str, made_for: str) -> int | None:
+    """The snapshot that was published under that name, if any."""
+    if not exists(spark, _pointer(root)):
+        return None
+    pointer = spark.read.schema(POINTER_SCHEMA).parquet(_pointer(root))
+    return pointer.where(F.col("made_for") == made_for).agg(F.max("snapshot")).first()[0]
+
+
+def publish(
+    df: DataFrame, root: str, key: str | None, cluster_by: list[str] | None = None,
+    keep: int | None = None, made_for: str | None = None,
+) -> int:
     """Write a complete new snapshot, check its key, then make it the current one.
 
-    What is checked is what was written, so the input is computed once. A run that fails before the
-    last step leaves readers on the old snapshot, and the next run writes over its leftovers.
+    What is checked is what was written, so the input is computed once, and clustering, which samples
+    its input, works on a written copy. A run that fails before the last step leaves readers on the
+    old snapshot, and the next run writes over its leftovers. ``keep`` removes all but so many of the
+    newest snapshots afterwards. A snapshot ``made_for`` something that has one is not made again.
     """
     spark = df.sparkSession
+    if made_for is not None and (done := published_for(spark, root, made_for)) is not None:
+        return done
     snapshot = (current_snapshot(spark, root) or 0) + 1
     folder = _folder(root, snapshot)
-    ordered = clustered(df, cluster_by) if cluster_by else df
-    ordered.write.mode("overwrite").parquet(folder)
-    rows = require_unique_key(spark.read.parquet(folder), key)
+    if cluster_by:
+        with scratch(spark, "unclustered") as path:
+            df.write.parquet(path)
+            clustered(spark.read.schema(df.schema).parquet(path), cluster_by).write.mode("overwrite").parquet(folder)
+    else:
+        df.write.mode("overwrite").parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    rows = written.count() if key is None else require_unique_key(written, key)
     spark.range(1).select(
         F.lit(snapshot).cast("long").alias("snapshot"),
         F.lit(rows).cast("long").alias("row_count"),
         F.current_timestamp().alias("published_at"),
+        F.lit(made_for).cast("string").alias("made_for"),
     ).coalesce(1).write.mode("append").parquet(_pointer(root))
+    for old in range(snapshot - keep, 0, -1) if keep else ():
+        if not remove(spark, _folder(root, old)):
+            break  # what is older went earlier
     return snapshot
 
 

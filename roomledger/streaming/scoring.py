@@ -32,14 +32,15 @@ def snapshot_stream(
 ) -> StreamingQuery:
     """Publish a new snapshot whenever scores have been added.
 
-    The stream is only the trigger: a snapshot is always the whole of both tables.
+    The stream is only the trigger: a snapshot is always the whole of both tables. It is named after
+    its batch, so a batch that is run again after a failure publishes nothing twice.
     """
     schema = spark.read.parquet(risk_dir).schema
 
     def republish(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         risk, silver = session.read.parquet(risk_dir), session.read.parquet(silver_dir)
-        publish(build_serving(risk, silver), root, "reservation_id")
+        publish(build_serving(risk, silver), root, "reservation_id", made_for=f"{checkpoint}#{number}")
 
     return (
         spark.readStream.schema(schema)
