@@ -38,22 +38,27 @@ def party(adults, children, babies) -> Column:
     return F.concat_ws("/", *[_named(c).cast("string") for c in (adults, children, babies)])
 
 
-def iso_timestamp(col) -> Column:
-    """ISO text; the fraction appears only when there is one."""
+def iso_timestamp(col, offset: bool = False) -> Column:
+    """ISO text; the fraction appears only when there is one, the session zone's offset when asked for."""
     ts = _named(col)
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.date_format(ts, ".SSSSSS")
-    return F.concat(whole, F.when(fraction == ".000000", "").otherwise(fraction))
+    text = F.concat(whole, F.when(fraction == ".000000", "").otherwise(fraction))
+    return F.concat(text, F.date_format(ts, "xxx")) if offset else text
 
 
 def json_value(field: T.StructField) -> Column:
-    """One column as JSON can carry it: dates and times as ISO text, decimals as doubles."""
+    """One column as JSON can carry it: dates and times as ISO text, decimals as doubles.
+
+    A TIMESTAMP is an instant, so its text has the offset and means the same in every session zone. A
+    TIMESTAMP_NTZ is what a clock showed and has none.
+    """
     col = F.col(field.name)
     kind = field.dataType
     if isinstance(kind, T.DateType):
         col = F.date_format(col, "yyyy-MM-dd")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        col = iso_timestamp(col)
+        col = iso_timestamp(col, offset=isinstance(kind, T.TimestampType))
     elif isinstance(kind, T.DecimalType):
         col = col.cast("double")
     return col.alias(field.name)

@@ -1,16 +1,19 @@
 """The served snapshot and the reads over it."""
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.schemas import DEFAULT_PAGE_SIZE, MAX_PAGE_SIZE, RISK_BANDS, SERVING_COLUMNS
+from roomledger.sources.tables import materialize
 
 DETAIL_COLUMNS = [
     "arrival_date", "lead_time", "adr", "market_segment", "adults", "children", "babies",
     "deposit_type", "customer_type",
 ]
+DEEP_PAGE = 10_000  # rows a top-k plan may skip
 SCORE_COLUMNS = ["scored_at", "model_version", "cancel_probability", "hotel", "risk_band"]
 
 
@@ -39,22 +42,19 @@ def build_serving(risk: DataFrame, silver: DataFrame) -> DataFrame:
     return scores.join(details, "reservation_id", "left").select(*SERVING_COLUMNS)
 
 
-def clamp_limit(raw) -> int:
-    """Page size from request text: 1 to 200, 50 when unreadable."""
-    try:
-        size = int(raw)
-    except (TypeError, ValueError):
-        return DEFAULT_PAGE_SIZE
-    return min(max(size, 1), MAX_PAGE_SIZE)
+def page_window(limit=None, offset=None) -> tuple[int, int]:
+    """(rows, rows to skip) of a page from what a request says.
 
+    Whole numbers, as such or as text, are brought into 1..200 and 0 upwards. What is no whole number
+    gives a page of the usual size, from the start.
+    """
+    def whole(value):
+        text = str(value).strip()
+        return int(text) if re.fullmatch(r"[+-]?[0-9]+", text) else None
 
-def clamp_offset(raw) -> int:
-    """Rows to skip from request text: 0 or more, 0 when unreadable."""
-    try:
-        skip = int(raw)
-    except (TypeError, ValueError):
-        return 0
-    return max(skip, 0)
+    rows, skip = whole(limit), whole(offset)
+    rows = DEFAULT_PAGE_SIZE if rows is None else sorted((1, rows, MAX_PAGE_SIZE))[1]
+    return rows, skip if skip and skip > 0 else 0
 
 
 def reservation_filter(
@@ -62,7 +62,7 @@ def reservation_filter(
 ) -> Column:
     """All given conditions together; an empty text counts as not given, a lead time of 0 does."""
     if risk_band and risk_band not in RISK_BANDS:
-        raise ValueError(f"unknown risk_band: {risk_band}")
+        raise ValueError(f"no such risk band: {risk_band!r}; there are {sorted(RISK_BANDS)}")
     condition = F.lit(True)
     for column, wanted in (
         ("hotel", hotel), ("risk_band", risk_band), ("market_segment", market_segment),
@@ -74,18 +74,48 @@ def reservation_filter(
     return condition
 
 
+def _ordered(serving: DataFrame, condition: Column | None) -> DataFrame:
+    matching = serving if condition is None else serving.where(condition)
+    return matching.orderBy(F.desc("cancel_probability"), "reservation_id")
+
+
 def list_page(serving: DataFrame, condition: Column | None = None, limit=None, offset=None) -> DataFrame:
     """A page of reservations, most likely to cancel first.
 
     The key breaks ties, so pages do not overlap. Spark keeps offset + limit rows per task, which
-    suits the first pages; use ``next_page`` to go deep.
+    suits the first pages; beyond DEEP_PAGE rows the page comes from ``deep_page``.
+    """
+    rows, skip = page_window(limit, offset)
+    if skip > DEEP_PAGE:
+        return deep_page(serving, condition, rows, skip)
+    return _ordered(serving, condition).offset(skip).limit(rows)
+
+
+def deep_page(serving: DataFrame, condition: Column | None, rows: int, skip: int) -> DataFrame:
+    """The page behind so many rows that no task should gather them.
+
+    The order's keys are written in ranges and counted per range. Only the ranges that the page lies
+    in are sorted, and their keys fetch the rows. Equal rows stay in one range, which is cut by count.
     """
     matching = serving if condition is None else serving.where(condition)
-    return (
-        matching.orderBy(F.desc("cancel_probability"), "reservation_id")
-        .offset(clamp_offset(offset))
-        .limit(clamp_limit(limit))
+    keys = matching.select("cancel_probability", "reservation_id")
+    ranged = materialize(
+        materialize(keys, "page-keys")
+        .repartitionByRange(F.desc("cancel_probability"), "reservation_id")
+        .withColumn("range", F.spark_partition_id()),
+        "page-ranges",
     )
+    before, wanted, inside = 0, [], None
+    for row in ranged.groupBy("range").count().orderBy("range").toLocalIterator():
+        if before + row["count"] > skip and before < skip + rows:
+            inside = before if inside is None else inside
+            wanted.append(row["range"])
+        before += row["count"]
+    if not wanted:
+        return serving.limit(0)
+    page = _ordered(ranged.where(F.col("range").isin(wanted)), None).offset(skip - inside).limit(rows)
+    chosen = F.broadcast(page.select("reservation_id"))  # at most a page of keys
+    return _ordered(matching.join(chosen, "reservation_id", "left_semi"), None).limit(rows)
 
 
 def next_page(

@@ -33,14 +33,19 @@ def ids(df):
     return [row.reservation_id for row in df.collect()]
 
 
-@pytest.mark.parametrize("raw, size", [(None, 50), ("10", 10), (0, 1), (9999, 200), ("junk", 50)])
-def test_clamp_limit(raw, size):
-    assert s.clamp_limit(raw) == size
+@pytest.mark.parametrize("asked, window", [
+    ({}, (50, 0)), ({"limit": "10", "offset": "40"}, (10, 40)), ({"limit": 0, "offset": -5}, (1, 0)),
+    ({"limit": 9999}, (200, 0)), ({"limit": "junk", "offset": "junk"}, (50, 0)), ({"limit": " 7 ", "offset": "1.5"}, (7, 0)),
+])
+def test_page_window(asked, window):
+    assert s.page_window(**asked) == window
 
 
-@pytest.mark.parametrize("raw, skip", [(None, 0), ("40", 40), (-5, 0), ("junk", 0)])
-def test_clamp_offset(raw, skip):
-    assert s.clamp_offset(raw) == skip
+def test_deep_pages_equal_shallow_ones(served, monkeypatch):
+    city = s.reservation_filter(hotel="City Hotel")
+    shallow = [(c, o, ids(s.list_page(served, c, limit=2, offset=o))) for c in (None, city) for o in (1, 2, 4, 9)]
+    monkeypatch.setattr(s, "DEEP_PAGE", 0)
+    assert [(c, o, ids(s.list_page(served, c, limit=2, offset=o))) for c, o, _ in shallow] == shallow
 
 
 def test_band_edges(spark):
@@ -157,11 +162,22 @@ def test_json_rows(spark):
     )
     out = json.loads(to_json_rows(df).first().json)
     assert out == {
-        "reservation_id": "abc", "arrival_date": "2016-07-01", "scored_at": "2026-09-29T20:55:42",
-        "acted_at": "2026-09-29T20:55:42.544708", "adr": 123.45, "lead_time": 30, "note": None,
+        "reservation_id": "abc", "arrival_date": "2016-07-01", "scored_at": "2026-09-29T20:55:42+00:00",
+        "acted_at": "2026-09-29T20:55:42.544708+00:00", "adr": 123.45, "lead_time": 30, "note": None,
     }
 
 
+def test_an_instant_means_the_same_in_every_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP '2026-01-01 00:00:00+00:00' AS at, TIMESTAMP_NTZ '2026-01-01 00:00:00' AS clock")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        out = json.loads(to_json_rows(df).first().json)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert out == {"at": "2025-12-31T19:00:00-05:00", "clock": "2026-01-01T00:00:00"}
+
+
 def test_display(spark):
     df = spark.createDataFrame([(0.2793, 1234.5), (None, None), (1.0, -5.0)], "p double, m double")
     got = [tuple(x) for x in df.select(percent("p"), money("m")).collect()]
