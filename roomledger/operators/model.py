@@ -10,51 +10,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomledger.operators.features import feature_lists, features
-from roomledger.operators.metrics import ranking_from_steps
+from roomledger.operators.metrics import ranking_from_steps, score_steps
 from roomledger.operators.risk import stamp_scores
 from roomledger.schemas import LABEL
 from roomledger.session import use_checkpoints
-from roomledger.sources.tables import materialize
+from roomledger.sources.tables import numbered
 
 
 @dataclass(frozen=True)
 class ModelParams:
-    """Boosting settings. The defaults suit a quick run; ``FULL_TRAINING`` is the full size."""
+    """Boosting settings; the defaults are the published ones."""
 
-    iterations: int = 20
-    learning_rate: float = 0.1
-    depth: int = 5
+    iterations: int = 300
+    learning_rate: float = 0.06
+    depth: int = 8
     seed: int = 42
-    bins: int = 32
+    bins: int = 255
 
     def as_dict(self) -> dict:
         return asdict(self)
 
 
-# The published training settings.
-FULL_TRAINING = ModelParams(iterations=300, learning_rate=0.06, depth=8, seed=42)
-
-
-MAX_CATEGORIES = 10_000
-
-
-class TooManyCategories(ValueError):
-    """A categorical feature has more values than an encoding should hold."""
-
-
-def check_categories(rows: DataFrame, categorical: list[str], limit: int = MAX_CATEGORIES) -> None:
-    """Stop before an indexer would gather an unbounded list of categories on the driver.
-
-    The estimate errs by a few percent and needs a fixed amount of memory per column.
-    """
-    if not categorical:
-        return
-    found = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    wide = {c: found[c] for c in categorical if found[c] > limit}
-    if wide:
-        raise TooManyCategories(f"more than {limit} categories: {wide}")
-
-
 def fit(train: DataFrame, params: ModelParams = ModelParams(), label: str = LABEL) -> PipelineModel:
     """Fit on the features a table has. Runs the training jobs.
 
@@ -67,7 +43,6 @@ def fit(train: DataFrame, params: ModelParams = ModelParams(), label: str = LABE
     rows = features(train.where(F.col(label).isNotNull()), [label], categorical, numeric).withColumn(
         label, F.col(label).cast("double")
     )
-    check_categories(rows, categorical)
     stages = []
     if categorical:
         indexed = [f"{c}__index" for c in categorical]
@@ -128,83 +103,59 @@ def score(
     return stamp_scores(scored, model_version, scored_at)
 
 
-def importance_sample(test: DataFrame, n: int = 5000) -> DataFrame:
-    """The first n test rows by arrival and key: the sample importance is measured on."""
-    return test.orderBy("arrival_date", "reservation_id").limit(n)
-
-
-def permutation_scores(
-    model: PipelineModel, sample: DataFrame, label: str = LABEL, repeats: int = 5, seed: int = 42
+def permuted(
+    rows: DataFrame, names: list[str], keep: list[str], order: Column, repeats: int = 5
 ) -> DataFrame:
-    """Scores of the sample with one feature at a time taken from another row.
+    """The rows, and copies of them with one column at a time taken from another row.
 
-    Columns: feature (NULL for the untouched rows), repeat, label, cancel_probability. The sample is
-    bounded by its limit, so numbering its rows in one task is too, and so is writing it out, which
-    spares computing it again for each use. The copies, one per feature and repeat, are spread over
-    all tasks and scored in a single pass.
+    Columns: feature (NULL for the untouched rows), repeat, the kept ones and the names. Repeat r
+    pairs row i with the row that comes i-th when all are put in the order, an expression over
+    ``repeat`` and the rows' columns; ties are put in the order of the names. Both numberings are by
+    ranges, so no task sorts all rows, and the copies are spread over all tasks.
     """
-    categorical, numeric = model_features(model)
-    names = categorical + numeric
-    numbered = features(sample, [label, "reservation_id"], categorical, numeric).withColumn(
-        "row", F.row_number().over(Window.orderBy("reservation_id", *names))
-    )
-    rows = materialize(numbered, "importance-sample")
-    # Repeat r pairs row i with the row that comes i-th when all are put in hash order.
-    shuffled = rows.select(
-        F.struct(*names).alias("other"),
-        F.col("row").alias("other_row"),
-        F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"),
-    ).withColumn(
-        "row",
-        F.row_number().over(
-            Window.partitionBy("repeat").orderBy(
-                F.xxhash64("repeat", F.lit(seed), "other_row"), "other_row"
-            )
-        ),
-    ).drop("other_row")
-    copies = rows.join(shuffled, "row").withColumn(
-        "feature", F.explode(F.array(*[F.lit(name) for name in names]))
+    chosen = rows.select(*keep, *names)
+    base = numbered(chosen, "row", order=[*dict.fromkeys([*keep, *names])])
+    total = base.count()
+    turns = base.drop("row").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    turned = numbered(turns.withColumn("_order", order), "place", order=["repeat", "_order", *names])
+    other = turned.select(
+        F.struct(*names).alias("other"), "repeat",
+        (F.col("place") - (F.col("repeat") - 1) * F.lit(total)).alias("row"),
     )
-    permuted = copies.select(
-        "feature", "repeat", label,
+    copies = base.join(other, "row").withColumn("feature", F.explode(F.array(*[F.lit(name) for name in names])))
+    moved = copies.select(
+        "feature", "repeat", *keep,
         *[
             F.when(F.col("feature") == name, F.col(f"other.{name}")).otherwise(F.col(name)).alias(name)
             for name in names
         ],
     )
-    untouched = rows.select(
-        F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"), label, *names
-    )
-    scored = model.transform(permuted.unionByName(untouched))
+    untouched = base.select(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("repeat"), *keep, *names)
+    return moved.unionByName(untouched)
+
+
+def permutation_scores(
+    model: PipelineModel, test: DataFrame, label: str = LABEL, repeats: int = 5, seed: int = 42
+) -> DataFrame:
+    """feature, repeat, label, cancel_probability of the test rows and their permuted copies.
+
+    All rows take part, whatever their number.
+    """
+    categorical, numeric = model_features(model)
+    names = categorical + numeric
+    rows = features(test, [label, "reservation_id"], categorical, numeric)
+    order = F.xxhash64("repeat", F.lit(seed), "reservation_id")
+    scored = model.transform(permuted(rows, names, [label, "reservation_id"], order, repeats))
     return scored.select(
         "feature", "repeat", F.col(label).cast("int").alias("label"),
         _probability().alias("cancel_probability"),
     )
 
 
-def grouped_roc_auc(scored: DataFrame, *keys: str) -> DataFrame:
-    """ROC-AUC per group. A group is one copy of the sample, so its size is bounded."""
-    counted = scored.groupBy(*keys, "cancel_probability").agg(
-        F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")
-    )
-    running = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("cancel_probability"))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    steps = counted.withColumns({
-        "tp": F.sum("pos").over(running), "fp": F.sum("neg").over(running),
-    })
-    return ranking_from_steps(steps, *keys).select(*keys, "roc_auc")
-
-
-def feature_importance(
-    model: PipelineModel, test: DataFrame, label: str = LABEL,
-    n: int = 5000, repeats: int = 5, seed: int = 42, top: int = 15,
-) -> DataFrame:
-    """Mean drop in ROC-AUC when a feature's values are exchanged, largest first."""
-    sample = importance_sample(test.where(F.col(label).isNotNull()), n)
-    aucs = grouped_roc_auc(permutation_scores(model, sample, label, repeats, seed), "feature", "repeat")
+def importance(scored: DataFrame, top: int = 15) -> DataFrame:
+    """Mean drop in ROC-AUC per feature, largest first, from permutation scores."""
+    keys = ("feature", "repeat")
+    aucs = ranking_from_steps(score_steps(scored, "label", "cancel_probability", keys=keys), *keys)
     # a few hundred rows: one per feature and repeat
     with_base = aucs.withColumn(
         "base", F.max(F.when(F.col("feature").isNull(), F.col("roc_auc"))).over(Window.partitionBy())
@@ -216,3 +167,11 @@ def feature_importance(
         .orderBy(F.desc("importance"), "feature")
         .limit(top)
     )
+
+
+def feature_importance(
+    model: PipelineModel, test: DataFrame, label: str = LABEL, repeats: int = 5, seed: int = 42, top: int = 15,
+) -> DataFrame:
+    """Mean drop in ROC-AUC when a feature's values are exchanged, over the whole holdout."""
+    rows = test.where(F.col(label).isNotNull())
+    return importance(permutation_scores(model, rows, label, repeats, seed), top)

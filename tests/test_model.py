@@ -75,11 +75,6 @@ def test_cutoff_interpolates_and_missing_dates_are_tested(spark):
     assert {r.arrival_date: r.split for r in known.collect()} == got
 
 
-def test_too_many_categories_stop_the_fit(split):
-    with pytest.raises(m.TooManyCategories, match="deposit_type"):
-        m.check_categories(split[0], ["hotel", "deposit_type"], limit=1)
-
-
 def test_learns_a_separable_outcome(fitted, split):
     scored = m.predict(fitted, split[1], ["is_canceled"])
     assert ranking_metrics(scored, "is_canceled", "cancel_probability").first().roc_auc > 0.95
@@ -116,24 +111,37 @@ def test_labels_for_new_bookings(fitted, spark):
     assert got == {"risky": 1, "safe": 0}
 
 
+def test_published_settings_are_the_default():
+    assert m.ModelParams().as_dict() == {"iterations": 300, "learning_rate": 0.06, "depth": 8, "seed": 42, "bins": 255}
+
+
 def test_importance_finds_the_drivers(fitted, split):
-    got = {r.feature: r.importance for r in m.feature_importance(fitted, split[1], n=100, repeats=3).collect()}
+    got = {r.feature: r.importance for r in m.feature_importance(fitted, split[1], repeats=3).collect()}
     assert set(got) == {"hotel", "deposit_type", "lead_time", "adults"}
     assert got["lead_time"] > 0.1 > abs(got["adults"]) and got["deposit_type"] > 0.05
 
 
 def test_permutation_only_moves_values(fitted, split):
-    sample = m.importance_sample(split[1], 50)
-    scores = m.permutation_scores(fitted, sample, repeats=2)
-    assert scores.count() == 50 * (4 * 2 + 1)
+    rows = split[1].count()
+    scores = m.permutation_scores(fitted, split[1], repeats=2)
+    assert scores.count() == rows * (4 * 2 + 1)
     per_copy = scores.groupBy("feature", "repeat").agg(F.sum("label").alias("n")).select("n").distinct()
     assert per_copy.count() == 1
 
 
+def test_a_permuted_column_keeps_its_values(spark):
+    df = spark.range(7000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    copies = m.permuted(df, ["a", "b"], ["k"], F.xxhash64("repeat", "k"), repeats=2)
+    sums = {(r.feature, r["repeat"]): (r.n, r.a, r.b, r.moved) for r in copies.groupBy("feature", "repeat").agg(
+        F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"),
+        F.count_if(F.col("a") != F.col("k").cast("long")).alias("moved")).collect()}
+    assert set(sums) == {(None, 0), ("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+    assert {v[:3] for v in sums.values()} == {(7000, 7000 * 6999 // 2, 21000)}  # more rows than any sample had
+    assert sums["a", 1][3] > 6900 and sums["b", 1][3] == 0 == sums[None, 0][3]
+
+
 def test_importance_is_repeatable(fitted, split):
-    first, second = (
-        m.feature_importance(fitted, split[1], n=60, repeats=2).collect() for _ in range(2)
-    )
+    first, second = (m.feature_importance(fitted, split[1], repeats=2).collect() for _ in range(2))
     assert first == second
 
 
