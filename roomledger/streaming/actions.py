@@ -2,14 +2,14 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from roomledger.operators.actions import ACTION_COLUMNS, checked_actions
 from roomledger.schemas import ACTION_SCHEMA
-from roomledger.sources.tables import exists, materialize, write_clustered
+from roomledger.sources.tables import current_snapshot, exists, numbered, publish, read_snapshot
 
 STORED_SCHEMA = T.StructType([
     *ACTION_SCHEMA.fields,
@@ -19,12 +19,35 @@ STORED_SCHEMA = T.StructType([
 ])
 
 
-def _stored(spark: SparkSession, log_dir: str) -> DataFrame:
+LAST_SCHEMA = T.StructType([T.StructField("last", T.LongType()), T.StructField("batch", T.StringType())])
+
+
+def _last_dir(log_dir: str) -> str:
+    """Beside the log: per batch, the highest id in it."""
+    return f"{log_dir}_last"
+
+
+def _compact_dir(log_dir: str) -> str:
+    """Beside the log: snapshots of it, ordered for reading."""
+    return f"{log_dir}_compact"
+
+
+def _batches(spark: SparkSession, log_dir: str) -> DataFrame:
     if not exists(spark, log_dir):
         return spark.createDataFrame([], STORED_SCHEMA)
     return spark.read.schema(STORED_SCHEMA).parquet(log_dir)
 
 
+def _stored(spark: SparkSession, log_dir: str) -> DataFrame:
+    """The compacted part of the log and the batches written since."""
+    if current_snapshot(spark, _compact_dir(log_dir)) is None:
+        return _batches(spark, log_dir)
+    compact = read_snapshot(spark, _compact_dir(log_dir))
+    done = compact.select("batch").distinct()
+    newer = _batches(spark, log_dir).join(done, "batch", "left_anti")
+    return compact.select(*STORED_SCHEMA.names).unionByName(newer.select(*STORED_SCHEMA.names))
+
+
 def read_actions(spark: SparkSession, log_dir: str) -> DataFrame:
     """The log: every valid action."""
     return _stored(spark, log_dir).where("valid").select(*ACTION_COLUMNS)
@@ -38,63 +61,67 @@ def read_rejects(spark: SparkSession, log_dir: str) -> DataFrame:
 def assign_ids(df: DataFrame, start: int) -> DataFrame:
     """Consecutive ids from ``start`` for the rows that have none; given ids stay.
 
-    Numbering everything in one sorted task would not scale. The rows are written out with the task
-    they come from and their place in it, and a task's numbers begin after those of the tasks
-    before it. All that has to be put in order is one count per task.
+    The numbers follow the rows' content, so the same rows get the same ids however they are read.
     """
-    place = F.monotonically_increasing_id()
-    unnumbered = materialize(
-        df.where(F.col("id").isNull())
-        .withColumn("_place", place)
-        .withColumn("_task", F.shiftright("_place", 33)),
-        "action-ids",
-    )
-    earlier = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        unnumbered.groupBy("_task")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select("_task", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_before"))
-    )
-    in_task = F.col("_place") - F.shiftleft("_task", 33)
-    numbered = unnumbered.join(F.broadcast(starts), "_task").withColumn(
-        "id", F.lit(start) + F.col("_before") + in_task
-    )
-    return df.where(F.col("id").isNotNull()).unionByName(numbered.select(*df.columns))
+    content = [c for c in df.columns if c != "id"]
+    without = numbered(df.where(F.col("id").isNull()), "id", start, order=content)
+    return df.where(F.col("id").isNotNull()).unionByName(without.select(*df.columns))
 
 
 def append_actions(df: DataFrame, log_dir: str, batch: str | None = None) -> str:
     """Check actions and add them to the log in one pass, the refused ones apart.
 
     A batch has a folder of its own, so repeating one after a failure replaces it and never adds
-    its rows twice. Returns the batch's name.
+    its rows twice. The highest id of the batch is noted beside the log. Returns the batch's name.
     """
-    batch = batch or uuid.uuid4().hex
+    batch, spark = batch or uuid.uuid4().hex, df.sparkSession
+    folder = f"{log_dir}/batch={batch}"
     (
         checked_actions(df)
         .withColumn("valid", F.col("reason").isNull())
         .write.mode("overwrite")
         .partitionBy("valid")
-        .parquet(f"{log_dir}/batch={batch}")
+        .parquet(folder)
     )
+    written = spark.read.schema(T.StructType([*ACTION_SCHEMA.fields, STORED_SCHEMA["valid"]])).parquet(folder)
+    highest = written.where("valid").agg(F.max("id").alias("last"))
+    highest.coalesce(1).write.mode("overwrite").parquet(f"{_last_dir(log_dir)}/batch={batch}")
     return batch
 
 
-def record_actions(df: DataFrame, log_dir: str, batch: str | None = None) -> str:
-    """Append actions that come without an id, numbered after the highest in the log.
+def last_id(spark: SparkSession, log_dir: str, without: str | None = None) -> int:
+    """The highest id in the log, from one noted number per batch; 0 when there is none.
 
-    For one writer at a time, like any counter kept in a table.
+    A batch that is being repeated is left out, so that it gets the ids it had.
     """
-    last = read_actions(df.sparkSession, log_dir).agg(F.max("id")).first()[0]
-    return append_actions(assign_ids(df, (last or 0) + 1), log_dir, batch)
+    if not exists(spark, _last_dir(log_dir)):
+        return 0
+    noted = spark.read.schema(LAST_SCHEMA).parquet(_last_dir(log_dir))
+    if without is not None:
+        noted = noted.where(F.col("batch") != without)
+    return noted.agg(F.max("last")).first()[0] or 0
+
+
+def record_actions(df: DataFrame, log_dir: str, batch: str | None = None) -> DataFrame:
+    """Append actions, numbering those without an id after the highest in the log.
+
+    The rows come back as they were written. For one writer at a time, like any counter kept in a table.
+    """
+    spark = df.sparkSession
+    given = df.agg(F.max("id")).first()[0] or 0
+    with_ids = assign_ids(df, max(given, last_id(spark, log_dir, batch)) + 1)
+    written = append_actions(with_ids, log_dir, batch)
+    return _batches(spark, log_dir).where((F.col("batch") == written) & F.col("valid")).select(*ACTION_COLUMNS)
 
 
 def action_stream(source: DataFrame, log_dir: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of actions to the log.
 
-    The batch number names the folder, so a batch run again after a failure is written once.
+    The batch number names the folder, so a batch run again after a failure is written once, with the
+    ids it had. Actions that come without an id get one.
     """
     def write(batch: DataFrame, number: int) -> None:
-        append_actions(batch, log_dir, f"stream-{number:012d}")
+        record_actions(batch, log_dir, f"stream-{number:012d}")
 
     return (
         source.writeStream.queryName("reservation_action")
@@ -105,6 +132,10 @@ def action_stream(source: DataFrame, log_dir: str, checkpoint: str) -> Streaming
     )
 
 
-def compact_actions(spark: SparkSession, log_dir: str, out_dir: str) -> None:
-    """Rewrite the log by reservation and time, so that a reservation's actions are read from few files."""
-    write_clustered(read_actions(spark, log_dir), out_dir, ["reservation_id", "acted_at"])
+def compact_actions(spark: SparkSession, log_dir: str, keep: int = 2) -> int:
+    """Publish the log ordered by reservation and time; readers use it from then on.
+
+    A reservation's actions are then read from few files. Batches written later are read beside it
+    until the next compaction. The batches themselves stay, so a stream can still repeat its last one.
+    """
+    return publish(_stored(spark, log_dir), _compact_dir(log_dir), None, ["reservation_id", "acted_at"], keep=keep)

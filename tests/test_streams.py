@@ -11,7 +11,7 @@ from roomledger.schemas import ACTION_SCHEMA, BRONZE_SCHEMA, SOURCE_SCHEMA
 from roomledger.sources import tables
 from roomledger.sources.landing import csv_batch, infer_schema
 from roomledger.streaming import actions as log
-from roomledger.streaming.medallion import build_silver, land_csv, rule_progress
+from roomledger.streaming.medallion import build_silver, count_rules, land_csv, rule_totals
 
 HEADER = ",".join(SOURCE_SCHEMA.names)
 GOOD = (
@@ -84,9 +84,11 @@ def test_bronze_to_silver_stream_equals_the_batch(spark, local):
     want = silver_bookings(bronze.select(*BRONZE_SCHEMA.names))
     assert silver.count() == 2
     assert sorted(silver.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str)
-    assert rule_progress(query) == {
-        "valid_hotel": 0, "non_negative_adr": 1, "has_guests": 1, "clean_parse": 0, "rows": 3
-    }
+    for _ in range(2):
+        count_rules(spark, f"{local}/bronze", f"{local}/rules", f"{local}/cp/rules").awaitTermination()
+        assert rule_totals(spark, f"{local}/rules").first().asDict() == {
+            "valid_hotel": 0, "non_negative_adr": 1, "has_guests": 1, "clean_parse": 0, "rows": 3
+        }
     again = build_silver(spark, f"{local}/bronze", f"{local}/silver", f"{local}/cp/silver")
     again.awaitTermination()
     assert spark.read.parquet(f"{local}/silver").count() == 2
@@ -150,8 +152,14 @@ def test_log_round_trip(spark, folder, raw_actions):
     log.record_actions(new, f"{folder}/log")
     first = a.prior_actions(log.read_actions(spark, f"{folder}/log"), "r1").first()
     assert (first.action_type, first.acted_by, first.id) == ("released", "desk", 6)
-    log.compact_actions(spark, f"{folder}/log", f"{folder}/compact")
-    assert spark.read.parquet(f"{folder}/compact").count() == 6
+    before = sorted(log.read_actions(spark, f"{folder}/log").collect(), key=str)
+    for number in (1, 2):
+        assert log.compact_actions(spark, f"{folder}/log") == number
+        assert sorted(log.read_actions(spark, f"{folder}/log").collect(), key=str) == before
+        assert {r.id for r in log.read_rejects(spark, f"{folder}/log").collect()} == {6, 7, 8}
+    written = log.record_actions(new.withColumn("reservation_id", F.lit("r9")), f"{folder}/log")
+    assert [(r.reservation_id, r.id) for r in written.collect()] == [("r9", 7)]
+    assert log.read_actions(spark, f"{folder}/log").count() == 7
 
 
 def test_ids_are_consecutive_over_many_tasks(spark):
@@ -172,6 +180,71 @@ def test_action_stream(spark, folder, raw_actions):
     assert sorted(r.id for r in log.read_actions(spark, f"{folder}/log").collect()) == [1, 2, 3, 4, 5]
 
 
+def test_streamed_actions_without_an_id_get_one(spark, folder, raw_actions):
+    given = raw_actions.withColumn("id", F.when(F.col("reservation_id") == "r2", F.col("id")))
+    given.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ACTION_SCHEMA).parquet(f"{folder}/in")
+    log.action_stream(stream, f"{folder}/log", f"{folder}/cp").awaitTermination()
+    once = {r.reservation_id + r.action_type: r.id for r in log.read_actions(spark, f"{folder}/log").collect()}
+    assert len(once) == 5 and None not in once.values() and len(set(once.values())) == 5
+    log.record_actions(given, f"{folder}/log", "stream-000000000000")  # the batch is run again
+    again = {r.reservation_id + r.action_type: r.id for r in log.read_actions(spark, f"{folder}/log").collect()}
+    assert again == once
+
+
+def test_files_are_read_by_the_names_in_their_header(spark, local):
+    fields = dict(zip(SOURCE_SCHEMA.names, GOOD.split(","), strict=True))
+    names = SOURCE_SCHEMA.names[::-1]
+    write(f"{local}/csv", "a.csv", GOOD)
+    for name, chosen, extra in (("permuted", names, {}), ("missing", [n for n in names if n not in ("meal", "agent")], {}),
+                                ("surplus", names, {"loyalty": "gold"}), ("empty column", names, {"loyalty": ""})):
+        row = {**{n: fields[n] for n in chosen}, **extra}
+        with open(f"{local}/csv/{name}.csv", "w") as out:
+            out.write(",".join(row) + "\n" + ",".join(row.values()) + "\n")
+    open(f"{local}/csv/nothing.csv", "w").close()
+    rows = {os.path.basename(r._source_file).removesuffix(".csv"): r for r in land(spark, local).collect()}
+    assert set(rows) == {"a", "permuted", "missing", "surplus", "empty%20column"}
+    for name, row in rows.items():
+        assert (row.hotel, row.lead_time, row.adr) == (rows["a"].hotel, rows["a"].lead_time, rows["a"].adr)
+        assert (row.meal is None) == (name == "missing")
+        assert (json.loads(row._rescued_data)["loyalty"] == "gold") if name == "surplus" else row._rescued_data is None
+
+
+def test_rule_counts_cover_every_batch(spark, local):
+    for i in range(110):
+        write(f"{local}/csv", f"{i:03d}.csv", GOOD.replace("100.00", "-1.00") if i % 10 == 0 else GOOD)
+    land_csv(spark, f"{local}/csv", f"{local}/bronze", f"{local}/cp/bronze").awaitTermination()
+    from pyspark.sql import functions as sf
+
+    from roomledger.operators.quality import BOOKING_RULES, rule_counts
+    from roomledger.streaming import medallion
+
+    stream = medallion.bronze_stream(spark, f"{local}/bronze", files_per_batch=1)
+    assert stream.isStreaming and spark.read.parquet(f"{local}/bronze").count() == 110
+    for number in range(105):  # as many batches as a progress log forgets
+        counted = spark.range(1).select(*[sf.lit(1).cast("long").alias(r.name) for r in BOOKING_RULES], sf.lit(2).cast("long").alias("rows"))
+        counted.coalesce(1).write.parquet(f"{local}/rules/batch={number}")
+    assert rule_totals(spark, f"{local}/rules").first().rows == 210 and rule_counts(BOOKING_RULES)
+
+
+def test_snapshots_are_kept_named_and_removed(spark, folder):
+    assert tables.publish(spark.range(3), folder, "id", made_for="batch 0") == 1
+    assert tables.publish(spark.range(4), folder, "id", made_for="batch 0") == 1
+    assert tables.read_snapshot(spark, folder).count() == 3
+    for _ in range(4):
+        last = tables.publish(spark.range(5), folder, None, ["id"], keep=2)
+    assert last == 5 and tables.read_snapshot(spark, folder, 4).count() == 5
+    assert not tables.exists(spark, f"{folder}/data/snapshot=3")
+
+
+def test_scratch_is_removed(spark):
+    with pytest.raises(ZeroDivisionError), tables.scratch(spark, "x") as path:
+        spark.range(3).write.parquet(path)
+        assert tables.exists(spark, path)
+        1 / 0
+    assert not tables.exists(spark, path)
+
+
 def test_actions_for_a_page(spark, folder):
     page = spark.createDataFrame([("r1",), ("r2",)], "reservation_id string")
     log.record_actions(a.actions_for_page(page, "reconfirmed", None, "desk"), f"{folder}/log")
