@@ -7,6 +7,8 @@ flagship, gold_hotel_month, goes from the star-schema tables to the answer in on
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +26,15 @@ from roomledger.schemas import (
 from roomledger.plans.warehouse import warehouse
 from roomledger.session import work_dir
 from roomledger.sources import ledger, star, tables
-from roomledger.sources.landing import csv_batch, write_csv
-from roomledger.streaming import actions as action_log
-from roomledger.streaming.medallion import build_silver, land_csv
+from roomledger.sources.landing import csv_batch, infer_schema, write_csv
+from roomledger.streaming import actions as action_log, scoring
+from roomledger.streaming.medallion import build_silver, count_rules, land_csv, rule_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TREND_YEAR = 1996
 ACTIVE_USER = "8"
-QUICK_MODEL = model.ModelParams(iterations=10, depth=5)
 PERSONA_GROUPS = {
     "nobody": [],
     "engineer": [ENGINEER],
@@ -55,10 +56,7 @@ def query(run: Query) -> Query:
 
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later arrivals with their label and stand-in score."""
-    marked = feats.temporal_split(warehouse(spark, sf_dir).silver)
-    return marked.where("split = 'test'").select(
-        LABEL, star.formula_score().alias("cancel_probability")
-    )
+    return warehouse(spark, sf_dir).holdout
 
 
 # ---- landing and cleaning ---------------------------------------------------
@@ -67,8 +65,8 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed(spark: SparkSession, sf_dir: str) -> str:
     """Bronze table streamed from CSV files that hold the derived bookings."""
     root = work_dir(spark, "landing")
-    write_csv(warehouse(spark, sf_dir).bronze, f"{root}/csv")
-    land_csv(spark, f"{root}/csv", f"{root}/bronze", f"{root}/checkpoints/bronze").awaitTermination()
+    csv = warehouse(spark, sf_dir).csv
+    land_csv(spark, csv, f"{root}/bronze", f"{root}/checkpoints/bronze").awaitTermination()
     return root
 
 
@@ -78,6 +76,41 @@ def bronze_landing(spark, sf_dir):  # S1, S2, S4, S5, R1
     return tables.read_table(spark, f"{root}/bronze").select(*SOURCE_SCHEMA.names)
 
 
+@query
+def landed_by_name(spark, sf_dir):  # S1, S2, S3, R1
+    """Files with the columns in another order, without one, and with one too many, in one landing.
+
+    The schema is frozen from a first look at complete files, with the values' own types.
+    """
+    root, w = work_dir(spark, "by-name"), warehouse(spark, sf_dir)
+    names = SOURCE_SCHEMA.names
+    files = w.bronze.withColumn("loyalty", F.concat(F.lit("tier "), F.col("lead_time") % 4))
+    for part, columns in enumerate((names[::-1], [n for n in names if n != "meal"], [*names[5:], "loyalty", *names[:5]])):
+        files.where(F.col("lead_time") % 3 == part).select(*columns).write.option("header", True).csv(f"{root}/csv/{part}")
+    seen = infer_schema(spark, w.csv, 0.1)
+    schema = T.StructType([T.StructField(f.name, seen[f.name].dataType if f.name == "lead_time" else f.dataType) for f in SOURCE_SCHEMA.fields])
+    land_csv(spark, f"{root}/csv/*", f"{root}/bronze", f"{root}/checkpoints/bronze", schema).awaitTermination()
+    return tables.read_table(spark, f"{root}/bronze").select(
+        *names, F.get_json_object("_rescued_data", "$.loyalty").alias("loyalty")
+    )
+
+
+@query
+def landed_lineage(spark, sf_dir):  # S4, S5, R1
+    """Landing run twice over the same files, then once more with new ones."""
+    root, bronze = work_dir(spark, "lineage"), warehouse(spark, sf_dir).bronze
+    for name, chosen in (("first", "is_canceled = 0"), (None, None), ("second", "is_canceled = 1")):
+        if name:
+            write_csv(bronze.where(chosen), f"{root}/csv/{name}")
+        land_csv(spark, f"{root}/csv/*", f"{root}/bronze", f"{root}/checkpoints/bronze").awaitTermination()
+    folder = F.element_at(F.split("_source_file", "/"), -2)
+    return tables.read_table(spark, f"{root}/bronze").groupBy("hotel", folder.alias("folder")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(F.col("_source_file").rlike("/part-[^/]*[.]csv$")).alias("with_file"),
+        F.count("_ingested_at").alias("with_time"),
+    )
+
+
 @query
 def streamed_gold(spark, sf_dir):  # S6, S7, R1, R2, R3, A1
     root = _landed(spark, sf_dir)
@@ -87,6 +120,13 @@ def streamed_gold(spark, sf_dir):  # S6, S7, R1, R2, R3, A1
     return golds.gold_hotel_month(tables.read_table(spark, f"{root}/silver"))
 
 
+@query
+def streamed_rule_counts(spark, sf_dir):  # F5
+    root = _landed(spark, sf_dir)
+    count_rules(spark, f"{root}/bronze", f"{root}/rules", f"{root}/checkpoints/rules").awaitTermination()
+    return rule_totals(spark, f"{root}/rules")
+
+
 @query
 def csv_rescue(spark, sf_dir):  # S3, F10
     """Landing with the guest counts declared as numbers: their NA texts are rescued, no row is lost."""
@@ -95,10 +135,8 @@ def csv_rescue(spark, sf_dir):  # S3, F10
         T.StructField(f.name, T.IntegerType() if f.name in counts else f.dataType)
         for f in SOURCE_SCHEMA.fields
     ])
-    root = work_dir(spark, "rescue")
-    write_csv(warehouse(spark, sf_dir).bronze, f"{root}/csv")
     rescued = F.col("_rescued_data")
-    return csv_batch(spark, f"{root}/csv", strict).select(
+    return csv_batch(spark, warehouse(spark, sf_dir).csv, strict).select(
         "hotel",
         F.get_json_object(rescued, "$.adults").alias("rescued_adults"),
         F.get_json_object(rescued, "$.children").alias("rescued_children"),
@@ -116,10 +154,7 @@ def silver_table(spark, sf_dir):  # P1-P8, F1, F2
 
 @query
 def clustered_silver(spark, sf_dir):  # S8, S9
-    path = work_dir(spark, "clustered")
-    written = warehouse(spark, sf_dir).silver.select(*SILVER_COLUMNS)
-    tables.write_clustered(written, path, ["hotel", "arrival_date"])
-    return tables.read_table(spark, path)
+    return warehouse(spark, sf_dir).silver.select(*SILVER_COLUMNS)
 
 
 @query
@@ -303,6 +338,18 @@ def published_snapshot(spark, sf_dir):  # S8, S10, S11, R5
     return tables.read_snapshot(spark, root)
 
 
+@query
+def snapshot_refresh(spark, sf_dir):  # R5, M13
+    """The snapshot after scores arrived in two batches."""
+    root, w = work_dir(spark, "refresh"), warehouse(spark, sf_dir)
+    silver = f"{w.root}/silver"
+    for number in (0, 1):
+        part = w.risk.where(F.pmod(F.crc32("reservation_id"), F.lit(2)) == number)
+        part.write.mode("append").parquet(f"{root}/risk")
+        scoring.snapshot_stream(spark, f"{root}/risk", silver, f"{root}/served", f"{root}/checkpoint").awaitTermination()
+    return tables.read_snapshot(spark, f"{root}/served")
+
+
 @query
 def kpi_row(spark, sf_dir):  # A4, V5, V8
     return serves.kpis(warehouse(spark, sf_dir).serving).withColumn(
@@ -376,6 +423,21 @@ def action_stream(spark, sf_dir):  # S12, R4, F7
     return action_log.read_actions(spark, f"{root}/log")
 
 
+@query
+def streamed_action_ids(spark, sf_dir):  # S12, R4
+    """Events without ids become actions with distinct ones, also when the last batch is run again."""
+    root, given = work_dir(spark, "action-ids"), star.actions(spark, sf_dir)
+    nameless = given.withColumn("id", F.lit(None).cast("long"))
+    for _ in range(2):
+        action_log.record_actions(nameless, f"{root}/log", "stream-000000000000")
+    action_log.record_actions(nameless.where("action_type = 'note'"), f"{root}/log", "stream-000000000001")
+    action_log.compact_actions(spark, f"{root}/log")
+    log = action_log.read_actions(spark, f"{root}/log")
+    return log.groupBy("action_type").agg(
+        F.count(F.lit(1)).alias("row_count"), F.count("id").alias("with_id"), F.count_distinct("id").alias("distinct_ids"),
+    )
+
+
 @query
 def action_rejects(spark, sf_dir):  # F7, S12
     return acts.action_rejects(star.booking_actions(spark, sf_dir, warehouse(spark, sf_dir).silver))
@@ -464,35 +526,83 @@ def class_report(spark, sf_dir):  # M12
     return metrics.class_report(holdout(spark, sf_dir), LABEL, "cancel_probability")
 
 
-# ---- the model itself (no SQL counterpart) ---------------------------------
+# ---- the model itself: one fit with the published settings serves all -------
 
 
-def _fitted(spark: SparkSession, sf_dir: str):
-    """Silver marked train or test, and a model fitted on its train rows."""
-    rows = warehouse(spark, sf_dir).silver
-    marked = feats.temporal_split(rows, cutoff=feats.split_cutoff(rows).first()[0])
-    return marked, model.fit(marked.where("split = 'train'"), QUICK_MODEL)
+@query
+def onehot_features(spark, sf_dir):  # M2
+    """Per category the place of its one, -1 where all are zero."""
+    w = warehouse(spark, sf_dir)
+    categorical, numeric = model.model_features(w.model)
+    rows = feats.features(w.silver, ["reservation_id"], categorical, numeric)
+    encoded = PipelineModel(w.model.stages[:-1]).transform(rows)
+    place = lambda c: F.array_position(vector_to_array(F.col(f"{c}__onehot")), F.lit(1.0)).cast("int") - 1
+    return encoded.select("reservation_id", *[place(c).alias(c) for c in categorical])
+
+
+@query
+def gbt_scores(spark, sf_dir):  # M3, M4, P9, P10, U3
+    """Every reservation with its score checked: within 0 and 1, and of the band it carries."""
+    w = warehouse(spark, sf_dir)
+    p = F.col("cancel_probability")
+    band = F.when(p >= 0.7, "high").when(p >= 0.4, "medium").otherwise("low")
+    return model.score(w.model, w.silver, 1, F.lit(star.SCORED_AT).cast("timestamp")).select(
+        "reservation_id", "hotel", "model_version", "scored_at",
+        F.coalesce(p.between(0, 1), F.lit(False)).alias("in_range"), (F.col("risk_band") == band).alias("band_agrees"),
+    )
 
 
 @query
-def gbt_scores(spark, sf_dir):  # M2, M3, M4, P9, P10, U3
-    marked, fitted = _fitted(spark, sf_dir)
-    return model.score(fitted, marked, 1, F.lit(star.SCORED_AT).cast("timestamp"))
+def gbt_labels(spark, sf_dir):  # M13
+    """Expected outcomes agree with the probabilities they come from."""
+    w = warehouse(spark, sf_dir)
+    agrees = (F.col("prediction") == 1) == (F.col("cancel_probability") > 0.5)
+    return model.predict(w.model, w.silver, ["reservation_id"]).select("reservation_id", agrees.alias("agrees"))
 
 
 @query
-def gbt_holdout_metrics(spark, sf_dir):  # M2-M6, M13
-    marked, fitted = _fitted(spark, sf_dir)
-    scored = tables.materialize(
-        model.predict(fitted, marked.where("split = 'test'"), [LABEL]), "holdout-scores"
+def gbt_holdout_metrics(spark, sf_dir):  # M3-M6
+    w = warehouse(spark, sf_dir)
+    scored = model.predict(w.model, w.marked.where("split = 'test'"), [LABEL])
+    return metrics.ranking_metrics(scored, LABEL, "cancel_probability").select(
+        "positives", "negatives", F.col("roc_auc").between(0, 1).alias("auc_in_range")
     )
-    return metrics.ranking_metrics(scored, LABEL, "cancel_probability")
+
+
+@query
+def gbt_importance(spark, sf_dir):  # M10, T8
+    """On the model itself; trees differ between engines, so this one has no SQL."""
+    w = warehouse(spark, sf_dir)
+    return model.feature_importance(w.model, w.marked.where("split = 'test'"), repeats=1)
 
 
 @query
 def feature_importance(spark, sf_dir):  # M10, T8
-    marked, fitted = _fitted(spark, sf_dir)
-    return model.feature_importance(fitted, marked.where("split = 'test'"))
+    """On the stand-in score and a fixed order, so that SQL can repeat every permutation."""
+    names = ["stay_nights", "arrival_date", "adr"]
+    rows = warehouse(spark, sf_dir).marked.where(f"split = 'test' AND {LABEL} IS NOT NULL")
+    order = F.md5(F.concat_ws(":", "repeat", "reservation_id"))
+    copies = model.permuted(rows, names, [LABEL, "reservation_id"], order, repeats=2)
+    scored = copies.select("feature", "repeat", F.col(LABEL).cast("int").alias("label"), star.formula_score().alias("cancel_probability"))
+    return model.importance(scored).withColumn("importance", F.round("importance", 6))
+
+
+@query
+def training_record(spark, sf_dir):  # M11, M15, W3
+    """The model registered twice, the first version promoted, and the record read back through the champion."""
+    root, w = work_dir(spark, "ledger"), warehouse(spark, sf_dir)
+    sizes = {r.split: r.row_count for r in feats.split_balance(w.marked).collect()}
+    record = {"n_train": sizes.get("train", 0), "n_test": sizes.get("test", 0)}
+    for _ in range(2):
+        ledger.register(spark, root, "cancel", w.model, record, {"rows": float(sum(sizes.values()))})
+    ledger.promote(spark, root, "cancel", 2)
+    ledger.promote(spark, root, "cancel", 1)
+    promoted = ledger.champion(ledger.aliases(spark, root))
+    newest = ledger.newest_version(ledger.runs(spark, root)).select("model", F.col("version").alias("newest"))
+    return ledger.runs(spark, root).join(promoted, ["model", "version"]).join(newest, "model").select(
+        "model", "version", "newest", F.col("params.n_train").cast("long").alias("n_train"),
+        F.col("params.n_test").cast("long").alias("n_test"), F.col("metrics.rows").cast("long").alias("row_count"),
+    )
 
 
 # ---- governance ------------------------------------------------------------

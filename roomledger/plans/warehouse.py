@@ -1,26 +1,43 @@
 """The layer tables of a star-schema folder, written once per application and read by the queries.
 
 As in any deployment, silver is built from bronze, gold and risk from silver, serving from risk and
-silver, and questions are asked of the written tables. A table is built the first time it is needed,
-in the shared folder, so it outlives any executor and filters reach its files.
+silver, and questions are asked of the written tables. Silver and gold are clustered once they are
+written, as maintenance would do, so filters on hotel and time skip files. A table is built the first
+time it is needed, in the shared folder, so it outlives any executor.
 """
 
+import threading
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from roomledger.operators import features, model
 from roomledger.operators.gold import gold_hotel_month
 from roomledger.operators.serving import build_serving
 from roomledger.operators.silver import silver_bookings
+from roomledger.schemas import LABEL
 from roomledger.session import work_dir
 from roomledger.sources import star
-from roomledger.sources.tables import write_balanced
+from roomledger.sources.landing import write_csv
+from roomledger.sources.tables import write_balanced, write_clustered
 
-_OPEN: dict[tuple[str, str], "Warehouse"] = {}
+_OPEN: dict[tuple, "Warehouse"] = {}
+_LOCK = threading.RLock()
+
+
+class layer(cached_property):  # noqa: N801
+    """A table built the first time it is asked for; one thread builds it, others wait for it."""
+
+    def __get__(self, instance, owner=None):
+        with _LOCK:
+            return super().__get__(instance, owner)
 
 
 class Warehouse:
+    params = model.ModelParams()  # of the model that all queries share
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
@@ -31,32 +48,81 @@ class Warehouse:
         build().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
-    @cached_property
+    def _clustered(self, name: str, source: DataFrame, columns: list[str]) -> DataFrame:
+        path = f"{self.root}/{name}"
+        write_clustered(source, path, columns)
+        return self.spark.read.parquet(path)
+
+    @layer
     def bronze(self) -> DataFrame:
         path = f"{self.root}/bronze"
         write_balanced(star.bookings(self.spark, self.sf_dir), path)
         return self.spark.read.parquet(path)
 
-    @cached_property
+    @layer
+    def silver_landed(self) -> DataFrame:
+        """Silver in the order it was written."""
+        return self._written("silver_landed", lambda: silver_bookings(self.bronze))
+
+    @layer
     def silver(self) -> DataFrame:
-        return self._written("silver", lambda: silver_bookings(self.bronze))
+        return self._clustered("silver", self.silver_landed, ["hotel", "arrival_date"])
 
-    @cached_property
+    @layer
     def gold(self) -> DataFrame:
-        return self._written("gold", lambda: gold_hotel_month(self.silver))
+        landed = self._written("gold_landed", lambda: gold_hotel_month(self.silver))
+        return self._clustered("gold", landed, ["hotel", "arrival_month_start"])
 
-    @cached_property
+    @layer
     def risk(self) -> DataFrame:
         return self._written("risk", lambda: star.formula_risk(self.silver))
 
-    @cached_property
+    @layer
     def serving(self) -> DataFrame:
         return self._written("serving", lambda: build_serving(self.risk, self.silver))
 
+    @layer
+    def csv(self) -> str:
+        """Folder of bronze's source columns as CSV files."""
+        path = f"{self.root}/csv"
+        write_csv(self.bronze, path)
+        return path
+
+    @layer
+    def cutoff(self) -> float:
+        return features.split_cutoff(self.silver).first()[0]
+
+    @layer
+    def marked(self) -> DataFrame:
+        """Silver marked train or test."""
+        return features.temporal_split(self.silver, cutoff=self.cutoff)
+
+    @layer
+    def holdout(self) -> DataFrame:
+        """Later arrivals with their label and stand-in score."""
+        later = self.marked.where("split = 'test'")
+        return self._written("holdout", lambda: later.select(LABEL, star.formula_score().alias("cancel_probability")))
+
+    @layer
+    def model(self) -> PipelineModel:
+        """A model fitted on the earlier arrivals, saved and loaded again."""
+        path = f"{self.root}/model"
+        model.fit(self.marked.where("split = 'train'"), self.params).write().overwrite().save(path)
+        return PipelineModel.load(path)
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of a folder's tables; another listing is another warehouse."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/*.parquet")
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(pattern) or []
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """The tables of a folder in this application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OPEN:
-        _OPEN[key] = Warehouse(spark, sf_dir)
-    return _OPEN[key]
+    """The tables of a folder, as it is now, in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, sf_dir))
+    with _LOCK:
+        if key not in _OPEN:
+            _OPEN[key] = Warehouse(spark, sf_dir)
+        return _OPEN[key]
