@@ -5,7 +5,7 @@ strings share. Consecutive starts with the same smallest hash make one run, so a
 with some 80 starts, and only its hashes are counted. Runs that occur twice are settled as a whole. Runs
 that share the smallest hash and differ are sorted as suffixes: in suffix order, ties by position, the
 previous smaller position of a suffix gives its longest previous factor, the next larger one its match
-further on. Groups with too many different runs are settled by counting their strings instead.
+further on. Groups with too many different runs for one task are dealt out anew by longer grams.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     yield start, len(sizes)
 
 
-def _document_runs(raw: bytes, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _document_runs(raw: bytes, least: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of one long document, a STEP of starts at a time.
 
     The last run of a step may go on, so the next step begins where it began.
@@ -125,7 +125,7 @@ def _document_runs(raw: bytes, least: int) -> Iterator[tuple[np.ndarray, ...]]:
     at = 0
     while len(raw) - at >= least:
         data = np.frombuffer(raw, np.uint8, min(STEP + least - 1, len(raw) - at), at)
-        first, size, low, own = runs(data, np.array([len(data)]), least)
+        first, size, low, own = runs(data, np.array([len(data)]), least, gram)
         final = at + len(data) == len(raw)
         keep = len(first)
         if not final:
@@ -136,41 +136,57 @@ def _document_runs(raw: bytes, least: int) -> Iterator[tuple[np.ndarray, ...]]:
         at += int(first[keep - 1] + size[keep - 1])
 
 
-def run_table(docs: DataFrame, least: int) -> DataFrame:
-    """low, whole, doc_id, key, start, n, own: a row per run; ``whole`` is the hash of its text."""
+def _runs_of(texts: list[bytes], least: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row, start in its text, starts, smallest hash, hash of the run's text and the own-repeat mark."""
+    for begin, end in _blocks([len(t) for t in texts]):
+        found, rows = [], []
+        if end - begin == 1 and len(texts[begin]) > STEP:
+            raw, offset = texts[begin], np.zeros(1, np.int64)
+            for part in _document_runs(raw, least, gram):
+                found.append(part)
+                rows.append(np.full(len(part[0]), begin))
+        else:
+            raw = b"".join(texts[begin:end])
+            ends = np.cumsum([len(t) for t in texts[begin:end]])
+            found.append(runs(np.frombuffer(raw, np.uint8), ends, least, gram))
+            owner = np.searchsorted(ends, found[0][0], side="right")
+            rows.append(owner + begin)
+            offset = np.concatenate([[0], ends])[owner]
+        if not found:
+            continue
+        first, size, low, own = (np.concatenate(x) for x in zip(*found, strict=True))
+        if len(first):
+            stops = (first + least + (size - 1 if gram < least else 0)).tolist()  # runs of whole strings hold one string only
+            whole = np.fromiter(
+                (xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), stops, strict=True)), np.uint64, len(first))
+            yield np.concatenate(rows), first - offset, size, low, whole, own
+
+
+def run_table(texts: DataFrame, least: int, gram: int, with_text: bool) -> DataFrame:
+    """low, whole, doc_id, key, start, n, own and, if asked for, text: a row per run of the texts.
+
+    ``texts`` has doc_id, key, start (where the text begins in its document) and text.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            for start, end in _blocks([len(t) for t in texts]):
-                found, rows = [], []
-                if end - start == 1 and len(texts[start]) > STEP:
-                    for part in _document_runs(texts[start], least):
-                        found.append(part)
-                        rows.append(np.full(len(part[0]), start))
-                    offset, raw = np.zeros(1, np.int64), texts[start]
-                else:
-                    raw = b"".join(texts[start:end])
-                    ends = np.cumsum([len(t) for t in texts[start:end]])
-                    part = runs(np.frombuffer(raw, np.uint8), ends, least)
-                    found.append(part)
-                    owner = np.searchsorted(ends, part[0], side="right")
-                    rows.append(owner + start)
-                    offset = np.concatenate([[0], ends])[owner]
-                first, size, low, own = (np.concatenate(x) for x in zip(*found, strict=True))
-                if not len(first):
-                    continue
-                at = np.concatenate(rows)
-                stops = (first + size + least - 1).tolist()
-                whole = np.fromiter((xxhash.xxh64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), stops, strict=True)), np.uint64, len(first))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(low.view(np.int64)), pa.array(whole.view(np.int64)),
-                    batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
-                    pa.array((first - offset).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(own),
-                ], names=["low", "whole", "doc_id", "key", "start", "n", "own"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(find, f"low long, whole long, doc_id {kind}, key long, start int, n int, own boolean")
+            raws = [t.encode() if isinstance(t, str) else t for t in batch.column(3).to_pylist()]
+            begins = batch.column(2).to_numpy(zero_copy_only=False)
+            for row, first, size, low, whole, own in _runs_of(raws, least, gram):
+                take = pa.array(row)
+                columns = [
+                    pa.array(low.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
+                    pa.array((first + begins[row]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(own),
+                ]
+                if with_text:
+                    columns.append(pa.array([
+                        raws[r][a : a + n + least - 1] for r, a, n in zip(row.tolist(), first.tolist(), size.tolist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["low", "whole", "doc_id", "key", "start", "n", "own", "text"][: 8 if with_text else 7]
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    fields = f"low long, whole long, doc_id {kind}, key long, start int, n int, own boolean" + ", text binary" * with_text
+    return texts.select("doc_id", "key", "start", "text").mapInArrow(find, fields)
 
 
 def suffix_classes(data: np.ndarray, places: np.ndarray, least: int) -> np.ndarray:
@@ -206,9 +222,9 @@ def factors(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _settle(rows: list[tuple], least: int, keep_first: bool) -> Iterator[tuple]:
-    """(doc_id, key, start, end) to remove, from runs (low, whole, copies, doc_id, key, start, text) in text order."""
-    sizes = np.array([len(r[6]) for r in rows])
-    data = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    """(doc_id, key, start, end) to remove, from runs (low, doc_id, key, start, text) in text order."""
+    sizes = np.array([len(r[4]) for r in rows])
+    data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
     begin = np.cumsum(sizes) - sizes
     starts = sizes - least + 1
     owner = np.repeat(np.arange(len(rows)), starts)
@@ -219,7 +235,7 @@ def _settle(rows: list[tuple], least: int, keep_first: bool) -> Iterator[tuple]:
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         if hit[a]:
             r = rows[owner[a]]
-            yield r[3], r[4], r[5] + int(inner[a]), r[5] + int(inner[b - 1]) + least
+            yield r[1], r[2], r[3] + int(inner[a]), r[3] + int(inner[b - 1]) + least
 
 
 def _suffix_spans(texts: DataFrame, least: int, keep_first: bool) -> DataFrame:
@@ -230,7 +246,7 @@ def _suffix_spans(texts: DataFrame, least: int, keep_first: bool) -> DataFrame:
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            waiting.sort(key=lambda r: (r[3] is not None, r[3], r[4], r[5]))
+            waiting.sort(key=lambda r: (r[1] is not None, r[1], r[2], r[3]))
             found = list(_settle(waiting, least, keep_first)) if waiting else []
             ids, keys, starts, ends = zip(*found, strict=True) if found else ([], [], [], [])
             return pa.RecordBatch.from_arrays([
@@ -244,100 +260,120 @@ def _suffix_spans(texts: DataFrame, least: int, keep_first: bool) -> DataFrame:
                     yield flush()
                     waiting, size = [], 0
                 waiting.append(row)
-                size += len(row[6])
+                size += len(row[4])
                 last = row[0]
         if waiting:
             yield flush()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    dealt = texts.repartition("low").sortWithinPartitions("low")
+    dealt = texts.select("low", "doc_id", "key", "start", "text").repartition("low").sortWithinPartitions("low")
     return dealt.mapInArrow(settle, f"doc_id {kind}, key long, start int, end int")
 
 
-def _windows(texts: DataFrame, least: int) -> DataFrame:
-    """A row for each string of a run: two hashes of it, where it is and how many copies its run has."""
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = batch.column("text").to_pylist()
-        at = np.repeat(np.arange(len(raw)), [len(t) - least + 1 for t in raw])
-        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t[i : i + least]) for t in raw for i in range(len(t) - least + 1)), ">i8")
-        start = np.concatenate([np.arange(s, s + len(t) - least + 1) for s, t in zip(batch.column("start").to_pylist(), raw, strict=True)])
-        take = pa.array(at)
-        return pa.RecordBatch.from_arrays([
-            pa.array(both[::2].astype(np.int64)), pa.array(both[1::2].astype(np.int64)), batch.column("copies").take(take),
-            batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(start.astype(np.int32)),
-        ], names=["h1", "h2", "copies", "doc_id", "key", "start"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(in_batches(cut), f"h1 long, h2 long, copies long, doc_id {kind}, key long, start int")
+_PLACE = ("doc_id", "key", "start")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> DataFrame:
-    """doc_id, key, start, end: byte ranges of documents (doc_id, key, text) that strings occurring elsewhere cover.
+def _sorted_out(found: DataFrame, least: int, keep_first: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """Spans of runs that are repeated as a whole, and what is left: one of each run in groups of different ones.
 
-    With keep_first, the first copy in the order of (doc_id, key, start) stays and later ones are listed.
+    Groups are runs with one smallest hash. The rows left have ``large``, whether theirs has more than
+    GROUP different runs. Everything is counted on the map side first, so a run or a hash that a third
+    of the documents share is one row per task; rows are then matched by joins that Spark can split.
     """
-    spark = docs.sparkSession
-    found = run_table(docs, least)
+    with_text = "text" in found.columns
     groups = found.groupBy("low").agg(
-        F.count("*").alias("n"), F.min("whole").alias("w1"), F.max("whole").alias("w2"), F.max("own").alias("own"))
+        F.count("*").alias("rows"), F.min("whole").alias("w1"), F.max("whole").alias("w2"), F.max("own").alias("own"))
     mixed = (F.col("w1") != F.col("w2")) | F.col("own")
-    groups = groups.filter((F.col("n") > 1) | F.col("own")).select("low", mixed.alias("mixed"))
-    hits = materialize(found.drop("own").join(groups, "low"), "runs")
-    _release(spark)
+    groups = groups.filter((F.col("rows") > 1) | F.col("own")).select("low", mixed.alias("mixed"))
+    hits = materialize(found.drop("own").join(groups, "low"), name)
+    _release(found.sparkSession)
 
-    whole = F.col("start") + F.col("n") + F.lit(least - 1)
-    first = F.min(F.struct("doc_id", "key", "start", "n"))
-    plain = hits.filter("NOT mixed")
+    first = F.min(F.struct(*_PLACE, "n")).alias("first")
+    text = [F.min("text").alias("text")] if with_text else []
     shared = hits.filter("mixed")
-    copies = materialize(
-        shared.groupBy("low", "whole").agg(F.count("*").alias("copies"), first.alias("first"))
-        .select("low", "whole", "copies", "first.*"), "copies")
+    kinds = materialize(
+        shared.groupBy("low", "whole").agg(F.count("*").alias("copies"), first, *text)
+        .select("low", "whole", "copies", "first.*", *(["text"] if with_text else [])), f"{name}-kinds")
+    plain = hits.filter("NOT mixed")
     if keep_first:
-        firsts = plain.groupBy("low", "whole").agg(first.alias("f")).select("low", "whole", F.struct("f.doc_id", "f.key", "f.start", "f.n").alias("f"))
-        later = plain.unionByName(shared).join(
-            firsts.unionByName(copies.select("low", "whole", F.struct("doc_id", "key", "start", "n").alias("f"))), ["low", "whole"])
-        full = later.filter(~F.struct("doc_id", "key", "start", "n").eqNullSafe(F.col("f")))
+        firsts = plain.groupBy("low", "whole").agg(first).select("low", "whole", "first.doc_id", "first.key", "first.start")
+        firsts = firsts.union(kinds.select("low", "whole", *_PLACE))
+        firsts = firsts.select("low", "whole", F.struct(*_PLACE).alias("first"))
+        full = hits.join(firsts, ["low", "whole"]).filter(~F.struct(*_PLACE).eqNullSafe(F.col("first")))
     else:
-        full = plain.select("doc_id", "key", "start", "n").union(
-            shared.join(copies.filter("copies > 1").select("low", "whole"), ["low", "whole"]).select("doc_id", "key", "start", "n"))
-    full = full.select("doc_id", "key", "start", whole.alias("end"))
-
-    # Runs that differ: their texts, one of each, go where their smallest hash is settled.
-    large = copies.groupBy("low").agg(F.count("*").alias("different")).filter(F.col("different") > GROUP).select("low", F.lit(True).alias("large"))
-    wanted = copies.join(large, "low", "left").select("low", "whole", "copies", "doc_id", "key", "start", "n", F.coalesce("large", F.lit(False)).alias("large"))
-    by_doc = wanted.groupBy("doc_id", "key").agg(F.collect_list(F.struct("low", "whole", "copies", "start", "n", "large")).alias("runs"))
-    named = docs.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), "text")
-    pieces = named.join(by_doc.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")))
-
-    def slices(batch: pa.RecordBatch) -> pa.RecordBatch:
+        twice = kinds.filter("copies > 1").select("low", "whole")
+        full = plain.select(*_PLACE, "n").union(shared.join(twice, ["low", "whole"]).select(*_PLACE, "n"))
+    large = kinds.groupBy("low").agg(F.count("*").alias("different")).filter(F.col("different") > GROUP)
+    left = kinds.drop("copies").join(large.select("low", F.lit(True).alias("large")), "low", "left")
+    return _spans(full, least), left.withColumn("large", F.coalesce("large", F.lit(False)))
+
+
+def _spans(rows: DataFrame, least: int) -> DataFrame:
+    return rows.select(*_PLACE, (F.col("start") + F.col("n") + F.lit(least - 1)).cast("int").alias("end"))
+
+
+def _with_texts(left: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """The runs with their texts, fetched from the documents."""
+    by_doc = left.groupBy("doc_id", "key").agg(F.collect_list(F.struct("low", "start", "n", "large")).alias("runs"))
+    named = docs.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.col("text").alias("own_text"))
+    joined = named.join(
+        by_doc.hint("shuffle_hash"), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")))
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for doc_id, key, listed, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "runs", "text")), strict=True):
+        for doc_id, key, listed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            out += [(r["low"], r["whole"], r["copies"], doc_id, key, r["start"], raw[r["start"] : r["start"] + r["n"] + least - 1], r["large"]) for r in listed]
-        low, whole, copies, ids, keys, starts, texts, large = zip(*out, strict=True)
+            out += [(r["low"], doc_id, key, r["start"], raw[r["start"] : r["start"] + r["n"] + least - 1], r["large"]) for r in listed]
+        low, ids, keys, starts, texts, large = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([
-            pa.array(low, pa.int64()), pa.array(whole, pa.int64()), pa.array(copies, pa.int64()),
-            pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()), pa.array(starts, pa.int32()),
-            pa.array(texts, pa.binary()), pa.array(large, pa.bool_()),
-        ], names=["low", "whole", "copies", "doc_id", "key", "start", "text", "large"])
+            pa.array(low, pa.int64()), pa.array(ids, batch.schema.field("doc_id").type), pa.array(keys, pa.int64()),
+            pa.array(starts, pa.int32()), pa.array(texts, pa.binary()), pa.array(large, pa.bool_()),
+        ], names=["low", "doc_id", "key", "start", "text", "large"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = pieces.select("doc_id", "key", "runs", "text").mapInArrow(
-        in_batches(slices), f"low long, whole long, copies long, doc_id {kind}, key long, start int, text binary, large boolean")
+    return joined.select("doc_id", "key", "runs", "own_text").mapInArrow(
+        in_batches(cut), f"low long, doc_id {kind}, key long, start int, text binary, large boolean")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, keep_first: bool = False) -> DataFrame:
+    """doc_id, key, start, end: byte ranges of documents (doc_id, key, text) that strings occurring elsewhere cover.
+
+    With keep_first, the first copy in the order of (doc_id, key, start) stays and later ones are listed.
+
+    Groups too large for one task are dealt out anew by longer grams, which make shorter runs: what is
+    inside a common passage becomes equal runs, what is outside becomes runs of its own, and only the
+    runs on a passage's edge stay different. The last grams are the strings themselves.
+    """
+    spark = docs.sparkSession
+    found = run_table(docs.withColumn("start", F.lit(0)), least, min(GRAM, least), False)
+    spans, left = _sorted_out(found, least, keep_first, "runs")
+    texts = _with_texts(left, docs, least)
     if keep_first:  # a row that repeats must not be its own earlier copy
-        texts = texts.dropDuplicates(["low", "whole", "doc_id", "key", "start"])
-    texts = materialize(texts, "run-texts")
+        texts = texts.dropDuplicates(["low", *_PLACE])
+    left = materialize(texts, "run-texts")
     _release(spark)
-    sorted_out = _suffix_spans(texts.filter("NOT large").drop("large"), least, keep_first)
-    strings = _windows(texts.filter("large").drop("large"), least)
-    place = F.struct("doc_id", "key", "start")
-    often = strings.groupBy("h1", "h2").agg(F.sum("copies").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    counted = strings.join(often, ["h1", "h2"])
+    for gram in (least * 4 // 5, least * 24 // 25, least):
+        spans = spans.union(_suffix_spans(left.filter("NOT large"), least, keep_first))
+        left = left.filter("large")
+        if left.isEmpty():
+            return spans
+        found = run_table(left, least, gram, gram < least)
+        if gram == least:
+            return spans.union(_equal_strings(found, least, keep_first))
+        more, left = _sorted_out(found, least, keep_first, "edge-runs")
+        spans, left = spans.union(more), materialize(left, "edge-texts")
+    return spans
+
+
+def _equal_strings(found: DataFrame, least: int, keep_first: bool) -> DataFrame:
+    """Spans of runs of which each is one string, again and again, known by its two hashes."""
+    place = F.struct(*_PLACE)
+    one = found.groupBy("low", "whole").agg(F.sum("n").alias("strings"), F.min(place).alias("first")).filter("strings > 1")
+    rows = found.select("low", "whole", *_PLACE, "n").join(one, ["low", "whole"])
     if keep_first:
-        counted = counted.filter(~place.eqNullSafe(F.col("first")))
-    counted = counted.select("doc_id", "key", "start", (F.col("start") + F.lit(least)).cast("int").alias("end"))
-    return full.select("doc_id", "key", "start", F.col("end").cast("int")).union(sorted_out).union(counted)
+        rows = rows.withColumn("skip", place.eqNullSafe(F.col("first")).cast("int"))
+        rows = rows.withColumns({"start": F.col("start") + F.col("skip"), "n": F.col("n") - F.col("skip")}).filter("n > 0")
+    return _spans(rows, least)
 
 
 def _release(spark) -> None:
