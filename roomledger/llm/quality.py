@@ -25,7 +25,7 @@ MOST_SYMBOLS = 20  # percent of a line's word characters
 SHORT_LINE = 4  # words; a shorter line without an end mark is a menu entry or caption
 
 _ENDS = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*[\s]*$")
-_BAR = re.compile(r"[|›»·•]|(?<=\s)[>/](?=\s)")
+SEPARATORS = frozenset(w.encode() for w in "› » · • > /".split())  # as words of their own; a | counts anywhere
 _LETTER = re.compile(r"[^\W\d_]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 # Phrases of notices that pages repeat.
@@ -68,15 +68,15 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(covered) > 0).sum())
 
 
-def line_fails(line: str, words: int, letters: int) -> str | None:
+def line_fails(line: str, words: list[bytes], letters: int) -> str | None:
     """Rule that a line with words breaks: punctuation, navigation, boilerplate, or None."""
     symbols = sum(line.count(c) for c in SYMBOLS)
     if not _LETTER.search(line) or symbols * 100 > letters * MOST_SYMBOLS:
         return "punctuation"
-    bars = len(_BAR.findall(line))
-    if bars >= 2 and words <= 4 * (bars + 1):
+    bars = line.count("|") + sum(w in SEPARATORS for w in words if len(w) < 4)
+    if bars >= 2 and len(words) <= 4 * (bars + 1):
         return "navigation"
-    if words < SHORT_LINE and not _ENDS.search(line):
+    if len(words) < SHORT_LINE and not _ENDS.search(line):
         return "navigation"
     if _BOILERPLATE.search(line.lower()):
         return "boilerplate"
@@ -98,7 +98,7 @@ def judge(text: str | None) -> dict:
         if again := line in seen:
             duplicates += 1
         seen.add(line)
-        if again or line_fails(line, len(parts), letters):
+        if again or line_fails(line, parts, letters):
             removed += 1
             lost += letters
     repeat = repeated_words(words)
@@ -120,7 +120,7 @@ def cleaned(text: str | None) -> str | None:
         parts = line.encode().split()
         if parts:
             letters = len(line) - sum(line.count(c) for c in SPACES)
-            if line in seen or line_fails(line, len(parts), letters):
+            if line in seen or line_fails(line, parts, letters):
                 continue
             seen.add(line)
         lines.append(line)
