@@ -4,6 +4,11 @@ Different fingerprints are dealt out by a tree of vantage points: those within t
 distance go inside, the others outside, and by the triangle inequality only fingerprints whose distance
 is within the radius of the border can have partners across it, so those are copied inside as well. All
 pairs within the radius thus meet in some shard. A shard goes on dividing the same way in its task.
+
+Triangle bounds prune only at a small radius: unrelated fingerprints of 64 bits are some 32 bits apart, give
+or take 4. Documents of a given similarity are further apart than that allows, so ``similar_groups`` searches
+several small fingerprints of their sets of words, which edits change little, and lets a longer fingerprint of
+the shingles decide.
 """
 
 from __future__ import annotations
@@ -16,38 +21,82 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from roomledger.llm.arrow import bounded_batches, in_batches
 from roomledger.llm.components import components
-from roomledger.sources.tables import materialize
+from roomledger.session import work_dir
+from roomledger.sources.tables import materialize, scratch
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-SHARD = 16_384  # fingerprints a shard is meant to hold
+TABLES = 8  # fingerprints of word sets that similar documents are sought by
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+WIDE = 4  # longs of the fingerprint that decides
+SLACK = 2  # bits beyond the average at the similarity; the deviation is some 6 of 256
+SHARD = 131_072  # fingerprints a shard is meant to hold
 SPLIT = 4 * SHARD  # a shard above this is compared block by block, in tasks of their own
-TREE_SAMPLE = 65_536  # fingerprints that vantage points and borders are chosen from; results don't depend on it
-BLOCK = 1024  # fingerprints compared at once
+TREE_SAMPLE = 65_536  # fingerprints, on average, that vantage points and borders are chosen from; results don't depend on it
+BLOCK = 512  # fingerprints compared at once, few enough for a processor's cache
+_TRIED = 6  # vantage points tried for one division
+_ALL = (1 << 64) - 1
 _STEP = 1 << 16  # shingles hashed at once
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of a whole text; a text without words has 0."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII spaces
+    return int(_majority(*_shingle_hashes(_words(text), shingle), 1)[0])
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: A-Z only, and the six ASCII spaces
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> tuple[int, Iterator[np.ndarray]]:
+    """How many shingles there are, and their hashes a step at a time; too few words are one shingle."""
     if not words:
-        return 0
+        return 0, iter(())
     count = max(1, len(words) - shingle + 1)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:count].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    for at in range(0, count, _STEP):
-        pieces = [joined[a:b] for a, b in zip(starts[at : at + _STEP], ends[at : at + _STEP], strict=True)]
-        hashes = np.fromiter(map(xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
+    steps = (
+        _hashes([joined[a:b] for a, b in zip(starts[at : at + _STEP], ends[at : at + _STEP], strict=True)])
+        for at in range(0, count, _STEP)
+    )
+    return count, steps
+
+
+def _hashes(pieces: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
+
+
+def _again(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash of what was hashed; turn 0 leaves it."""
+    if turn:
+        hashes = (hashes + np.uint64(turn * 0x9E3779B97F4A7C15 & _ALL)) * np.uint64(0xBF58476D1CE4E5B9)
+        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        hashes ^= hashes >> np.uint64(32)
+    return hashes
+
+
+def _majority(count: int, steps: Iterator[np.ndarray], longs: int) -> np.ndarray:
+    """SimHash of so many longs: a bit is set where it is in over half of the hashes."""
+    ones = np.zeros((longs, 64), np.int64)
+    for hashes in steps:
+        for turn in range(longs):
+            bits = np.unpackbits(_again(hashes, turn).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[turn] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+
+
+def word_set_fingerprints(text: str | None, tables: int = TABLES) -> np.ndarray:
+    """Fingerprints of the set of a text's words, each from other hashes."""
+    words = list(set(_words(text)))
+    steps = (_hashes(words[at : at + _STEP]) for at in range(0, len(words), _STEP))
+    return _majority(len(words), steps, tables)
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE) -> DataFrame:
@@ -66,6 +115,23 @@ def _distance(a, b) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b))
 
 
+def _vantage(fps: np.ndarray, radius: int) -> tuple[np.uint64, int]:
+    """The vantage point and border that divide the fingerprints with the least work left.
+
+    A few of them are tried, as the one that divided the parent can't divide its halves again. The work
+    of a side grows as the square of its size.
+    """
+    some = fps[:: max(1, len(fps) // 4096)]
+    best = (np.inf, fps[0], 64)
+    for point in fps[(np.arange(1, _TRIED + 1) * len(fps)) // (_TRIED + 1)]:
+        at_most = np.cumsum(np.bincount(_distance(some, point), minlength=65)) / len(some)
+        inside = at_most[np.minimum(np.arange(65) + radius, 64)]
+        work = inside**2 + (1 - at_most) ** 2
+        if work.min() < best[0]:
+            best = (work.min(), point, int(work.argmin()))
+    return best[1], best[2]
+
+
 def vantage_tree(sample: np.ndarray, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Vantage points and borders of a full tree, node i having children 2i and 2i + 1."""
     points = np.zeros(1 << depth, np.uint64)
@@ -74,9 +140,8 @@ def vantage_tree(sample: np.ndarray, depth: int, radius: int) -> tuple[np.ndarra
     for node in range(1, 1 << depth):
         own = inside.pop(node)
         if len(own):
-            points[node] = own[0]
-            d = _distance(own, own[0])
-            borders[node] = int(np.median(d))
+            points[node], borders[node] = _vantage(own, radius)
+            d = _distance(own, points[node])
             inside[2 * node], inside[2 * node + 1] = own[d <= borders[node] + radius], own[d > borders[node]]
         else:
             inside[2 * node] = inside[2 * node + 1] = own
@@ -84,85 +149,133 @@ def vantage_tree(sample: np.ndarray, depth: int, radius: int) -> tuple[np.ndarra
 
 
 def shards_of(fps: np.ndarray, points: np.ndarray, borders: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, fingerprint) rows: each goes to its own shard and to those it overlaps."""
-    node = np.ones(len(fps), np.int64)
+    """(shard, place) rows: each fingerprint goes to its own shard and to those it overlaps."""
+    node, at = np.ones(len(fps), np.int64), np.arange(len(fps))
     for _ in range(len(points).bit_length() - 1):
-        d, border = _distance(fps, points[node]).astype(np.int64), borders[node]
+        d, border = _distance(fps[at], points[node]).astype(np.int64), borders[node]
         inside, outside = d <= border + radius, d > border
-        fps = np.concatenate([fps[inside], fps[outside]])
+        at = np.concatenate([at[inside], at[outside]])
         node = np.concatenate([2 * node[inside], 2 * node[outside] + 1])
-    return node, fps
-
-
-def _spanning(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that join everything within the radius, one per fingerprint at most.
-
-    A found fingerprint is searched once, among those not found yet: a dense group of n makes n - 1
-    links, to its first member, and never n * n pairs.
+    return node, at
+
+
+class _Search:
+    """Fingerprints of one shard and, if the near ones are to be judged further, their long fingerprints."""
+
+    def __init__(self, fps: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0):
+        self.fps, self.radius, self.wide, self.most = fps, radius, wide, most
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others link to one."""
+        found = _distance(self.fps[others], self.fps[one]) <= self.radius
+        if self.wide is not None and found.any():
+            at = np.flatnonzero(found)
+            found[at] = _distance(self.wide[others[at]], self.wide[one]).sum(axis=1) <= self.most
+        return found
+
+    def spanning(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links that join whatever links join, one per fingerprint at most.
+
+        A found fingerprint is searched once, among those not found yet: a dense group of n makes n - 1
+        links, to its first member, and never n * n pairs.
+        """
+        links = []
+        while len(at) > 1:
+            first, queue, at = at[0], [at[0]], at[1:]
+            while queue and len(at):
+                near = self.near(queue.pop(), at)
+                if near.any():
+                    found, at = at[near], at[~near]
+                    links.append((np.full(len(found), first), found))
+                    queue.extend(found)
+        return links
+
+    def links(self, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links among the fingerprints there, dividing them until few are left."""
+        fps = self.fps[at]
+        if len(at) <= BLOCK:
+            near = _distance(fps[:, None], fps[None, :]) <= self.radius
+            return self.spanning(at[near.sum(axis=1) > 1])
+        point, border = _vantage(fps, self.radius)
+        d = _distance(fps, point)
+        inside, outside = at[d <= border + self.radius], at[d > border]
+        if max(len(inside), len(outside)) > 0.95 * len(at):
+            return self.spanning(at)  # all are about as far from each other; the tree can't divide them
+        return self.links(inside) + self.links(outside)
+
+
+def links_within(fps: np.ndarray, radius: int, wide: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of links that connect exactly what the pairs within the radius connect.
+
+    With long fingerprints, only pairs that differ in ``most`` of their bits or fewer count.
     """
-    links = []
-    rest = fps
-    while len(rest) > 1:
-        first, queue, rest = rest[0], [rest[0]], rest[1:]
-        while queue and len(rest):
-            near = _distance(rest, queue.pop()) <= radius
-            if near.any():
-                found, rest = rest[near], rest[~near]
-                links.append((np.full(len(found), first), found))
-                queue.extend(found)
-    return links
-
-
-def links_within(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links among different fingerprints that connect exactly what pairs within the radius connect."""
-    if len(fps) <= BLOCK:
-        near = _distance(fps[:, None], fps[None, :]) <= radius
-        return _spanning(fps[near.sum(axis=1) > 1], radius)
-    d = _distance(fps, fps[0])
-    border = int(np.median(d))
-    inside, outside = fps[d <= border + radius], fps[d > border]
-    if max(len(inside), len(outside)) > 0.95 * len(fps):
-        return _spanning(fps, radius)  # all are about as far from each other; the tree can't divide them
-    return links_within(inside, radius) + links_within(outside, radius)
+    found = _Search(fps, radius, wide, most).links(np.arange(len(fps)))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+    return a, b
 
 
-def linked_fingerprints(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
-    """Links (a, b) among the different fingerprints of a written table (fp).
+def _dealt(rows: DataFrame, radius: int, shard: int, split: int, path: str) -> DataFrame:
+    """The rows (node, fp, and maybe more) of a written table with their task (shard, i, j), copied where they overlap.
+
+    They are written to the path on the way.
 
     How deep the tree is follows from the number of fingerprints. A shard that came out too large, as
     fingerprints close to each other do, is cut into blocks and every pair of blocks is a task.
     """
-    spark = fps.sparkSession
-    total = fps.count()
+    spark = rows.sparkSession
+    total = rows.count()
     depth, size = 0, float(total)
     while size > shard and depth < 24:
         depth, size = depth + 1, size * 0.65  # half of them, and three tenths more for the overlap
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    chosen = F.pmod(F.xxhash64("fp"), F.lit(max(total, 1))) < TREE_SAMPLE  # about that many, whatever the total
+    sample = rows.select("fp").filter(chosen if depth else F.lit(False)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     points, borders = vantage_tree(sample, depth, radius)
+    at = rows.columns.index("fp")
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        node, copies = shards_of(own, points, borders, radius)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(copies.view(np.int64))], names=["shard", "fp"])
-
-    dealt = fps.select("fp").mapInArrow(in_batches(deal), "shard long, fp long")
-    sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > split).select("shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("blocks"))
+        own = batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64)
+        node, copied = shards_of(own, points, borders, radius)
+        take = pa.array(copied)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(node), *(c.take(take) for c in batch.columns)], names=["shard", *batch.schema.names])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows.mapInArrow(in_batches(deal), f"shard long, {fields}").write.parquet(path)
+    dealt = spark.read.schema(f"shard long, {fields}").parquet(path)
+    large = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > split)
+    large = large.select("shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     placed = dealt.join(large, "shard", "left").select(
-        "shard", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        "shard", *rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select(
-        "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+        "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns)
+    # few bytes and much work: the number of tasks must not follow the size of the data
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // shard)
+    return placed.repartition(tasks, "shard", "i", "j")
+
+
+def _compare(radius: int, most: int | None = None):
+    """Function for applyInPandas that finds the links (a, b) among the nodes of a task."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found = links_within(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
-        if not found:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        a, b = (np.concatenate(side).view(np.int64) for side in zip(*found, strict=True))
-        return pd.DataFrame({"a": a, "b": b})
+        node = group["node"].to_numpy(np.int64)
+        wide = None
+        if most is not None:
+            wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(len(group), -1)
+        a, b = links_within(group["fp"].to_numpy(np.int64).view(np.uint64), radius, wide, most or 0)
+        return pd.DataFrame({"a": node[a], "b": node[b]})
+
+    return compare
 
-    return placed.groupBy("shard", "i", "j").applyInPandas(compare, "a long, b long")
+
+def linked_fingerprints(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
+    """Links (a, b) among the different fingerprints of a written table (fp)."""
+    rows = fps.select(F.col("fp").alias("node"), "fp")
+    placed = _dealt(rows, radius, shard, split, work_dir(fps.sparkSession, "shards"))
+    return placed.groupBy("shard", "i", "j").applyInPandas(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -182,17 +295,65 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component, the one with the least id stays.
+def word_sets(docs: DataFrame, keep: list[str], tables: int = TABLES, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Kept columns of documents (with text), same (a digest of the words in order), prints of the word set, wide."""
+
+    def hash_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same, prints, wide = [], [], []
+        for text in batch.column(batch.num_columns - 1).to_pylist():
+            words = _words(text)
+            same.append(xxh3_128_digest(b" ".join(words)))
+            prints.append(word_set_fingerprints(text, tables).view(np.int64).tolist())
+            wide.append(_majority(*_shingle_hashes(words, shingle), WIDE).tobytes())
+        return pa.RecordBatch.from_arrays([
+            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
+        ], names=[*batch.schema.names[:-1], "same", "prints", "wide"])
+
+    bounded_batches(docs.sparkSession)
+    chosen = docs.select(*keep, "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, prints array<long>, wide binary")
+
+
+def similar_groups(hashed: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """node, root of every row of a written table of word sets with a number (node): groups of similar documents.
+
+    Documents with the same words in the same order are one from the start. Each of the fingerprints of
+    word sets is searched at the small radius. A pair found counts if the long fingerprints of its
+    shingles differ in few enough bits: shingles of similarity s have the cosine 2s / (1 + s), and a bit
+    differs with probability arccos of it over pi.
+    """
+    spark = hashed.sparkSession
+    most = int(np.ceil(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + SLACK
+    first = materialize(hashed.groupBy("same").agg(F.min("node").alias("first")), "firsts")
+    kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").select("node", "prints", "wide"), "kinds")
+    links = None
+    for table in range(tables):
+        rows = kinds.select("node", F.element_at("prints", table + 1).alias("fp"), "wide")
+        with scratch(spark, "shards") as path:
+            placed = _dealt(rows, RADIUS, SHARD, SPLIT, path)
+            found = materialize(placed.groupBy("shard", "i", "j").applyInPandas(_compare(RADIUS, most), "a long, b long"), "similar")
+        links = found if links is None else links.union(found)
+    roots = components(links).withColumnRenamed("node", "first")
+    return hashed.select("node", "same").join(first, "same").join(roots, "first", "left").select(
+        "node", F.coalesce("root", "first").alias("root"))
+
+
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group of similar ones, the one with the least id stays.
 
     A row is known by the hashes of its id and its text. Of rows that repeat exactly one stays; a row
-    without an id stays only if its whole component has none. A null text counts as empty.
+    without an id stays only if its whole group has none. A null text counts as empty, and texts without
+    words are copies of each other.
     """
-    keyed = docs.withColumns({"__id": F.xxhash64(id_col), "__text": F.xxhash64(F.coalesce(text_col, F.lit("")))})
-    named = keyed.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "__id", "__text").alias("doc_id"), text_col)
-    hashed = fingerprints(named, "doc_id", text_col, shingle)
-    groups = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(linked_fingerprints(groups, radius))
-    best = groups.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp")).agg(F.min("least").alias("least"))
-    kept = keyed.join(best.select("least.__id", "least.__text"), ["__id", "__text"], "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumns({"__id": F.xxhash64(id_col), "__text": F.xxhash64(text)})
+    rows = keyed.select(
+        F.monotonically_increasing_id().alias("node"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+        "__id", "__text", text.alias("text"))
+    hashed = materialize(word_sets(rows, rows.columns[:-1]), "word-sets")
+    groups = similar_groups(hashed, similarity)
+    named = hashed.select("node", F.struct("none", "id", "__id", "__text").alias("name"))
+    best = groups.join(named, "node").groupBy("root").agg(F.min("name").alias("name"))
+    kept = keyed.join(best.select("name.__id", "name.__text"), ["__id", "__text"], "left_semi")
     return kept.dropDuplicates(["__id", "__text"]).drop("__id", "__text")
