@@ -93,3 +93,32 @@ def repeated_words(words):
         if counts[tuple(words[i : i + 5])] > 1:
             covered.update(range(i, i + 5))
     return len(covered)
+
+
+def similar(a, b, shingle=5):
+    """Weighted similarity of two texts' shingles, A-Z lower-cased; equal word lists are 1."""
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return Counter(tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1)))
+
+    x, y = grams(a), grams(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def kept_of_similar(docs, least):
+    """Least id of each group of documents that are so similar."""
+    docs = [(i, t or "") for i, t in docs]
+    bags = [frozenset(t.lower().split()) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(bags[i] & bags[j]) * 2 >= len(bags[i]) and similar(docs[i][1], docs[j][1]) >= least:
+                a, b = sorted((find(i), find(j)), key=lambda n: docs[n][0])
+                parent[b] = a
+    return {docs[find(n)][0] for n in range(len(docs))}

@@ -1,0 +1,125 @@
+"""HTML extraction and WARC archives."""
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from roomledger.llm import extract, warc
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body class="x1">
+<header>top</header><nav><ul><li><a href="/">menu</a></ul></nav><div class="cookie-notice">accept</div>
+<div class="col-12 main"><h1>Title &amp; more</h1><p>One <b>t</b>wo&nbsp;three<br>four<p>five <!-- no -->six
+<form><input><p>mail</form><div class="ad">buy</div></div><aside>side</aside><section id="comments"><p>first!</section><footer>&copy;</footer>"""
+
+
+def test_page_without_article():
+    path, score = extract.vote(PAGE)
+    assert path == "/html/body.x#/div.col-#.main" and score > 0
+    assert extract.extract(PAGE, path) == "Title & more One two three four five six"
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (None, ""), ("", ""), ("just text", "just text"), ("<p>a</p></div></b><p>b", "a b"), ("<script>if(a<b){}", ""), ("<!-- open <p>x", ""),
+    ("<article><h1>T</h1><p>one <b>tw</b>o</p><section class='comments'><p>c</p></section></article><p>out", "T one two"),
+    ("<div class='b'><p>A&lt;x&gt; 1 < 2<p>C<br>D</div><div class=sidebar>no</div>", "A<x> 1 < 2 C D"),
+    ("<p title='a>b'>x</p>", "x"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("<ul><li>a<li>b</ul>", "a b"),
+])
+def test_small_pages(html, text):
+    assert extract.extract(html, extract.vote(html)[0]) == text
+
+
+def test_very_long_and_deep_pages():
+    long = "<article>" + "<p>word &amp; word</p>" * 20_000 + "</article>"
+    assert len(extract.extract(long, "/article")) == len("word & word") * 20_000 + 19_999
+    deep = "<div>" * 3000 + "x"
+    assert extract.extract(deep, extract.vote(deep)[0]) == "x"
+
+
+def test_hosts_agree(spark):
+    article = "<body><div class=c><p>{}</p></div><div class=d><p>{}</p></div>"
+    rows = [(i, "http://h.example/x", article.format("long text " * 9, "short"), "k") for i in range(3)]
+    rows += [(3, "http://h.example/y", article.format("few", "much longer on this page " * 9), "k"), (4, "http://other.example/", article.format("few", "longer " * 9), "k"),
+             (5, None, None, "k"), (6, "no url at all", "", "k"), (6, "no url at all", "", "k")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
+    got = {r.page_id: r for r in extract.main_texts(pages).collect()}
+    assert got[3].text == "few" and got[3].n_chars == 3  # the host's pages outvote it
+    assert got[4].text.startswith("longer") and got[5].text == "" and got[5].url is None
+    assert extract.main_texts(pages).count() == len(rows) and extract.main_texts(pages.limit(0)).count() == 0
+
+
+def test_pages_of_the_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = extract.main_texts(pages).collect()
+    assert len(rows) == 250 and all(r.n_chars == len(r.text) > 0 and "<" not in r.text[:50] for r in rows)
+
+
+BIG = "<p>" + "x" * 1200
+
+
+def archive_rows(spark):
+    rows = [(1, "u", BIG), (2, "u", BIG), (3, None, BIG), (3, None, BIG), (4, "u", None), (5, "u", ""), (6, "u", "a" * 999), (7, "u", "a" * 999),
+            (8, "u", "a" * 1000), (9, "u\r\nWARC-Type: x", "a" * 1000), (None, "u", BIG), (10, "u", "é" * 500), (11, "u", "é" * 500), (12, "u", "é" * 300_000)]
+    return rows, spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, payload string")
+
+
+def test_round_trip(spark):
+    rows, pages = archive_rows(spark)
+    last = {}
+    for i, _, html in rows:
+        if i is not None and len((html or "").encode()) >= 1000:
+            last[html] = max(i, last.get(html, i))
+    want = []
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        revisit = i is not None and html in last and i < last[html]
+        want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", last[html] if revisit else None))
+    assert sorted(map(tuple, warc.round_trip(pages).collect()), key=str) == sorted(want, key=str)
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_predicates_and_payloads(spark, folder):
+    rows, pages = archive_rows(spark)
+    warc.write_warc(warc.page_records(pages), folder)
+    warc.write_warc(warc.page_records(pages.filter("page_id = 4")), folder)  # appends
+    everything = warc.read_warc(spark, folder)
+    assert everything.count() == len(rows) + 1
+    light = warc.read_warc(spark, folder, payload=False)
+    for predicate in ["record_type = 'revisit'", "record_type IN ('response')", "refers_to IS NOT NULL", "target_uri IS NULL",
+                      "record_id LIKE '<urn:page:1%'", "target_uri LIKE '%WARC%'", "payload_bytes > 1000", "record_type = 'response' AND payload_bytes < 10"]:
+        want = [r for r in everything.withColumn("ok", F.expr(predicate)).collect() if r.ok]
+        assert sorted(r.record_id for r in light.filter(predicate).collect() if r.record_id) == sorted(r.record_id for r in want if r.record_id), predicate
+    assert "record_type" not in everything.filter("record_type = 'revisit'")._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0].split("Filter")[-1]
+    payloads = {r.record_id: bytes(r.payload) for r in everything.filter("record_type = 'response'").collect() if r.record_id}
+    assert payloads["<urn:page:12>"] == ("é" * 300_000).encode()
+
+
+def test_archives_are_standard_gzip(spark, folder):
+    import gzip
+
+    _, pages = archive_rows(spark)
+    warc.write_warc(warc.page_records(pages.filter("page_id = 12")).coalesce(1), folder)
+    store, root = warc.open_store(folder)
+    names = [f.path for f in store.get_file_info(warc.fs.FileSelector(root)) if f.path.endswith(".warc.gz")]
+    text = b"".join(gzip.decompress(store.open_input_file(n).read()) for n in names).decode()
+    assert text.startswith("WARC/1.1\r\nWARC-Type: response\r\n") and text.endswith("é\r\n\r\n")
+
+
+def test_what_no_manifest_names_is_not_read(spark, folder):
+    _, pages = archive_rows(spark)
+    warc.write_warc(warc.page_records(pages), folder)
+    count = warc.read_warc(spark, folder).count()
+    store, root = warc.open_store(folder)
+    with store.open_output_stream(f"{root}/part-left-by-a-lost-task.warc.gz", compression=None) as out:
+        out.write(b"half a record")
+    assert warc.read_warc(spark, folder).count() == count
+
+
+def test_round_trip_equals_its_sql(spark):
+    from oracle import compare, connect
+
+    from roomledger.llm.oracles import ORACLES
+    from roomledger.llm.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    assert compare(QUERIES["op6_warc_round_trip"](spark, sf_dir), connect(sf_dir), ORACLES["op6_warc_round_trip"]) is None
