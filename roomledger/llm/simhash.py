@@ -41,6 +41,7 @@ TREE_SAMPLE = 65_536  # fingerprints, on average, that vantage points and border
 BLOCK = 512  # fingerprints compared at once, few enough for a processor's cache
 _TRIED = 6  # vantage points tried for one division
 _ALL = (1 << 64) - 1
+_TASK = ("turn", "shard", "i", "j")
 _STEP = 1 << 16  # shingles hashed at once
 
 
@@ -216,8 +217,10 @@ def links_within(fps: np.ndarray, radius: int, wide: np.ndarray | None = None, m
     return a, b
 
 
-def _dealt(rows: DataFrame, radius: int, shard: int, split: int, path: str) -> DataFrame:
-    """The rows (node, fp, and maybe more) of a written table with their task (shard, i, j), copied where they overlap.
+def _dealt(rows: DataFrame, turns: int, radius: int, shard: int, split: int, path: str) -> DataFrame:
+    """The rows (turn, node, fp, and maybe more) with their task (turn, shard, i, j), copied where they overlap.
+
+    Each turn is a search of its own; one tree serves all, since any vantage points are right.
 
     They are written to the path on the way.
 
@@ -226,7 +229,7 @@ def _dealt(rows: DataFrame, radius: int, shard: int, split: int, path: str) -> D
     """
     spark = rows.sparkSession
     total = rows.count()
-    depth, size = 0, float(total)
+    depth, size = 0, total / turns
     while size > shard and depth < 24:
         depth, size = depth + 1, size * 0.65  # half of them, and three tenths more for the overlap
     chosen = F.pmod(F.xxhash64("fp"), F.lit(max(total, 1))) < TREE_SAMPLE  # about that many, whatever the total
@@ -244,17 +247,17 @@ def _dealt(rows: DataFrame, radius: int, shard: int, split: int, path: str) -> D
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     rows.mapInArrow(in_batches(deal), f"shard long, {fields}").write.parquet(path)
     dealt = spark.read.schema(f"shard long, {fields}").parquet(path)
-    large = dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > split)
-    large = large.select("shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("blocks"))
+    large = dealt.groupBy("turn", "shard").agg(F.count("*").alias("n")).filter(F.col("n") > split)
+    large = large.select("turn", "shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = dealt.join(large, "shard", "left").select(
+    placed = dealt.join(large, ["turn", "shard"], "left").select(
         "shard", *rows.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     placed = placed.select(
         "shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns)
     # few bytes and much work: the number of tasks must not follow the size of the data
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * total // shard)
-    return placed.repartition(tasks, "shard", "i", "j")
+    return placed.repartition(tasks, *_TASK)
 
 
 def _compare(radius: int, most: int | None = None):
@@ -273,9 +276,9 @@ def _compare(radius: int, most: int | None = None):
 
 def linked_fingerprints(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
     """Links (a, b) among the different fingerprints of a written table (fp)."""
-    rows = fps.select(F.col("fp").alias("node"), "fp")
-    placed = _dealt(rows, radius, shard, split, work_dir(fps.sparkSession, "shards"))
-    return placed.groupBy("shard", "i", "j").applyInPandas(_compare(radius), "a long, b long")
+    rows = fps.select(F.lit(0).alias("turn"), F.col("fp").alias("node"), "fp")
+    placed = _dealt(rows, 1, radius, shard, split, work_dir(fps.sparkSession, "shards"))
+    return placed.groupBy(*_TASK).applyInPandas(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -327,13 +330,10 @@ def similar_groups(hashed: DataFrame, similarity: float = SIMILARITY, tables: in
     most = int(np.ceil(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + SLACK
     first = materialize(hashed.groupBy("same").agg(F.min("node").alias("first")), "firsts")
     kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").select("node", "prints", "wide"), "kinds")
-    links = None
-    for table in range(tables):
-        rows = kinds.select("node", F.element_at("prints", table + 1).alias("fp"), "wide")
-        with scratch(spark, "shards") as path:
-            placed = _dealt(rows, RADIUS, SHARD, SPLIT, path)
-            found = materialize(placed.groupBy("shard", "i", "j").applyInPandas(_compare(RADIUS, most), "a long, b long"), "similar")
-        links = found if links is None else links.union(found)
+    rows = kinds.select("node", F.posexplode("prints").alias("turn", "fp"), "wide")
+    with scratch(spark, "shards") as path:
+        placed = _dealt(rows, tables, RADIUS, SHARD, SPLIT, path)
+        links = materialize(placed.groupBy(*_TASK).applyInPandas(_compare(RADIUS, most), "a long, b long"), "similar")
     roots = components(links).withColumnRenamed("node", "first")
     return hashed.select("node", "same").join(first, "same").join(roots, "first", "left").select(
         "node", F.coalesce("root", "first").alias("root"))
