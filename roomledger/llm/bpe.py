@@ -8,6 +8,7 @@ it changes. Encoded pre-tokens are kept in a bounded store, so a word is merged
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from roomledger.llm.arrow import bounded_batches, in_batches
 from roomledger.llm.pieces import Cutter, piece_patterns
 
-STORE = 400_000  # pre-tokens a worker keeps encoded
+STORE = 600_000  # pre-tokens a worker keeps encoded, some 400 bytes each
 _GAP = -1  # symbol between two pre-tokens
 
 
@@ -58,6 +59,7 @@ class Vocabulary:
         self.text = [b""] * self.size
         for symbol, i in vocab.items():
             self.text[i] = bytes(to_byte[c] for c in symbol)
+        self.digits = [str(i) for i in range(self.size)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.added.items():
             self.text[i] = content.encode()
@@ -148,21 +150,24 @@ class Store:
         self.words = words
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
-        self.clear()
+        self.keep(())
 
-    def clear(self) -> None:
-        self.ids.clear()
-        self.decoded.clear()
+    def keep(self, pieces) -> None:
+        """Forget all but these pre-tokens and the added tokens."""
+        ids = {p: self.ids[p] for p in pieces}
+        decoded = {p: self.decoded[p] for p in pieces}
         for content, i in self.words.added.items():
-            self.ids[content], self.decoded[content] = str(i), self.words.decode([i])
+            ids[content], decoded[content] = str(i), self.words.decode([i])
+        self.ids, self.decoded = ids, decoded
 
     def learn(self, parts: list[list[str]]) -> None:
         """Encode the pre-tokens of the parts that the store doesn't hold."""
         known = self.ids
         new = list(set().union(*parts).difference(known))
+        digits, text, decoded = self.words.digits, self.words.text, self.decoded
         for piece, ids in zip(new, self.words.encode([p.encode() for p in new]), strict=True):
-            known[piece] = ",".join(map(str, ids))
-            self.decoded[piece] = self.words.decode(ids)
+            known[piece] = ",".join([digits[i] for i in ids])
+            decoded[piece] = b"".join([text[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -200,8 +205,8 @@ def encode_texts(path: str, cutter: Cutter, texts: list[str | None]) -> Iterator
         known.learn([part for _, part in waiting])
         for at, part in waiting:
             digests[at].add(part, known.ids, known.decoded)
-        if len(known.ids) > STORE:
-            known.clear()
+        if len(known.ids) > STORE:  # the latest texts' pre-tokens have the frequent ones among them
+            known.keep(set().union(*(part for _, part in waiting)))
         waiting.clear()
 
     for at, text in enumerate(texts):
@@ -241,8 +246,11 @@ def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     patterns, added = piece_patterns(path)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cutter = Cutter(patterns, added)
-        rows = list(encode_texts(path, cutter, batch.column(1).to_pylist()))
+        gc.disable()  # millions of small lists, none of them in a cycle
+        try:
+            rows = list(encode_texts(path, Cutter(patterns, added), batch.column(1).to_pylist()))
+        finally:
+            gc.enable()
         return pa.RecordBatch.from_arrays([
             batch.column(0),
             pa.array([r[0] for r in rows], pa.int64()),
