@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from roomledger.llm.arrow import bounded_batches, in_batches
 from roomledger.llm.pieces import Cutter, piece_patterns
 
-STORE = 600_000  # pre-tokens a worker keeps encoded, some 400 bytes each
+STORE = 300_000  # pre-tokens a worker keeps encoded, some 400 bytes each
 _GAP = -1  # symbol between two pre-tokens
 
 
