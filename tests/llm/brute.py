@@ -78,6 +78,8 @@ def contaminations(docs, items, least=0.8):
                 return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
 
             own = grams(wanted)
+            if own.keys().isdisjoint(grams(words)):
+                continue  # no window can be like it
             best = max(
                 weighted_similarity(grams(words[s : s + len(wanted)]), own)
                 for s in range(max(1, len(words) - len(wanted) + 1)))
