@@ -6,9 +6,9 @@ is within the radius of the border can have partners across it, so those are cop
 pairs within the radius thus meet in some shard. A shard goes on dividing the same way in its task.
 
 Triangle bounds prune only at a small radius: unrelated fingerprints of 64 bits are some 32 bits apart, give
-or take 4. Documents of a given similarity are further apart than that allows, so ``similar_groups`` searches
-several small fingerprints of their sets of words, which edits change little, and lets a longer fingerprint of
-the shingles decide.
+or take 4. Documents of a given similarity are further apart than that allows, so ``similar_groups`` seeks them
+by bands of minimum hashes of their shingles, whose chance to meet follows from the similarity alone, whatever
+the edit was.
 """
 
 from __future__ import annotations
@@ -26,13 +26,13 @@ from xxhash import xxh3_128_digest, xxh64_intdigest
 from roomledger.llm.arrow import bounded_batches, in_batches
 from roomledger.llm.components import components
 from roomledger.session import work_dir
-from roomledger.sources.tables import materialize, scratch
+from roomledger.sources.tables import materialize
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
-TABLES = 8  # fingerprints of word sets that similar documents are sought by
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+BANDS, BAND = 20, 5  # keys by which similar documents meet, of so many minimum hashes each: 0.04 % of pairs at 0.8 share none
 WIDE = 4  # longs of the fingerprint that decides
 SLACK = 2  # bits beyond the average at the similarity; the deviation is some 6 of 256
 SHARD = 131_072  # fingerprints a shard is meant to hold
@@ -93,11 +93,35 @@ def _majority(count: int, steps: Iterator[np.ndarray], longs: int) -> np.ndarray
     return np.packbits(2 * ones > count, axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
-def word_set_fingerprints(text: str | None, tables: int = TABLES) -> np.ndarray:
-    """Fingerprints of the set of a text's words, each from other hashes."""
-    words = list(set(_words(text)))
-    steps = (_hashes(words[at : at + _STEP]) for at in range(0, len(words), _STEP))
-    return _majority(len(words), steps, tables)
+def elements(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Sorted hashes of a text's shingles, a shingle's second, third ... occurrence being elements of their own.
+
+    So the weighted similarity of two texts is that of the sets of their elements.
+    """
+    found = np.sort(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(_words(text), shingle)[1]]))
+    if len(found):
+        first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        nth = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
+        if nth.any():
+            found = np.sort(np.where(nth > 0, _again(found + nth.astype(np.uint64) * _ODD[0], 1), found))
+    return found
+
+
+_ODD, _FLIP = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND), dtype=np.uint64)
+_ODD |= np.uint64(1)
+
+
+def signature(found: np.ndarray) -> np.ndarray:
+    """Minimum hashes of a set: each is equal in two sets with the probability of their similarity."""
+    least = np.full(len(_ODD), _ALL, np.uint64)
+    for at in range(0, len(found), BLOCK):
+        np.minimum(least, ((found[at : at + BLOCK, None] ^ _FLIP) * _ODD).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """A key per band of a signature."""
+    return [xxh64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), i) for i in range(BANDS)]
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE) -> DataFrame:
@@ -298,42 +322,75 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def word_sets(docs: DataFrame, keep: list[str], tables: int = TABLES, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Kept columns of documents (with text), same (a digest of the words in order), prints of the word set, wide."""
+def banded(docs: DataFrame, keep: list[str], shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Kept columns of documents (with text), same (a digest of the words in order), keys of the bands, wide."""
 
     def hash_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, prints, wide = [], [], []
+        same, keys, wide = [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
             words = _words(text)
             same.append(xxh3_128_digest(b" ".join(words)))
-            prints.append(word_set_fingerprints(text, tables).view(np.int64).tolist())
+            keys.append(np.array(band_keys(signature(elements(text, shingle))), np.uint64).view(np.int64).tolist())
             wide.append(_majority(*_shingle_hashes(words, shingle), WIDE).tobytes())
         return pa.RecordBatch.from_arrays([
-            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(prints, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
-        ], names=[*batch.schema.names[:-1], "same", "prints", "wide"])
+            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
+        ], names=[*batch.schema.names[:-1], "same", "keys", "wide"])
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keep, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, prints array<long>, wide binary")
+    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, keys array<long>, wide binary")
+
+
+def _met(kinds: DataFrame, shard: int, split: int) -> DataFrame:
+    """Rows (key, node, wide) of keys that several nodes have, with their task (shard, i, j).
+
+    A key of too many nodes is cut into blocks, and every pair of blocks is a task.
+    """
+    rows = kinds.select(F.explode("keys").alias("key"), "node")
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = materialize(rows.join(shared, "key"), "met")
+    total = rows.count()
+    blocks = F.when(F.col("n") > split, F.ceil(F.col("n") / F.lit(shard))).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    placed = rows.join(kinds.select("node", "wide"), "node").select(
+        F.pmod(F.xxhash64("key"), F.lit(total // shard + 16)).alias("shard"), "key", "node", "wide", own.alias("own"),
+        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "node", "wide")
+    tasks = max(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total // shard)
+    return placed.repartition(tasks, "shard", "i", "j")
+
+
+def _compare_met(most: int):
+    """Function for applyInPandas that finds the links (a, b) among the nodes that share a key."""
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key", kind="stable")
+        node, key = group["node"].to_numpy(np.int64), group["key"].to_numpy(np.int64).view(np.uint64)
+        wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(len(group), -1)
+        search, found = _Search(key, 0, wide, most), []
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
+        for first, last in zip(edges, edges[1:], strict=False):
+            found += search.spanning(np.arange(first, last))
+        a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*found, strict=True) if found else ((), ())))
+        return pd.DataFrame({"a": node[a], "b": node[b]}).drop_duplicates()
+
+    return compare
 
 
-def similar_groups(hashed: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
-    """node, root of every row of a written table of word sets with a number (node): groups of similar documents.
+def similar_groups(hashed: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
+    """node, root of every row of a written table of banded documents with a number (node): groups of similar ones.
 
-    Documents with the same words in the same order are one from the start. Each of the fingerprints of
-    word sets is searched at the small radius. A pair found counts if the long fingerprints of its
-    shingles differ in few enough bits: shingles of similarity s have the cosine 2s / (1 + s), and a bit
-    differs with probability arccos of it over pi.
+    Documents with the same words in the same order are one from the start. Others are compared where they
+    share the key of a band: of pairs with similarity s, (1 - s ** BAND) ** BANDS share none. A pair that meets
+    counts if the long fingerprints of its shingles differ in few enough bits: shingles of similarity s have the
+    cosine 2s / (1 + s), and a bit differs with probability arccos of it over pi.
     """
-    spark = hashed.sparkSession
     most = int(np.ceil(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + SLACK
     first = materialize(hashed.groupBy("same").agg(F.min("node").alias("first")), "firsts")
-    kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").select("node", "prints", "wide"), "kinds")
-    rows = kinds.select("node", F.posexplode("prints").alias("turn", "fp"), "wide")
-    with scratch(spark, "shards") as path:
-        placed = _dealt(rows, tables, RADIUS, SHARD, SPLIT, path)
-        links = materialize(placed.groupBy(*_TASK).applyInPandas(_compare(RADIUS, most), "a long, b long"), "similar")
+    kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").select("node", "keys", "wide"), "kinds")
+    links = materialize(
+        _met(kinds, shard, split).groupBy("shard", "i", "j").applyInPandas(_compare_met(most), "a long, b long"), "similar")
     roots = components(links).withColumnRenamed("node", "first")
     return hashed.select("node", "same").join(first, "same").join(roots, "first", "left").select(
         "node", F.coalesce("root", "first").alias("root"))
@@ -351,7 +408,7 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", similarity: f
     rows = keyed.select(
         F.monotonically_increasing_id().alias("node"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
         "__id", "__text", text.alias("text"))
-    hashed = materialize(word_sets(rows, rows.columns[:-1]), "word-sets")
+    hashed = materialize(banded(rows, rows.columns[:-1]), "banded")
     groups = similar_groups(hashed, similarity)
     named = hashed.select("node", F.struct("none", "id", "__id", "__text").alias("name"))
     best = groups.join(named, "node").groupBy("root").agg(F.min("name").alias("name"))
