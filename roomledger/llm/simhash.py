@@ -8,13 +8,15 @@ pairs within the radius thus meet in some shard. A shard goes on dividing the sa
 Triangle bounds prune only at a small radius: unrelated fingerprints of 64 bits are some 32 bits apart, give
 or take 4. Documents of a given similarity are further apart than that allows, so ``similar_groups`` seeks them
 by bands of minimum hashes of their shingles, whose chance to meet follows from the similarity alone, whatever
-the edit was.
+the edit was, and compares the shingles themselves of those that meet.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import repeat
+from tempfile import TemporaryFile
 
 import numpy as np
 import pandas as pd
@@ -33,8 +35,8 @@ SHINGLE = 3
 RADIUS = 3
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 BANDS, BAND = 20, 5  # keys by which similar documents meet, of so many minimum hashes each: 0.04 % of pairs at 0.8 share none
-WIDE = 4  # longs of the fingerprint that decides
-SLACK = 2  # bits beyond the average at the similarity; the deviation is some 6 of 256
+LOOSE = 5  # deviations below the average of equal minimum hashes that a pair may have and still be compared
+HELD = 4 << 20  # elements of a group of documents that a task keeps in memory; more are in a file without a name
 SHARD = 131_072  # fingerprints a shard is meant to hold
 SPLIT = 4 * SHARD  # a shard above this is compared block by block, in tasks of their own
 TREE_SAMPLE = 65_536  # fingerprints, on average, that vantage points and borders are chosen from; results don't depend on it
@@ -124,6 +126,11 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [xxh64_intdigest(least[i * BAND : (i + 1) * BAND].tobytes(), i) for i in range(BANDS)]
 
 
+def sketch(least: np.ndarray) -> bytes:
+    """The lowest byte of each minimum hash: about as many are equal as the similarity says."""
+    return (least & np.uint64(255)).astype(np.uint8).tobytes()
+
+
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (as a signed long) of every row."""
 
@@ -284,15 +291,12 @@ def _dealt(rows: DataFrame, turns: int, radius: int, shard: int, split: int, pat
     return placed.repartition(tasks, *_TASK)
 
 
-def _compare(radius: int, most: int | None = None):
+def _compare(radius: int):
     """Function for applyInPandas that finds the links (a, b) among the nodes of a task."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         node = group["node"].to_numpy(np.int64)
-        wide = None
-        if most is not None:
-            wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(len(group), -1)
-        a, b = links_within(group["fp"].to_numpy(np.int64).view(np.uint64), radius, wide, most or 0)
+        a, b = links_within(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
     return compare
@@ -323,27 +327,92 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
 
 
 def banded(docs: DataFrame, keep: list[str], shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Kept columns of documents (with text), same (a digest of the words in order), keys of the bands, wide."""
+    """Kept columns of documents (with text), same (a digest of the words in order), keys of the bands, sketch (a byte of each minimum hash)."""
 
     def hash_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, keys, wide = [], [], []
+        same, keys, sketches = [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
-            words = _words(text)
-            same.append(xxh3_128_digest(b" ".join(words)))
-            keys.append(np.array(band_keys(signature(elements(text, shingle))), np.uint64).view(np.int64).tolist())
-            wide.append(_majority(*_shingle_hashes(words, shingle), WIDE).tobytes())
+            least = signature(elements(text, shingle))
+            same.append(xxh3_128_digest(b" ".join(_words(text))))
+            keys.append(np.array(band_keys(least), np.uint64).view(np.int64).tolist())
+            sketches.append(sketch(least))
         return pa.RecordBatch.from_arrays([
-            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(wide, pa.binary()),
-        ], names=[*batch.schema.names[:-1], "same", "keys", "wide"])
+            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+        ], names=[*batch.schema.names[:-1], "same", "keys", "sketch"])
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keep, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, keys array<long>, wide binary")
+    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, keys array<long>, sketch binary")
+
+
+class _Sketched(_Search):
+    """Documents that may be similar, judged by their sketches with so much slack that similar ones pass."""
+
+    def __init__(self, sketches: list[bytes], similarity: float):
+        self.sketches = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+        count = self.sketches.shape[1]
+        self.enough = count * similarity - LOOSE * np.sqrt(count * similarity * (1 - similarity))
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(others), bool)
+        for at in range(0, len(others), _STEP):
+            some = slice(at, at + _STEP)
+            found[some] = (self.sketches[others[some]] == self.sketches[one]).sum(axis=1) >= self.enough
+        return found
+
+
+class _Elements:
+    """Elements of many documents, in memory up to HELD of them, else in a file that goes with this object."""
+
+    def __init__(self):
+        self.sizes, self.held, self.waiting, self.placed, self.end, self.file = [], 0, {}, {}, 0, None
+
+    def append(self, found: np.ndarray) -> None:
+        self.waiting[len(self.sizes)] = found
+        self.sizes.append(len(found))
+        self.held += len(found)
+        if self.held > HELD:
+            self.file = self.file or TemporaryFile()
+            for at, own in self.waiting.items():
+                self.placed[at] = self.end
+                self.end += self.file.write(own.tobytes())
+            self.file.flush()
+            self.waiting, self.held = {}, 0
+
+    def __getitem__(self, at: int) -> np.ndarray:
+        if at in self.waiting:
+            return self.waiting[at]
+        return np.frombuffer(os.pread(self.file.fileno(), 8 * self.sizes[at], self.placed[at]), np.uint64)
+
+
+class _Exact(_Sketched):
+    """Documents that are similar by their elements."""
+
+    def __init__(self, sketches: list[bytes], similarity: float, elements_of: _Elements):
+        super().__init__(sketches, similarity)
+        self.similarity, self.elements, self.sizes = similarity, elements_of, np.array(elements_of.sizes)
+
+    def near(self, one: int, others: np.ndarray) -> np.ndarray:
+        found = super().near(one, others)
+        size, sizes = self.sizes[one], self.sizes[others]
+        found &= np.minimum(size, sizes) >= self.similarity * np.maximum(size, sizes) - 1e-6
+        own = self.elements[one]
+        for at in np.flatnonzero(found).tolist():
+            found[at] = similarity_of(own, self.elements[others[at]]) >= self.similarity
+        return found
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the elements of two sorted sets that are in both."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common / (len(a) + len(b) - common)
 
 
 def _met(kinds: DataFrame, shard: int, split: int) -> DataFrame:
-    """Rows (key, node, wide) of keys that several nodes have, with their task (shard, i, j).
+    """Rows (key, node, sketch) of keys that several nodes have, with their task (shard, i, j).
 
     A key of too many nodes is cut into blocks, and every pair of blocks is a task.
     """
@@ -353,22 +422,21 @@ def _met(kinds: DataFrame, shard: int, split: int) -> DataFrame:
     total = rows.count()
     blocks = F.when(F.col("n") > split, F.ceil(F.col("n") / F.lit(shard))).otherwise(1).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    placed = rows.join(kinds.select("node", "wide"), "node").select(
-        F.pmod(F.xxhash64("key"), F.lit(total // shard + 16)).alias("shard"), "key", "node", "wide", own.alias("own"),
+    placed = rows.join(kinds.select("node", "sketch"), "node").select(
+        F.pmod(F.xxhash64("key"), F.lit(total // shard + 16)).alias("shard"), "key", "node", "sketch", own.alias("own"),
         F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    placed = placed.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "node", "wide")
+    placed = placed.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "node", "sketch")
     tasks = max(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total // shard)
     return placed.repartition(tasks, "shard", "i", "j")
 
 
-def _compare_met(most: int):
-    """Function for applyInPandas that finds the links (a, b) among the nodes that share a key."""
+def _compare_met(similarity: float):
+    """Function for applyInPandas that finds the links (a, b) among the nodes that share a key and may be similar."""
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key", kind="stable")
-        node, key = group["node"].to_numpy(np.int64), group["key"].to_numpy(np.int64).view(np.uint64)
-        wide = np.frombuffer(b"".join(group["wide"]), np.uint64).reshape(len(group), -1)
-        search, found = _Search(key, 0, wide, most), []
+        node, key = group["node"].to_numpy(np.int64), group["key"].to_numpy(np.int64)
+        search, found = _Sketched(group["sketch"].tolist(), similarity), []
         edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
         for first, last in zip(edges, edges[1:], strict=False):
             found += search.spanning(np.arange(first, last))
@@ -378,19 +446,51 @@ def _compare_met(most: int):
     return compare
 
 
-def similar_groups(hashed: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
+def _compare_groups(similarity: float):
+    """Function for mapInArrow that finds the links (a, b) in rows (root, node, sketch, text) ordered by root and node."""
+
+    def links(nodes: list[int], sketches: list[bytes], found: _Elements) -> pa.RecordBatch:
+        pairs = _Exact(sketches, similarity, found).spanning(np.arange(len(nodes)))
+        a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*pairs, strict=True) if pairs else ((), ())))
+        named = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(named[a]), pa.array(named[b])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, nodes, sketches, found = None, [], [], _Elements()
+        for batch in batches:
+            for root, node, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if root != group:
+                    if len(nodes) > 1:
+                        yield links(nodes, sketches, found)
+                    group, nodes, sketches, found = root, [], [], _Elements()
+                if not nodes or nodes[-1] != node:  # rows that repeat exactly come as often as they are there
+                    nodes.append(node)
+                    sketches.append(own)
+                    found.append(elements(text))
+        if len(nodes) > 1:
+            yield links(nodes, sketches, found)
+
+    return compare
+
+
+def similar_groups(hashed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
     """node, root of every row of a written table of banded documents with a number (node): groups of similar ones.
 
-    Documents with the same words in the same order are one from the start. Others are compared where they
-    share the key of a band: of pairs with similarity s, (1 - s ** BAND) ** BANDS share none. A pair that meets
-    counts if the long fingerprints of its shingles differ in few enough bits: shingles of similarity s have the
-    cosine 2s / (1 + s), and a bit differs with probability arccos of it over pi.
+    ``texts`` has the text for each (__id, __text) of the table. Documents with the same words in the same order
+    are one from the start. Others meet where they share the key of a band: of pairs with similarity s,
+    (1 - s ** BAND) ** BANDS share none. Those whose sketches are alike enough are linked for a while, and what
+    is linked comes to one task with its texts. There two documents are similar by the weighted similarity of
+    their shingles itself, known by 64-bit hashes.
     """
-    most = int(np.ceil(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + SLACK
     first = materialize(hashed.groupBy("same").agg(F.min("node").alias("first")), "firsts")
-    kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").select("node", "keys", "wide"), "kinds")
-    links = materialize(
-        _met(kinds, shard, split).groupBy("shard", "i", "j").applyInPandas(_compare_met(most), "a long, b long"), "similar")
+    kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").drop("same"), "kinds")
+    loose = materialize(
+        _met(kinds, shard, split).groupBy("shard", "i", "j").applyInPandas(_compare_met(similarity), "a long, b long"), "loose")
+    members = materialize(kinds.join(components(loose), "node").select("__id", "__text", "root", "node", "sketch"), "members")
+    bounded_batches(hashed.sparkSession)
+    placed = texts.select("__id", "__text", "text").join(members, ["__id", "__text"]).select("root", "node", "sketch", "text")
+    placed = placed.repartition("root").sortWithinPartitions("root", "node")
+    links = materialize(placed.mapInArrow(_compare_groups(similarity), "a long, b long"), "similar")
     roots = components(links).withColumnRenamed("node", "first")
     return hashed.select("node", "same").join(first, "same").join(roots, "first", "left").select(
         "node", F.coalesce("root", "first").alias("root"))
@@ -409,7 +509,7 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", similarity: f
         F.monotonically_increasing_id().alias("node"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
         "__id", "__text", text.alias("text"))
     hashed = materialize(banded(rows, rows.columns[:-1]), "banded")
-    groups = similar_groups(hashed, similarity)
+    groups = similar_groups(hashed, keyed.select("__id", "__text", text.alias("text")), similarity)
     named = hashed.select("node", F.struct("none", "id", "__id", "__text").alias("name"))
     best = groups.join(named, "node").groupBy("root").agg(F.min("name").alias("name"))
     kept = keyed.join(best.select("name.__id", "name.__text"), ["__id", "__text"], "left_semi")

@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+from pyspark.sql import functions as F
 
 from roomledger.llm import simhash
 
@@ -27,6 +28,12 @@ def test_cut_and_extended_copies_meet():
         assert sum(met) >= 298
 
 
+def test_cut_and_extended_copies_go(spark):
+    rows = cut_copies(0.9)
+    found = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i for i, _ in rows if i % 10 == 0}
+
+
 def test_elements_have_the_weighted_similarity():
     pick = random.Random(4)
     for _ in range(200):
@@ -40,7 +47,37 @@ def test_elements_have_the_weighted_similarity():
 
 def test_a_key_of_many_is_cut_into_blocks(spark):
     rows = cut_copies(0.9, 12) + [(1000 + i, f"same words in all of these texts but for the last one of them which is {i} and " * 8) for i in range(30)]
-    docs = spark.createDataFrame(rows, "node long, text string")
-    hashed = simhash.materialize(simhash.banded(docs, ["node"]), "banded")
-    whole = sorted(map(tuple, simhash.similar_groups(hashed).collect()))
-    assert sorted(map(tuple, simhash.similar_groups(hashed, shard=3, split=4).collect())) == whole
+    docs = spark.createDataFrame(rows, "node long, text string").withColumns({"__id": F.col("node"), "__text": F.xxhash64("text")})
+    texts = docs.select("__id", "__text", "text")
+    hashed = simhash.materialize(simhash.banded(docs, ["node", "__id", "__text"]), "banded")
+    whole = sorted(map(tuple, simhash.similar_groups(hashed, texts).collect()))
+    assert sorted(map(tuple, simhash.similar_groups(hashed, texts, shard=3, split=4).collect())) == whole
+
+
+def test_exactly_the_similarity_decides(spark):
+    """Copies of 0.8 and a little more go, those of a little less stay."""
+    pick, rows, want = random.Random(6), [], set()
+    for g in range(40):
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range(pick.choice([84, 204, 1004]))]
+        grams = len(words) - 4
+        for i, kept in enumerate([grams, grams * 4 // 5, grams * 4 // 5 - 1]):
+            rows.append((10 * g + i, " ".join(words[: kept + 4] if g % 2 else words[-kept - 4 :])))
+        rows.append((10 * g + 5, " ".join(words + ["again and again and again"] * (grams // 20 + 1))))  # the weights count
+    for similarity in (0.8, 0.85):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id for r in simhash.one_of_each(docs, similarity=similarity).collect()}
+        assert found == brute.kept_of_similar(rows, similarity)
+
+
+def test_table_is_deduplicated_at_the_similarity(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == brute.kept_of_similar(rows, 0.8)
+
+
+def test_elements_beyond_memory(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD", 100)
+    found, wanted = simhash._Elements(), [simhash.elements(t) for _, t in cut_copies(0.9, 5)]
+    for own in wanted:
+        found.append(own)
+    assert found.file and all((found[i] == own).all() for i, own in enumerate(wanted))
