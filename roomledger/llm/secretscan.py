@@ -3,6 +3,7 @@
 The base patterns report what looks like a secret. Encoded material is reported only after it has been
 decoded and its inside has been parsed: DER keys by nested lengths that fill the whole blob, OpenSSH keys
 by their header and length-prefixed fields, signed tokens by a header and claims that are JSON objects.
+Line breaks inside encoded material may be real or written as a backslash and n, as in JSON and env files.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ BASE_KINDS = KINDS[:3]
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----([^-]+)-----END \1-----")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"(?:[\x20\t]|\\*[\r\n]|\\+[nr])+")  # between lines of one blob; also written as backslash and n
+_ESCAPED_BREAK = re.compile(r"\\+[nr]")
 _HEX_BLOB = re.compile(r"[0-9A-Fa-f]{64,}")
 _MARKS = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
 _SSH_MAGIC = b"openssh-key-v1\x00"
@@ -90,8 +94,13 @@ def is_der_key(data: bytes) -> bool:
 
 def is_ssh_key(data: bytes) -> bool:
     """The OpenSSH container: cipher, derivation and options, a key count, then as many public keys."""
+    return _ssh_end(data) == len(data)
+
+
+def _ssh_end(data: bytes) -> int | None:
+    """Where the OpenSSH container that data begins with ends, None if it is none or isn't whole."""
     if not data.startswith(_SSH_MAGIC):
-        return False
+        return None
     at = len(_SSH_MAGIC)
 
     def field(at: int) -> int | None:
@@ -102,13 +111,54 @@ def is_ssh_key(data: bytes) -> bool:
 
     for _ in range(3):
         if (at := field(at)) is None:
-            return False
+            return None
     count = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
     at += 4
     for _ in range(count + 1 if 1 <= count <= 16 else 0):
         if (at := field(at)) is None:
-            return False
-    return 1 <= count <= 16 and at == len(data)
+            return None
+    return at if 1 <= count <= 16 else None
+
+
+def _der_end(head: bytes) -> int | None:
+    """Where the sequence that begins with this head and a one-byte integer ends, as its length says."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    width = head[1] & 0x7F if head[1] >= 0x80 else 0
+    if width > 4 or head[1] == 0x80 or head[2 + width : 4 + width] != b"\x02\x01":
+        return None
+    return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
+
+
+def wrapped_key(text: str, start: int) -> tuple[int, str] | None:
+    """End and kind of a key that begins there and goes on over several lines; its own lengths say how far."""
+    run = _RUN.match(text, start)
+    head = _base64(run[0][: min(40, len(run[0]) // 4 * 4)]) or b""
+    total = _der_end(head)
+    if total is None and not head.startswith(_SSH_MAGIC):
+        return None
+    wanted = None if total is None else (8 * total + 5) // 6
+    pieces, ends, count = [], {}, 0  # ends: of lines, by the characters up to there
+    while run:
+        pieces.append(run[0])
+        count += len(run[0])
+        ends[count] = run.end()
+        if wanted is not None and count >= wanted:
+            break
+        between = _BREAK.match(text, run.end())
+        run = _RUN.match(text, between.end()) if between else None
+    body = "".join(pieces)
+    if wanted is None:
+        total = _ssh_end(_base64(body[: len(body) // 4 * 4]) or b"") or _ssh_end(_base64(body) or b"")
+        if total is None:
+            return None
+        wanted = (8 * total + 5) // 6
+    if wanted not in ends or not (kind := _structure(_base64(body[:wanted]))):
+        return None
+    end = ends[wanted]
+    while end < len(text) and text[end] == "=" and end < ends[wanted] + 2:
+        end += 1
+    return end, kind
 
 
 def is_signed_token(header: str, claims: str) -> bool:
@@ -147,7 +197,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     spans, taken = [], []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            lines = [line for line in m[2].split("\n") if ":" not in line]  # without the headers of old formats
+            body = _ESCAPED_BREAK.sub("\n", m[2]).replace("\\", "")  # what else is escaped are slashes
+            lines = [line for line in body.split("\n") if ":" not in line]  # without the headers of old formats
             if kind := _structure(_base64("".join("".join(lines).split()))):
                 spans.append((m.start(), m.end(), kind))
                 taken.append((m.start(), m.end()))
@@ -158,12 +209,17 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     for m in _ENCODED.finditer(text):
         if any(a <= m.start() < b for a, b in taken):
             continue
-        body = m[0]
+        start, end, body = m.start(), m.end(), m[0]
+        if body[0] in "nr" and text[start - 1 : start] == "\\":
+            start, body = start + 1, body[1:]  # the break before it
         kind = _structure(_base64(body)) if body[0] in "Mb" else None  # 0x30 0x8? or the magic's first byte
+        if not kind and body[0] in "Mb" and (wrapped := wrapped_key(text, start)):
+            end, kind = wrapped
+            taken.append((start, end))
         if not kind and (h := _HEX_BLOB.fullmatch(body)) and len(body) % 2 == 0:
             kind = _structure(bytes.fromhex(h[0]))
         if kind:
-            spans.append((m.start(), m.end(), kind))
+            spans.append((start, end, kind))
     return spans
 
 
