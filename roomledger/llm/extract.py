@@ -21,7 +21,8 @@ from roomledger.sources.tables import materialize
 
 BROADCAST_HOSTS = 20_000  # winners of that many hosts are at most some 8 MB; with more, Spark joins by shuffle
 PATH_CHARS = 400  # a longer path is known by its end
-HOLDS = 0.7  # share of a page's text that a container without meaning of its own must hold
+HOLDS = 0.9  # share of a page's text that a container without meaning of its own must hold, besides every passage
+PASSAGE = 3  # words that make a block outside of links a passage; headings are passages of any length
 ARTICLE_HOLDS = 0.5  # share that an article or main element must hold
 
 # Elements by what they do to text.
@@ -31,6 +32,7 @@ BOILERPLATE = frozenset("nav header footer aside form button select menu dialog
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("body article main section div td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 NAMES = frozenset(
@@ -59,6 +61,7 @@ class Page(NamedTuple):
     blocks: list[str]
     links: list[int]  # characters of links in each block
     containers: list[Container]
+    headings: list[bool]  # which blocks are
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -87,10 +90,10 @@ def _is_boilerplate(tag: str, found: dict[str, str]) -> bool:
 
 def parse(html: str) -> Page:
     """Text blocks in page order, without boilerplate, and the containers that hold them."""
-    page = Page([], [], [])
+    page = Page([], [], [], [])
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, first block, left out
     text: list[str] = []
-    in_links = link_chars = 0
+    in_links = in_headings = link_chars = 0
 
     def end_block() -> None:
         nonlocal link_chars
@@ -99,18 +102,20 @@ def parse(html: str) -> Page:
             if block:
                 page.blocks.append(block)
                 page.links.append(min(link_chars, len(block)))
+                page.headings.append(in_headings > 0)
             text.clear()
         link_chars = 0
 
     def close(depth: int) -> None:
         """Close the open elements down to that depth."""
-        nonlocal in_links
+        nonlocal in_links, in_headings
         while len(stack) > depth:
             tag, path, first, out = stack.pop()
             if tag not in INLINE:
                 end_block()
             if tag == "a":
                 in_links -= 1
+            in_headings -= tag in HEADINGS
             if tag in CONTAINERS and not out:
                 page.containers.append(Container(path, tag, first, len(page.blocks), len(stack)))
 
@@ -157,6 +162,7 @@ def parse(html: str) -> Page:
         stack.append((tag, path, len(page.blocks), above[3] or _is_boilerplate(tag, own)))
         if tag == "a":
             in_links += 1
+        in_headings += tag in HEADINGS
     close(0)
     end_block()
     return page
@@ -179,17 +185,23 @@ def _close_implied(tag: str, stack: list, close) -> None:
 
 
 def best_container(page: Page) -> tuple[Container | None, float]:
-    """The container that holds the article, and its characters outside links."""
-    size = [0]
-    for block, links in zip(page.blocks, page.links, strict=True):
-        size.append(size[-1] + max(0, len(block) - 2 * links))
+    """The container that holds the article, and its characters outside links.
+
+    Without an article or main element it is the deepest that holds all headings and passages of the page,
+    so that of an article spread over siblings no part is left out.
+    """
+    size, passages = [0], [0]
+    for block, links, heading in zip(page.blocks, page.links, page.headings, strict=True):
+        own = max(0, len(block) - 2 * links)
+        size.append(size[-1] + own)
+        passages.append(passages[-1] + (own > 0 and (heading or len(block.split(None, PASSAGE - 1)) >= PASSAGE)))
     total = size[-1]
     holds = [(size[c.last] - size[c.first], c) for c in page.containers]
     named = [(n, c.depth, c) for n, c in holds if c.tag in ("article", "main") and n >= ARTICLE_HOLDS * total]
     if named:
         n, _, c = max(named, key=lambda x: (x[0], x[1]))
         return c, float(n)
-    plain = [(c.depth, n, c) for n, c in holds if n >= HOLDS * total]
+    plain = [(c.depth, n, c) for n, c in holds if n >= HOLDS * total and passages[c.last] - passages[c.first] == passages[-1]]
     if not plain:
         return None, 0.0
     _, n, c = max(plain, key=lambda x: x[:2])

@@ -1,0 +1,26 @@
+"""Pages without an article element whose article is spread over siblings."""
+
+import pytest
+
+from roomledger.llm import extract
+
+LONG = "<p>" + "words of the article go on here " * 20 + "</p>"
+BODY = "words of the article go on here " * 20
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<body><div class=post><div class=lead><p>{'the lead tells it first ' * 6}</p></div><div class=body>{LONG}</div></div>", f"{'the lead tells it first ' * 6}{BODY}"),
+    (f"<body><div class=post><h1>Title</h1><div class=body>{LONG}</div></div>", f"Title {BODY}"),
+    (f"<body><div class=post><div class=top><h1>A <b>title</b></h1></div><div class=body>{LONG * 3}</div><div class=last><p>so it ends</p></div></div>", f"A title {BODY * 3}so it ends"),
+    (f"<body><div class=post><section>{LONG}</section><section>{LONG}</section></div>", BODY * 2),
+    (f"<body><div class=links><p><a href=/>one more thing to read</a></p></div><div class=body>{LONG}</div><div>3 min</div>", BODY),
+    (f"<body><nav>menu of the site</nav><div class=a><div class=b>{LONG}</div></div><div class=sidebar><p>what others read now</p></div>", BODY),
+])
+def test_article_over_siblings(html, text):
+    assert extract.extract(html, extract.vote(html)[0]) == text.strip()
+
+
+def test_hosts_keep_what_stands_beside(spark):
+    page = "<body><nav>menu</nav><div class=post><div class=lead><p>{} is how it begins</p></div><div class=body>" + LONG + "</div></div>"
+    pages = spark.createDataFrame([(i, "http://h.example/", page.format(f"page {i}")) for i in range(5)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in extract.main_texts(pages).collect()} == {i: f"page {i} is how it begins {BODY}".strip() for i in range(5)}
