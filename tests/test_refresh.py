@@ -3,8 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SMALL
-from oracle import compare, connect
+from oracle import SMALL, compare, connect
 
 from roomledger.operators import actions as acts
 from roomledger.operators import serving as s
