@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roomledger.llm import bpe, decontam, extract, langid, quality, repeats, secretscan, simhash, tokencount, warc
+from roomledger.llm import bpe, bytebpe, decontam, extract, langid, quality, repeats, secretscan, simhash, tokencount, warc
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,10 +57,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encoded_documents(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_html_extraction, op4_bpe_round_trip, op5_secret_scan,
-        op6_warc_round_trip, op7_quality_rules, op8_simhash_dedup, op9_repeated_strings, op10_decontamination,
+        op6_warc_round_trip, op7_quality_rules, op8_simhash_dedup, op9_repeated_strings, op10_decontamination, op11_prefix_bpe,
     )
 }

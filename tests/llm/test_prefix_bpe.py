@@ -1,0 +1,129 @@
+"""Byte-level BPE by prefixes against tiktoken."""
+
+import base64
+import hashlib
+import random
+import struct
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from roomledger.llm import bytebpe
+from roomledger.llm.queries import op11_prefix_bpe
+
+PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
+MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+POOL = [chr(c) for c in [*range(0x80), 0x1C, 0x1F, 0x85, 0xA0, 0x1680, 0x2000, 0x2028, 0x3000, 0x200B, 0xFEFF, 0x4E00,
+                         0x3007, 0xB2, 0x2160, 0x1F600, 0x20000, 0x10FFFF, 0x212A, 0x17F, 0x301, 0xE9]]
+POOL += ["'s", "'t", "'re", "<|endoftext|>", " ", " ", "\n", "the", "tion", "    ", "ing", "er"]
+
+
+def library(path):
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+LIBRARY = library(PATH)
+
+
+def texts_of(pool, count, seed, most=25):
+    pick = random.Random(seed)
+    return ["".join(pick.choice(pool) for _ in range(pick.randint(0, most))) for _ in range(count)]
+
+
+def test_odd_texts():
+    for text in texts_of(POOL, 4000, 7):
+        ids = bytebpe.encode_ids(PATH, public_tokenizers.PATTERN, text)
+        assert ids == LIBRARY.encode_ordinary(text)
+        assert bytebpe.decode_ids(PATH, ids) == text.encode()
+
+
+def test_another_vocabulary():
+    other = library(MULTI)
+    for text in texts_of([*POOL, "ä", "ß", "の", "да", "é"], 1500, 8):
+        assert bytebpe.encode_ids(MULTI, public_tokenizers.PATTERN, text) == other.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 3000, " " * 2000, "ha" * 1500, "\n" * 500 + "x", "<|endoftext|>" * 3, "é́" * 200, "", "abcdefgh" * 900, "-=" * 700])
+def test_repetitive_texts(text):
+    assert bytebpe.encode_ids(PATH, public_tokenizers.PATTERN, text) == LIBRARY.encode_ordinary(text)
+
+
+def test_letters_without_spaces():
+    for text in texts_of([*"etaoinshrdlu"], 60, 9, 900):
+        assert bytebpe.encode_ids(PATH, public_tokenizers.PATTERN, text) == LIBRARY.encode_ordinary(text)
+
+
+def test_every_prefix_has_its_encoding():
+    words = bytebpe.ranks(PATH)
+    data = "thestationsinterestingly".encode()
+    known = bytebpe.Prefixes(words, data)
+    for size in range(1, len(data) + 1):
+        assert list(known.tokens(size)) == LIBRARY.encode_ordinary(data[:size].decode())
+
+
+def test_appends_and_edits_are_exact():
+    words, pick = bytebpe.ranks(PATH), random.Random(3)
+    letters = "etaoinshrdluing"
+    for _ in range(200):
+        data = bytearray("".join(pick.choice(letters) for _ in range(pick.randint(0, 900))).encode())
+        known = bytebpe.Prefixes(words, bytes(data))
+        for _ in range(3):
+            a = pick.randint(0, len(data))
+            b = min(len(data), a + pick.randint(0, 30))
+            new = "".join(pick.choice(letters) for _ in range(pick.randint(0, 30))).encode()
+            data[a:b] = new
+            looked = known.edit(a, b, new)
+            assert looked <= len(data) - a
+            data += b"ing"
+            known.append(b"ing")
+            assert known.last == bytebpe.Prefixes(words, bytes(data)).last
+            assert list(known.tokens()) == LIBRARY.encode_ordinary(data.decode())
+
+
+def test_an_edit_looks_at_little():
+    known = bytebpe.Prefixes(bytebpe.ranks(PATH), b"theinterestingstations" * 500)
+    assert known.edit(30, 32, b"xyz") < 600
+
+
+def test_a_byte_without_a_token(tmp_path):
+    file = tmp_path / "few.tiktoken"
+    file.write_bytes(base64.b64encode(b"a") + b" 0\n")
+    with pytest.raises(ValueError):
+        bytebpe.Ranks(str(file))
+
+
+def test_long_text_in_parts(monkeypatch):
+    monkeypatch.setattr(bytebpe, "CHUNK", 40)
+    monkeypatch.setattr(bytebpe, "PIECES", 7)
+    monkeypatch.setattr(bytebpe, "STORE", 20)
+    pattern = bytebpe.piece_pattern(public_tokenizers.PATTERN)
+    texts = [*texts_of(POOL, 300, 10, 200), None, ""]
+    for text, (n, digest, decoded) in zip(texts, bytebpe.encode_texts(PATH, pattern, texts), strict=True):
+        ids = LIBRARY.encode_ordinary(text or "")
+        assert (n, digest) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert decoded == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_rows_of_every_kind(spark):
+    rows = [(1, "the end", "x"), (1, "the end", "x"), (None, "a", "y"), (2, None, None), (3, "", "z"), (4, "so " * 400_000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_tokens string")
+    found = bytebpe.encoded_documents(docs, PATH, public_tokenizers.PATTERN)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    expected = sorted((d, len(LIBRARY.encode_ordinary(t or ""))) for d, t, _ in rows if d)
+    assert sorted((r.doc_id, r.n_tokens) for r in found.collect() if r.doc_id) == expected
+    assert bytebpe.encoded_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query_against_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = op11_prefix_bpe(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = LIBRARY.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(LIBRARY.decode_bytes(ids)).hexdigest()
