@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from roomledger.llm.arrow import bounded_batches, in_batches
 
-STORE = 300_000  # pieces a worker keeps encoded
+STORE = 500_000  # pieces a worker keeps encoded, some 200 bytes each
 CHUNK = 1 << 20  # characters of a text that are cut into pieces in one go
 PIECES = 1 << 16  # pieces of a longer text that are held at once
 ENDLESS = 1 << 62
@@ -96,13 +96,14 @@ class Ranks:
         known = self._fits.get(key)
         if known is None:
             rank = self.rank.get
-            known = self._fits[key] = not any(
+            known = not any(
                 (r := rank(x + y, ENDLESS)) < x_until and r <= y_until and r != ENDLESS
                 for x, x_until in self._right[left]
                 for y, y_until in self._left[right]
             )
-            if len(self._fits) > 4 * STORE:
-                self._fits = {}
+            if len(self._fits) > STORE:
+                self._fits.clear()
+            self._fits[key] = known
         return known
 
     def ends(self, data: bytes) -> Iterator[tuple[int, tuple[int, int]]]:
@@ -183,23 +184,34 @@ class Prefixes:
         return out
 
 
-def encode_pieces(words: Ranks, pieces: list[bytes]) -> Iterator[tuple[bytes, array]]:
-    """Each piece with its ids. Pieces in order share the prefixes of the one before.
+def encode_pieces(words: Ranks, pieces: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+    """Each piece with its ids; what ``Prefixes`` does, for very many short strings.
 
     A piece that is a token as a whole is that token, as in tiktoken, even where merging wouldn't make it.
     """
-    at = Prefixes(words)
-    for piece in sorted(pieces):
-        token = words.rank.get(piece)
+    whole, ends, fits = words.rank.get, words.ends, words.fits
+    for piece in pieces:
+        token = whole(piece)
         if token is not None:
-            yield piece, array("q", [token])
+            yield piece, [token]
             continue
-        common, most = 0, min(len(at.data), len(piece))
-        while common < most and at.data[common] == piece[common]:
-            common += 1
-        at.truncate(common)
-        at.append(piece[common:])
-        yield piece, at.tokens()
+        last: list[int] = []
+        sizes: list[int] = []
+        place = 0
+        for end, (token, size) in ends(piece):
+            if end < place:
+                continue  # a longer token fitted here
+            if end >= size and not fits(last[end - size], token):
+                continue
+            last.append(token)
+            sizes.append(size)
+            place = end + 1
+        ids, at = [], len(last) - 1
+        while at >= 0:
+            ids.append(last[at])
+            at -= sizes[at]
+        ids.reverse()
+        yield piece, ids
 
 
 @lru_cache(maxsize=4)
@@ -262,25 +274,21 @@ def cut_text(pattern: str, text: str) -> Iterator[list[str]]:
 
 
 class Store:
-    """Bounded store of pieces encoded by this worker: ids as bytes, and the bytes that those decode to."""
+    """Bounded store of pieces encoded by this worker, their ids as bytes."""
 
     def __init__(self, words: Ranks):
         self.words = words
         self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, bytes] = {}
 
     def learn(self, parts: list[list[str]]) -> None:
         """Encode the pieces of the parts that the store doesn't hold."""
-        new = {p.encode(): p for p in set().union(*parts).difference(self.ids)}
-        text = self.words.text
-        for piece, ids in encode_pieces(self.words, list(new)):
-            self.ids[new[piece]] = array("I", ids).tobytes()
-            self.decoded[new[piece]] = b"".join([text[i] for i in ids])
+        new = list(set().union(*parts).difference(self.ids))
+        for piece, (_, ids) in zip(new, encode_pieces(self.words, [p.encode() for p in new]), strict=True):
+            self.ids[piece] = array("I", ids).tobytes()
 
     def keep(self, pieces: set[str]) -> None:
         """Forget all other pieces."""
         self.ids = {p: self.ids[p] for p in pieces}
-        self.decoded = {p: self.decoded[p] for p in pieces}
 
 
 @lru_cache(maxsize=2)
@@ -298,7 +306,7 @@ class _Digest:
         ids = b"".join(map(known.ids.__getitem__, parts))
         self.size += len(ids)
         self.ids.update(ids)
-        self.decoded.update(b"".join(map(known.decoded.__getitem__, parts)))
+        self.decoded.update(b"".join(map(known.words.text.__getitem__, memoryview(ids).cast("I"))))
 
 
 def encode_texts(path: str, pattern: str, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
