@@ -94,4 +94,40 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < last THEN last END AS refers_to
 FROM payloads LEFT JOIN stored USING (payload_digest)""",
+    # paths as lists of turns; the CRC-32 of an id's digits bit by bit
+    "op13_prefix_trie": """
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+sums AS (
+  SELECT *, xor(list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda sum, x: CASE WHEN x >= 0 THEN xor(sum, x) ELSE xor(sum >> 1, (sum & 1) * 3988292384) END), 4294967295) % 9 AS h
+  FROM turns
+),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(p.own[1:c.h], []), c.own[c.h + 1:]) AS path
+  FROM sums AS c LEFT JOIN turns AS p ON p.conv_id = c.conv_id - c.conv_id % 5
+),
+prefixes AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM rebuilt),
+nodes AS (
+  SELECT path[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN len(path) = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL
+),
+linked AS (
+  SELECT n.*, p.conv_id AS parent_conv_id FROM nodes AS n LEFT JOIN nodes AS p ON p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+),
+children AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+counted AS (SELECT * FROM linked LEFT JOIN children USING (node)),
+above AS (
+  SELECT node[1:step] AS node, n_children IS NULL AS leaf,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(node[depth].text) ELSE 0 END AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS step FROM counted)
+),
+subtrees AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY node)
+SELECT conv_id, depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted JOIN subtrees USING (node)""",
 }

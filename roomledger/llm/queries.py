@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roomledger.llm import bpe, bytebpe, decontam, extract, langid, prefixtrie, quality, repeats, secretscan, simhash, tokencount, warc
+from roomledger.llm import (
+    bpe, bytebpe, decontam, extract, langid, prefixtrie, quality, repeats, secretscan, simhash, tokencount, warc, whitening,
+)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,6 +63,10 @@ def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encoded_documents(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = prefixtrie.turn_lists(_table(spark, sf_dir, "conversations"))
     return prefixtrie.prefix_trie(prefixtrie.branched(lists))
@@ -71,6 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_language_id, op3_html_extraction, op4_bpe_round_trip, op5_secret_scan,
         op6_warc_round_trip, op7_quality_rules, op8_simhash_dedup, op9_repeated_strings, op10_decontamination, op11_prefix_bpe,
-        op13_prefix_trie,
+        op12_whitening, op13_prefix_trie,
     )
 }
