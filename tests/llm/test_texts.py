@@ -167,27 +167,31 @@ def test_automaton_knows_exactly_the_substrings():
             assert known(word) == (word in inside)
 
 
-def test_phrases_match_a_plain_parse():
-    sample = {"a": ["the cat sat on the mat with the hat"], "b": ["der hund sitzt auf der matte mit dem hut"]}
+def plain_phrases(model, sample, language, symbols):
+    train = "".join(map(chr, model.symbols(" ".join(sample[language]).lower())[0].tolist()))
+    part, at, count = "".join(map(chr, symbols.tolist())), 0, 0
+    while at < len(part):
+        size = 1
+        while at + size < len(part) and part[at : at + size + 1] in train:
+            size += 1
+        at += size
+        count += 1
+    return count
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 100])
+@pytest.mark.parametrize("columns", [2, 200])
+def test_phrases_match_a_plain_parse(monkeypatch, lanes, columns):
+    monkeypatch.setattr(langid, "LANES", lanes)
+    monkeypatch.setattr(langid, "COLUMNS", columns)
+    sample = {"a": ["the cat sat on the mat with the hat"], "b": ["der hund sitzt auf der matte mit dem hut"], "c": ["猫は帽子の上に座った"]}
     model = langid.Model(sample)
-    texts = ["the dog sat", "der hut", "zzz qqq", "x", "the cat sat on the mat with the hat " * 30, "ein hund, der sitzt"]
+    texts = ["the dog sat", "der hut", "zzz qqq", "x", "the cat sat on the mat with the hat " * 30, "ein hund, der sitzt", "", "猫 der 帽子 xx"]
     coded = [model.symbols(t)[0] for t in texts]
     got = model.phrases(coded)
     for row, symbols in zip(got, coded, strict=True):
-        for k, language in enumerate(model.languages):
-            train = model.symbols(" ".join(sample[language]).lower())[0].tolist()
-            train = "".join(chr(c) for c in train if c != model.width - 1)
-            count = 0
-            for s in range(0, len(symbols), langid.SEGMENT):
-                part = "".join(map(chr, symbols[s : s + langid.SEGMENT].tolist()))
-                at = 0
-                while at < len(part):
-                    size = 1
-                    while at + size < len(part) and part[at : at + size + 1] in train:
-                        size += 1
-                    at += size
-                    count += 1
-            assert row[k] == count
+        assert row.tolist() == [plain_phrases(model, sample, language, symbols) for language in model.languages]
+    assert got[0].tolist()[:2] == [5, 8]
 
 
 def test_languages(spark):
