@@ -3,68 +3,80 @@
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomledger.operators.boosting import Growth, boost, ensemble
 from roomledger.operators.features import feature_lists, features
 from roomledger.operators.metrics import ranking_from_steps, score_steps
 from roomledger.operators.risk import stamp_scores
 from roomledger.schemas import LABEL
-from roomledger.session import use_checkpoints
 from roomledger.sources.tables import numbered
 
 
 @dataclass(frozen=True)
 class ModelParams:
-    """Boosting settings; the defaults are the published ones."""
+    """Boosting settings; the defaults are the published ones, leaves and min_leaf those of the published kind."""
 
     iterations: int = 300
     learning_rate: float = 0.06
     depth: int = 8
-    seed: int = 42
+    seed: int = 42  # nothing in training is random; permutations are
     bins: int = 255
+    leaves: int = 31
+    min_leaf: int = 20
 
     def as_dict(self) -> dict:
         return asdict(self)
 
 
-def fit(train: DataFrame, params: ModelParams = ModelParams(), label: str = LABEL) -> PipelineModel:
-    """Fit on the features a table has. Runs the training jobs.
+def _indexer(categorical: list[str]) -> StringIndexer:
+    """Categories numbered in order of the alphabet; one never seen gets one extra, last number."""
+    return StringIndexer(
+        inputCols=categorical, outputCols=[f"{c}__index" for c in categorical],
+        handleInvalid="keep", stringOrderType="alphabetAsc",
+    )
 
-    A category never seen in training becomes all zeros: the indexer gives unseen values one extra,
-    last index, and the encoder leaves its last index out.
-    """
+
+def _training_rows(train: DataFrame, label: str) -> tuple[DataFrame, list[str], list[str]]:
     categorical, numeric = feature_lists(train.columns)
-    # tree training cuts its lineage there every few iterations
-    use_checkpoints(train.sparkSession)
-    rows = features(train.where(F.col(label).isNotNull()), [label], categorical, numeric).withColumn(
-        label, F.col(label).cast("double")
-    )
-    stages = []
+    rows = features(train.where(F.col(label).isNotNull()), [label], categorical, numeric)
+    return rows.withColumn(label, F.col(label).cast("double")), categorical, numeric
+
+
+def fit_encoder(train: DataFrame, label: str = LABEL) -> PipelineModel:
+    """One-hot vectors of the categories seen in training, as ``<name>__onehot`` (M2).
+
+    A category never seen becomes all zeros: the encoder leaves the indexer's last number out. The model
+    itself splits categories as sets and needs no such vectors.
+    """
+    rows, categorical, _ = _training_rows(train, label)
+    encoder = OneHotEncoder(
+        inputCols=[f"{c}__index" for c in categorical], outputCols=[f"{c}__onehot" for c in categorical], dropLast=True)
+    return Pipeline(stages=[_indexer(categorical), encoder] if categorical else []).fit(rows)
+
+
+def fit(
+    train: DataFrame, params: ModelParams = ModelParams(), label: str = LABEL, saved: str | None = None,
+    workers: int | None = None,
+) -> PipelineModel:
+    """Fit on the features a table has. Runs the training jobs (M3).
+
+    ``saved`` is a folder that keeps the trees of every so many rounds; a fit that failed goes on from
+    it when it is called again with the same rows and settings.
+    """
+    rows, categorical, numeric = _training_rows(train, label)
+    stages, indexed, categories = [], [f"{c}__index" for c in categorical], []
     if categorical:
-        indexed = [f"{c}__index" for c in categorical]
-        encoded = [f"{c}__onehot" for c in categorical]
-        stages += [
-            StringIndexer(
-                inputCols=categorical, outputCols=indexed,
-                handleInvalid="keep", stringOrderType="alphabetAsc",
-            ),
-            OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True),
-        ]
-    else:
-        encoded = []
-    stages += [
-        VectorAssembler(inputCols=encoded + numeric, outputCol="features__vector"),
-        GBTClassifier(
-            featuresCol="features__vector", labelCol=label,
-            maxIter=params.iterations, stepSize=params.learning_rate, maxDepth=params.depth,
-            maxBins=params.bins, seed=params.seed, checkpointInterval=10,
-        ),
-    ]
-    return Pipeline(stages=stages).fit(rows)
+        indexer = _indexer(categorical).fit(rows)
+        rows, stages = indexer.transform(rows), [indexer]
+        categories = [len(labels) + 1 for labels in indexer.labelsArray]
+    growth = Growth(params.iterations, params.learning_rate, params.depth, params.leaves, params.min_leaf, params.bins)
+    base, trees, how = boost(rows, indexed, categories, numeric, label, growth, saved, workers)
+    model = ensemble(train.sparkSession, base, trees, how, "features__vector", label)
+    return PipelineModel([*stages, VectorAssembler(inputCols=indexed + numeric, outputCol="features__vector"), model])
 
 
 def model_features(model: PipelineModel) -> tuple[list[str], list[str]]:
@@ -72,7 +84,7 @@ def model_features(model: PipelineModel) -> tuple[list[str], list[str]]:
     indexers = [s for s in model.stages if s.hasParam("inputCols") and s.hasParam("stringOrderType")]
     categorical = list(indexers[0].getInputCols()) if indexers else []
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
-    numeric = [c for c in assembler.getInputCols() if not c.endswith("__onehot")]
+    numeric = [c for c in assembler.getInputCols() if not c.endswith("__index")]
     return categorical, numeric
 
 

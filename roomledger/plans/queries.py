@@ -7,7 +7,6 @@ flagship, gold_hotel_month, goes from the star-schema tables to the answer in on
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -533,11 +532,10 @@ def class_report(spark, sf_dir):  # M12
 def onehot_features(spark, sf_dir):  # M2
     """Per category the place of its one, -1 where all are zero."""
     w = warehouse(spark, sf_dir)
-    categorical, numeric = model.model_features(w.model)
-    rows = feats.features(w.silver, ["reservation_id"], categorical, numeric)
-    encoded = PipelineModel(w.model.stages[:-1]).transform(rows)
+    rows = feats.features(w.silver, ["reservation_id"], CATEGORICAL_FEATURES, [])
+    encoded = w.encoder.transform(rows)
     place = lambda c: F.array_position(vector_to_array(F.col(f"{c}__onehot")), F.lit(1.0)).cast("int") - 1
-    return encoded.select("reservation_id", *[place(c).alias(c) for c in categorical])
+    return encoded.select("reservation_id", *[place(c).alias(c) for c in CATEGORICAL_FEATURES])
 
 
 @query
@@ -573,7 +571,7 @@ def gbt_holdout_metrics(spark, sf_dir):  # M3-M6
 def gbt_importance(spark, sf_dir):  # M10, T8
     """On the model itself; trees differ between engines, so this one has no SQL."""
     w = warehouse(spark, sf_dir)
-    return model.feature_importance(w.model, w.marked.where("split = 'test'"), repeats=1)
+    return model.feature_importance(w.model, w.marked.where("split = 'test'"))
 
 
 @query

@@ -103,6 +103,11 @@ class Warehouse:
         later = self.marked.where("split = 'test'")
         return self._written("holdout", lambda: later.select(LABEL, star.formula_score().alias("cancel_probability")))
 
+    @layer
+    def encoder(self) -> PipelineModel:
+        """One-hot encoding of the earlier arrivals' categories."""
+        return model.fit_encoder(self.marked.where("split = 'train'"))
+
     @layer
     def model(self) -> PipelineModel:
         """A model fitted on the earlier arrivals, saved and loaded again."""

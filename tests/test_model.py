@@ -93,8 +93,9 @@ def test_scores_every_row_between_zero_and_one(fitted, bookings):
 def test_unseen_category_is_all_zeros(fitted, bookings):
     new = bookings.limit(1).withColumn("hotel", F.lit("Beach Hotel"))
     categorical, numeric = m.model_features(fitted)
-    row = fitted.transform(f.features(new, [], categorical, numeric)).first()
+    row = m.fit_encoder(bookings).transform(f.features(new, [], categorical, numeric)).first()
     assert row["hotel__onehot"].numNonzeros() == 0 and row["hotel__onehot"].size == 2
+    assert 0 < m.predict(fitted, new, []).first().cancel_probability < 1
 
 
 def test_scoring_runs_no_python_on_rows(fitted, bookings):
@@ -112,7 +113,8 @@ def test_labels_for_new_bookings(fitted, spark):
 
 
 def test_published_settings_are_the_default():
-    assert m.ModelParams().as_dict() == {"iterations": 300, "learning_rate": 0.06, "depth": 8, "seed": 42, "bins": 255}
+    assert m.ModelParams().as_dict() == {
+        "iterations": 300, "learning_rate": 0.06, "depth": 8, "seed": 42, "bins": 255, "leaves": 31, "min_leaf": 20}
 
 
 def test_importance_finds_the_drivers(fitted, split):
