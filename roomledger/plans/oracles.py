@@ -470,7 +470,7 @@ SELECT reservation_id, hotel, CAST(1 AS INT) AS model_version, CAST('2026-01-01
   true AS in_range, true AS band_agrees FROM silver""",
     "gbt_labels": f"{_TO_SILVER} SELECT reservation_id, true AS agrees FROM silver",
     "gbt_holdout_metrics": f"""{_TO_HOLDOUT}
-SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, true AS auc_in_range FROM holdout""",
+SELECT CAST(sum(y) AS BIGINT) AS positives, CAST(sum(1 - y) AS BIGINT) AS negatives, true AS auc_in_range, true AS learned FROM holdout""",
     "feature_importance": f"""{_TO_HOLDOUT},
 base AS (
   SELECT *, row_number() OVER (ORDER BY is_canceled, reservation_id, stay_nights NULLS FIRST, arrival_date NULLS FIRST, adr NULLS FIRST) AS i
