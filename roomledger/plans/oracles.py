@@ -508,6 +508,12 @@ SELECT 'cancel' AS model, CAST(1 AS INT) AS version, CAST(2 AS INT) AS newest, c
     "persona_city_view": _persona("hotel = 'City Hotel'", "'***'"),
     "persona_analyst_view": _persona("true", "'***'"),
     "persona_engineer_view": _persona("true", "{}"),
+    "sql_persona_rows": _persona("hotel = 'City Hotel'", "'***'"),
+    "sql_persona_countries": _TO_SILVER + " " + " UNION ALL ".join(
+        f"SELECT '{name}' AS persona, {value} AS country, count(*) AS bookings, count(DISTINCT hotel) AS hotels"
+        f" FROM silver WHERE ({sees}) AND {value} IS NOT NULL GROUP BY 1, 2"
+        for name, sees, value in _PERSONAS
+    ),
     "persona_visibility": _TO_SILVER + " " + " UNION ALL ".join(
         f"SELECT '{name}' AS persona, count(*) FILTER ({sees}) AS visible_rows,"
         f" count(DISTINCT hotel) FILTER ({sees}) AS hotels,"

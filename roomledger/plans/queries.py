@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roomledger.functions import sqlaccess
 from roomledger.functions.display import display_actions, display_reservations, to_json_rows
 from roomledger.operators import (
     actions as acts, features as feats, gold as golds, governance, metrics, model, profile, quality,
@@ -637,3 +638,31 @@ def persona_engineer_view(spark, sf_dir):  # G1, G2, G3
 @query
 def persona_visibility(spark, sf_dir):  # G9
     return governance.visibility(warehouse(spark, sf_dir).silver, PERSONA_GROUPS)
+
+
+def _asked(spark, sf_dir, groups, text):
+    """SQL text asked of the guarded silver table by a member of the groups."""
+    sqlaccess.create_functions(spark)
+    sqlaccess.become(spark, groups)
+    sqlaccess.guard(spark, "member_bookings", warehouse(spark, sf_dir).path("silver"))
+    return spark.sql(text)
+
+
+@query
+def sql_persona_rows(spark, sf_dir):  # U1, U2, G1, G2, G3
+    return _asked(spark, sf_dir, [CITY_MANAGER], f"SELECT {', '.join(VIEW_COLUMNS)} FROM member_bookings")
+
+
+@query
+def sql_persona_countries(spark, sf_dir):  # U1, U2, G9
+    """One SQL text, asked by every persona."""
+    answers = [
+        _asked(spark, sf_dir, groups, f"""
+            SELECT '{name}' AS persona, country, count(*) AS bookings, count(DISTINCT hotel) AS hotels
+            FROM member_bookings WHERE mask_pii(country) IS NOT NULL GROUP BY country""")
+        for name, groups in PERSONA_GROUPS.items()
+    ]
+    every = answers[0]
+    for answer in answers[1:]:
+        every = every.union(answer)
+    return every

@@ -43,6 +43,11 @@ class Warehouse:
         self.sf_dir = sf_dir
         self.root = work_dir(spark, "warehouse")
 
+    def path(self, name: str) -> str:
+        """Where a layer is written; it is built first if it has to be."""
+        getattr(self, name)
+        return f"{self.root}/{name}"
+
     def _written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.root}/{name}"
         build().write.mode("overwrite").parquet(path)

@@ -1,0 +1,80 @@
+"""SQL functions and guarded views: any SQL text is filtered and masked."""
+
+import pytest
+
+from roomledger.functions import sqlaccess
+from roomledger.operators import governance as g
+from roomledger.operators.silver import silver_bookings
+from roomledger.schemas import ANALYST, CITY_MANAGER, ENGINEER, MASKED_COLUMNS, RESORT_MANAGER
+
+
+@pytest.fixture(scope="module")
+def table(spark, bronze_row):
+    from roomledger.session import work_dir
+
+    path = work_dir(spark, "guarded")
+    silver_bookings(bronze_row(
+        {"country": "PRT"}, {"hotel": "Resort Hotel", "country": "ESP"}, {"hotel": "Resort Hotel", "country": None},
+        {"hotel": "Beach Hotel", "country": "FRA"},
+    )).write.parquet(path)
+    sqlaccess.create_functions(spark)
+    sqlaccess.guard(spark, "bookings", path)
+    return path
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("groups", [
+    [], ["someone's \\ group"], [ENGINEER], [ANALYST], [CITY_MANAGER], [RESORT_MANAGER], [CITY_MANAGER, RESORT_MANAGER],
+    [CITY_MANAGER, ANALYST]])
+def test_the_view_is_the_persona_view(spark, table, groups):
+    sqlaccess.become(spark, groups)
+    wanted = g.persona_view(spark.read.parquet(table), groups)
+    got = spark.sql("SELECT * FROM bookings")
+    assert got.columns == wanted.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_any_sql_is_guarded(spark, table):
+    sqlaccess.become(spark, [RESORT_MANAGER])
+    assert spark.sql("SELECT count(*) AS n FROM bookings").first().n == 2
+    assert [r[0] for r in spark.sql("SELECT DISTINCT b.country FROM bookings b JOIN bookings c USING (hotel)").collect()] == ["***"]
+    assert spark.sql("WITH x AS (SELECT * FROM bookings) SELECT max(country) AS c FROM x WHERE country = 'ESP'").first().c is None
+    assert spark.sql("SELECT mask_pii('x') AS v, hotel_row_filter('City Hotel') AS f").first() == ("***", False)
+
+
+def test_a_query_keeps_the_member_it_was_asked_by(spark, table):
+    sqlaccess.become(spark, [CITY_MANAGER])
+    asked = spark.sql("SELECT hotel FROM bookings")
+    sqlaccess.become(spark, [ENGINEER])
+    assert {r.hotel for r in asked.collect()} == {"City Hotel"}
+    assert spark.sql("SELECT hotel FROM bookings").count() == 4
+
+
+def test_filter_and_pruning_reach_the_scan(spark, table):
+    sqlaccess.become(spark, [CITY_MANAGER])
+    shown = plan(spark.sql("SELECT hotel, country FROM bookings WHERE adr > 10"))
+    assert "EqualTo(hotel,City Hotel)" in shown and "GreaterThan(adr" in shown
+    assert "country" not in shown.split("ReadSchema")[1] and "member_groups" not in shown
+    sqlaccess.become(spark, [ANALYST])
+    shown = plan(spark.sql("SELECT hotel, country FROM bookings"))
+    assert "PushedFilters: []" in shown and "country" not in shown.split("ReadSchema")[1]
+    sqlaccess.become(spark, [])
+    assert "FileScan" not in plan(spark.sql("SELECT * FROM bookings"))
+
+
+def test_masked_columns_are_those_of_the_policy(spark, table):
+    sqlaccess.become(spark, [ANALYST])
+    row = spark.sql(f"SELECT {', '.join(MASKED_COLUMNS)} FROM bookings").first()
+    assert set(row) == {"***"}
+
+
+def test_members_are_of_their_session(spark, table):
+    sqlaccess.become(spark, [ENGINEER])
+    other = spark.newSession()
+    sqlaccess.create_functions(other)
+    sqlaccess.guard(other, "bookings", table)
+    assert other.sql("SELECT * FROM bookings").count() == 0
+    assert spark.sql("SELECT * FROM bookings").count() == 4
