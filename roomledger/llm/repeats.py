@@ -27,7 +27,7 @@ LEAST = 200  # bytes
 GRAM = 40  # bytes of the grams whose hashes deal strings out
 RUN = 1024  # most starts in a run, so that periodic texts make short runs
 STEP = 1 << 20  # bytes hashed at once; a multiple of RUN
-GROUP = 512  # different runs with one smallest hash that are sorted as suffixes in one task
+GROUP = 16_384  # different runs with one smallest hash, some 5 MB of text, that are sorted as suffixes in one task
 SUFFIXES = 1 << 20  # bytes whose suffixes are sorted at once
 
 _MASK = (1 << 64) - 1
