@@ -234,6 +234,7 @@ _PERSONAS = [
 ORACLES: dict[str, str] = {
     # landing and cleaning
     "bronze_landing": f"WITH {_SOURCE.strip()} SELECT {_SOURCE_NAMES} FROM bronze",
+    "bronze_folder_stream": f"WITH {_SOURCE.strip()} SELECT {_SOURCE_NAMES} FROM bronze",
     "streamed_gold": f"{_TO_GOLD} SELECT * FROM gold",
     "csv_rescue": f"""WITH {_SOURCE.strip()}
 SELECT hotel, CASE WHEN adults = 'NA' THEN 'NA' END AS rescued_adults,

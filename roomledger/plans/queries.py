@@ -26,6 +26,7 @@ from roomledger.schemas import (
 from roomledger.plans.warehouse import warehouse
 from roomledger.session import work_dir
 from roomledger.sources import ledger, star, tables
+from roomledger.sources.csvfolder import land_folder
 from roomledger.sources.landing import csv_batch, infer_schema, write_csv
 from roomledger.streaming import actions as action_log, scoring
 from roomledger.streaming.medallion import build_silver, count_rules, land_csv, rule_totals
@@ -76,6 +77,15 @@ def bronze_landing(spark, sf_dir):  # S1, S2, S4, S5, R1
     return tables.read_table(spark, f"{root}/bronze").select(*SOURCE_SCHEMA.names)
 
 
+@query
+def bronze_folder_stream(spark, sf_dir):  # S1, S2, S4, S5, R1
+    """The CSV files landed through the folder source in byte ranges, twice; the second run finds nothing new."""
+    root = work_dir(spark, "folder-stream")
+    for _ in range(2):
+        land_folder(spark, warehouse(spark, sf_dir).csv, f"{root}/bronze", f"{root}/cp", range_bytes=8 << 20).awaitTermination()
+    return tables.read_table(spark, f"{root}/bronze").select(*SOURCE_SCHEMA.names)
+
+
 @query
 def landed_by_name(spark, sf_dir):  # S1, S2, S3, R1
     """Files with the columns in another order, without one, and with one too many, in one landing.
@@ -87,7 +97,7 @@ def landed_by_name(spark, sf_dir):  # S1, S2, S3, R1
     files = w.bronze.withColumn("loyalty", F.concat(F.lit("tier "), F.col("lead_time") % 4))
     for part, columns in enumerate((names[::-1], [n for n in names if n != "meal"], [*names[5:], "loyalty", *names[:5]])):
         files.where(F.col("lead_time") % 3 == part).select(*columns).write.option("header", True).csv(f"{root}/csv/{part}")
-    seen = infer_schema(spark, w.csv, 0.1)
+    seen = infer_schema(spark, w.csv)
     schema = T.StructType([T.StructField(f.name, seen[f.name].dataType if f.name == "lead_time" else f.dataType) for f in SOURCE_SCHEMA.fields])
     land_csv(spark, f"{root}/csv/*", f"{root}/bronze", f"{root}/checkpoints/bronze", schema).awaitTermination()
     return tables.read_table(spark, f"{root}/bronze").select(
