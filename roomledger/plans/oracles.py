@@ -236,6 +236,11 @@ ORACLES: dict[str, str] = {
     "bronze_landing": f"WITH {_SOURCE.strip()} SELECT {_SOURCE_NAMES} FROM bronze",
     "bronze_folder_stream": f"WITH {_SOURCE.strip()} SELECT {_SOURCE_NAMES} FROM bronze",
     "streamed_gold": f"{_TO_GOLD} SELECT * FROM gold",
+    "kept_gold": f"{_TO_GOLD} SELECT * FROM gold",
+    "kept_details": f"""{_TO_SILVER}
+SELECT reservation_id, arrival_date, lead_time, adr FROM silver
+QUALIFY row_number() OVER (PARTITION BY reservation_id
+  ORDER BY arrival_date DESC NULLS LAST, lead_time DESC NULLS LAST, adr DESC NULLS LAST) = 1""",
     "csv_rescue": f"""WITH {_SOURCE.strip()}
 SELECT hotel, CASE WHEN adults = 'NA' THEN 'NA' END AS rescued_adults,
   CASE WHEN children = 'NA' THEN 'NA' END AS rescued_children,
@@ -393,6 +398,9 @@ judged AS (SELECT action_type, CASE WHEN reservation_id IS NULL THEN 'reservatio
 SELECT reason, action_type, count(*) AS rejected FROM judged WHERE reason IS NOT NULL GROUP BY ALL""",
     "latest_action": f"""{_TO_ACTIONS}
 SELECT * FROM valid
+QUALIFY row_number() OVER (PARTITION BY reservation_id ORDER BY acted_at DESC, id DESC) = 1""",
+    "kept_latest_action": f"""{_TO_ACTIONS}
+SELECT * FROM valid
 QUALIFY row_number() OVER (PARTITION BY reservation_id ORDER BY acted_at DESC, id DESC) = 1""",
     "prior_actions": f"{_TO_ACTIONS} SELECT * FROM valid WHERE reservation_id = '8'",
     "actions_display": f"""{_TO_ACTIONS}

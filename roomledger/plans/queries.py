@@ -28,7 +28,7 @@ from roomledger.session import work_dir
 from roomledger.sources import ledger, star, tables
 from roomledger.sources.csvfolder import land_folder
 from roomledger.sources.landing import csv_batch, infer_schema, write_csv
-from roomledger.streaming import actions as action_log, scoring
+from roomledger.streaming import actions as action_log, kept, scoring
 from roomledger.streaming.medallion import build_silver, count_rules, land_csv, rule_totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,39 @@ def streamed_gold(spark, sf_dir):  # S6, S7, R1, R2, R3, A1
     return golds.gold_hotel_month(tables.read_table(spark, f"{root}/silver"))
 
 
+def _in_batches(spark, rows, path):
+    """The rows as a stream of several files, one a batch."""
+    rows.repartition(3).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def kept_gold(spark, sf_dir):  # A1, R2
+    """Gold kept up over three batches of silver, folded into a snapshot on the way."""
+    root = work_dir(spark, "kept-gold")
+    silver = _in_batches(spark, warehouse(spark, sf_dir).silver, f"{root}/silver")
+    kept.keep_gold(silver, f"{root}/gold", f"{root}/cp").awaitTermination()
+    kept.fold(spark, f"{root}/gold", kept.GOLD_KEYS)
+    return kept.read_kept(spark, f"{root}/gold", kept.GOLD_KEYS)
+
+
+@query
+def kept_latest_action(spark, sf_dir):  # W2
+    root = work_dir(spark, "kept-actions")
+    actions = _in_batches(spark, acts.split_actions(star.actions(spark, sf_dir))[0], f"{root}/actions")
+    kept.keep_latest_actions(actions, f"{root}/latest", f"{root}/cp").awaitTermination()
+    return kept.read_kept(spark, f"{root}/latest", ["reservation_id"])
+
+
+@query
+def kept_details(spark, sf_dir):  # D1, R3
+    """One booking detail per reservation, kept up over three batches."""
+    root, order = work_dir(spark, "kept-details"), ["arrival_date", "lead_time", "adr"]
+    details = _in_batches(spark, warehouse(spark, sf_dir).silver.select("reservation_id", *order), f"{root}/rows")
+    kept.keep_one_per_key(details, "reservation_id", order, f"{root}/one", f"{root}/cp").awaitTermination()
+    return kept.read_kept(spark, f"{root}/one", ["reservation_id"])
+
+
 @query
 def streamed_rule_counts(spark, sf_dir):  # F5
     root = _landed(spark, sf_dir)
