@@ -7,6 +7,9 @@ the exact weighted similarity of shingles.
 
 Before that, windows are passed over that hold too few shingles of items of their size to reach the
 similarity at all; this is an exact bound, not a sample.
+
+An item of fewer words than a shingle has no window that tells anything: such words are in any text. It is
+found only where a document is the item, word for word.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from roomledger.llm.arrow import bounded_batches
@@ -77,12 +81,17 @@ class Index:
         edges = np.linspace(0, 64, radius + 2).astype(int).tolist()
         self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
         self.by_block: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        self.whole: dict[tuple[str, ...], list[int]] = defaultdict(list)  # items shorter than a shingle
         self.known: dict[int, dict[int, list[int]]] = defaultdict(dict)  # shingle length: hash: sizes of its items
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            length = min(SHINGLE, len(words))
+            if len(words) < SHINGLE:
+                self.whole[tuple(words)].append(len(self.items))
+                self.items.append((item_id, Counter(), 0))
+                continue
+            length = SHINGLE
             hashes = gram_hashes(words, length)
             print_ = int(_fingerprints(_bits(hashes).sum(axis=0, dtype=np.int64)[None, :], len(hashes))[0])
             at = len(self.items)
@@ -109,6 +118,8 @@ class Index:
         """(item id, similarity, first word, words) of the best window for each item that has one."""
         words = words_of(text)
         best: dict[int, tuple[float, int, int]] = {}
+        if len(words) < SHINGLE:
+            best = {at: (1.0, 0, len(words)) for at in self.whole.get(tuple(words), ())}
         for length, known in self.known.items():
             hashes = gram_hashes(words, length)
             listed = hashes.tolist()
@@ -181,13 +192,15 @@ def item_blocks(benchmark: DataFrame, id_col="item_id", text_col="text") -> Iter
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: the best window per row of docs and item it resembles.
 
-    Clean documents have no row. Null and empty texts are clean; a null item is none; repeated rows and
-    repeated items come out repeated; ids keep their type. Other columns are ignored.
+    Clean documents have no row. Null and empty texts are clean; a null item is none; an item of fewer than
+    five words is found only in documents that are the item. Repeated rows and repeated items come out
+    repeated; ids keep their type and may be null. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kinds = chosen.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, start_word long, n_words long"
     out = spark.createDataFrame([], schema)
     for number, block in enumerate(item_blocks(benchmark)):
@@ -199,7 +212,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_
                 if found:
                     at, ids, scores, starts, sizes = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array(at)), pa.array(ids), pa.array(scores, pa.float64()),
+                        batch.column(0).take(pa.array(at)), pa.array(ids, item_kind), pa.array(scores, pa.float64()),
                         pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
                     ], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 

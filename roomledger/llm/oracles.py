@@ -83,8 +83,10 @@ alike AS (
   SELECT id, doc_id, item_id, own, start, CAST(sum(least(times, weight)) AS DOUBLE) / (own - 4 + size - 4 - sum(least(times, weight))) AS similarity
   FROM shared JOIN item_grams USING (item_id, size, gram) GROUP BY id, doc_id, item_id, size, own, start
 )
-SELECT doc_id, item_id, similarity, start - 1 AS start_word, own AS n_words FROM alike WHERE similarity >= 0.8
-QUALIFY row_number() OVER (PARTITION BY id, item_id ORDER BY similarity DESC, start) = 1""",
+(SELECT doc_id, item_id, similarity, start - 1 AS start_word, own AS n_words FROM alike WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY id, item_id ORDER BY similarity DESC, start) = 1)
+UNION ALL
+SELECT doc_id, item_id, CAST(1 AS DOUBLE), 0, len(items.w) FROM texts JOIN items USING (w) WHERE len(items.w) BETWEEN 1 AND 4""",
     "op6_warc_round_trip": """
 WITH payloads AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

@@ -501,8 +501,11 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", similarity: f
 
     A row is known by the hashes of its id and its text. Of rows that repeat exactly one stays; a row
     without an id stays only if its whole group has none. A null text counts as empty, and texts without
-    words are copies of each other.
+    words are copies of each other. Own columns may have any names.
     """
+    own = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(own))])
+    id_col, text_col = (f"c{own.index(c)}" for c in (id_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__id": F.xxhash64(id_col), "__text": F.xxhash64(text)})
     rows = keyed.select(
@@ -513,4 +516,4 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", similarity: f
     named = hashed.select("node", F.struct("none", "id", "__id", "__text").alias("name"))
     best = groups.join(named, "node").groupBy("root").agg(F.min("name").alias("name"))
     kept = keyed.join(best.select("name.__id", "name.__text"), ["__id", "__text"], "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+    return kept.dropDuplicates(["__id", "__text"]).drop("__id", "__text").toDF(*own)

@@ -72,7 +72,11 @@ def contaminations(docs, items, least=0.8):
             wanted = re.findall(r"[^\W_]+", (item or "").lower())
             if not wanted or not words:
                 continue
-            size = min(5, len(wanted))
+            if len(wanted) < 5:  # only a document that is the item
+                if words == wanted:
+                    out[doc_id, item_id] = 1.0
+                continue
+            size = 5
 
             def grams(w):
                 return Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
