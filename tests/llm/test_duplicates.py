@@ -63,8 +63,8 @@ def test_one_of_each_group_of_similar_documents(spark):
 def test_similar_documents_of_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    found = {r.doc_id for r in simhash.one_of_each(docs).collect()}  # the similarity is an estimate
-    assert brute.kept_of_similar(rows, 0.72) <= found <= brute.kept_of_similar(rows, 0.88)
+    found = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert found == brute.kept_of_similar(rows, 0.8)
 
 
 def test_long_text_is_hashed_in_steps(monkeypatch):
