@@ -112,7 +112,8 @@ def test_a_fit_goes_on_from_saved_rounds(spark, rows, folder, monkeypatch):
         boost(rows, ["kind__index"], [5], NUMERIC, "y", growth, saved=f"{folder}/trees")
     again = boost(rows, ["kind__index"], [5], NUMERIC, "y", growth, saved=f"{folder}/trees")[1]
     assert calls == [3, 3, 3, 1]  # the first three rounds were not grown again
-    assert [t.value for t in again] == [t.value for t in whole]
+    for one, other in zip(again, whole, strict=True):  # rows come in another order, so sums round differently
+        assert one.feature == other.feature and one.value == pytest.approx(other.value, abs=1e-12)
 
 
 def test_edges(spark, rows):
