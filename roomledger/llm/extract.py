@@ -7,8 +7,8 @@ votes per host, and every page is then extracted again from the containers at it
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
@@ -20,10 +20,9 @@ from roomledger.llm.arrow import bounded_batches, in_batches
 from roomledger.sources.tables import materialize
 
 BROADCAST_HOSTS = 20_000  # winners of that many hosts are at most some 8 MB; with more, Spark joins by shuffle
-PATH_CHARS = 400  # a longer path is known by its end
-HOLDS = 0.9  # share of a page's text that a container without meaning of its own must hold, besides every passage
+PATH_CHARS = 400  # the steps before are known by their hash
 PASSAGE = 3  # words that make a block outside of links a passage; headings are passages of any length
-ARTICLE_HOLDS = 0.5  # share that an article or main element must hold
+PROSE = 8  # words that make a block outside of links prose; prose beside an article element belongs to the article
 
 # Elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +39,12 @@ NAMES = frozenset(
     "disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices notification "
     "popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe "
     "toolbar widget".split())
+# Names of boilerplate wherever they stand in a class. The other names are so as a whole class only;
+# as a part of one (post-header, social-history) they make a container doubtful.
+PLAIN_NAMES = frozenset(
+    "ad ads advert advertisement adverts breadcrumb breadcrumbs comments consent cookie cookies disqus masthead menu nav "
+    "navbar navigation sidebar".split())
+COMMENT_NAMES = frozenset("comment comments reply respond".split())
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)""", re.S)
@@ -61,7 +66,16 @@ class Page(NamedTuple):
     blocks: list[str]
     links: list[int]  # characters of links in each block
     containers: list[Container]
-    headings: list[bool]  # which blocks are
+    levels: list[int]  # of headings; 0 for other blocks
+
+
+class Doubt(NamedTuple):
+    """A container that only a part of its class calls boilerplate."""
+
+    above: int  # the doubtful container around it, or -1
+    first: int  # blocks [first, last)
+    last: int
+    holds_article: bool
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -76,24 +90,71 @@ def _step(tag: str, found: dict[str, str]) -> str:
     return ".".join([tag, *names])
 
 
-def _is_boilerplate(tag: str, found: dict[str, str]) -> bool:
+def _is_boilerplate(tag: str, found: dict[str, str]) -> bool | None:
+    """None for a container in doubt."""
     if tag in BOILERPLATE:
         return True
     if not found:
         return False
     if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return True
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "main"):
         return False
-    return not NAMES.isdisjoint(_NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
+    parts = _NAME_PARTS.findall(names)
+    if tag == "article":
+        return not COMMENT_NAMES.isdisjoint(parts)
+    if NAMES.isdisjoint(parts):
+        return False
+    return True if not PLAIN_NAMES.isdisjoint(parts) or not NAMES.isdisjoint(names.split()) else None
+
+
+def _own(page: Page) -> list[int]:
+    """Characters of each block beyond its links, which count twice."""
+    return [max(0, len(block) - 2 * links) for block, links in zip(page.blocks, page.links, strict=True)]
+
+
+def _has_words(block: str, least: int) -> bool:
+    return len(block.split(None, least - 1)) >= least
+
+
+def _settled(page: Page, doubts: list[Doubt], inside: list[int]) -> Page:
+    """The page without those containers in doubt that place and links show to be boilerplate.
+
+    One that holds an article or main element stays, one with the page's only title and no prose too, and
+    one with over half of the text of a page whose other parts hold no such element. ``inside`` is the
+    innermost doubtful container of every block, or -1.
+    """
+    own = _own(page)
+    size, titles = [0], [0]
+    for n, level in zip(own, page.levels, strict=True):
+        size.append(size[-1] + n)
+        titles.append(titles[-1] + (level == 1))
+    articles = any(c.tag in ("article", "main") and size[c.last] > size[c.first] for c in page.containers)
+    out: list[bool] = []
+    for d in doubts:
+        held = titles[d.last] - titles[d.first]
+        is_title = held and held == titles[-1] and not any(
+            own[i] and _has_words(page.blocks[i], PROSE) for i in range(d.first, d.last) if not page.levels[i])
+        stays = d.holds_article or is_title or (not articles and 2 * (size[d.last] - size[d.first]) > size[-1])
+        out.append(not stays or (d.above >= 0 and out[d.above]))
+    keep = [i < 0 or not out[i] for i in inside]
+    place = [0]
+    for kept in keep:
+        place.append(place[-1] + kept)
+    containers = [c._replace(first=place[c.first], last=place[c.last]) for c in page.containers]
+    blocks, links, levels = ([x for x, kept in zip(xs, keep, strict=True) if kept] for xs in (page.blocks, page.links, page.levels))
+    return Page(blocks, links, containers, levels)
 
 
 def parse(html: str) -> Page:
     """Text blocks in page order, without boilerplate, and the containers that hold them."""
     page = Page([], [], [], [])
-    stack: list[tuple[str, str, int, bool]] = []  # tag, path, first block, left out
+    stack: list[tuple[str, str, int, bool, int]] = []  # tag, path, first block, left out, place in doubts or -1
+    doubts: list[Doubt] = []
+    inside: list[int] = []
     text: list[str] = []
-    in_links = in_headings = link_chars = 0
+    in_links = level = link_chars = 0
 
     def end_block() -> None:
         nonlocal link_chars
@@ -102,22 +163,32 @@ def parse(html: str) -> Page:
             if block:
                 page.blocks.append(block)
                 page.links.append(min(link_chars, len(block)))
-                page.headings.append(in_headings > 0)
+                page.levels.append(level)
+                inside.append(stack[-1][4] if stack else -1)
             text.clear()
         link_chars = 0
 
     def close(depth: int) -> None:
         """Close the open elements down to that depth."""
-        nonlocal in_links, in_headings
+        nonlocal in_links, level
         while len(stack) > depth:
-            tag, path, first, out = stack.pop()
+            tag, path, first, out, doubt = stack[-1]
             if tag not in INLINE:
                 end_block()
+            stack.pop()
+            above = stack[-1][4] if stack else -1
             if tag == "a":
                 in_links -= 1
-            in_headings -= tag in HEADINGS
+            if tag in HEADINGS:
+                level = 0
+            if doubt != above:
+                doubts[doubt] = doubts[doubt]._replace(last=len(page.blocks))
             if tag in CONTAINERS and not out:
                 page.containers.append(Container(path, tag, first, len(page.blocks), len(stack)))
+                if tag in ("article", "main") and len(page.blocks) > first:
+                    while doubt >= 0 and not doubts[doubt].holds_article:
+                        doubts[doubt] = doubts[doubt]._replace(holds_article=True)
+                        doubt = doubts[doubt].above
 
     at, end = 0, len(html)
     while at < end:
@@ -155,17 +226,24 @@ def parse(html: str) -> Page:
         if tag in VOID:
             continue
         own = _attributes(found[3])
-        above = stack[-1] if stack else ("", "", 0, False)
-        path = above[1]
+        above = stack[-1] if stack else ("", "", 0, False, -1)
+        path, doubt = above[1], above[4]
         if tag not in INLINE:
-            path = f"{path}/{_step(tag, own)}"[-PATH_CHARS:]
-        stack.append((tag, path, len(page.blocks), above[3] or _is_boilerplate(tag, own)))
+            if len(path) > PATH_CHARS:
+                path = hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
+            path = f"{path}/{_step(tag, own)}"
+        out = above[3] or _is_boilerplate(tag, own)
+        if out is None:
+            doubts.append(Doubt(doubt, len(page.blocks), len(page.blocks), False))
+            doubt = len(doubts) - 1
+        stack.append((tag, path, len(page.blocks), bool(out), doubt))
         if tag == "a":
             in_links += 1
-        in_headings += tag in HEADINGS
+        if tag in HEADINGS:
+            level = int(tag[1])
     close(0)
     end_block()
-    return page
+    return _settled(page, doubts, inside) if doubts else page
 
 
 # What a start tag closes, and what it doesn't reach beyond.
@@ -184,28 +262,50 @@ def _close_implied(tag: str, stack: list, close) -> None:
             return
 
 
+def _articles(page: Page, own: list[int]) -> list[Container]:
+    """The article and main elements with text of their own, in page order, without those inside another one."""
+    found: list[Container] = []
+    for c in sorted((c for c in page.containers if c.tag in ("article", "main")), key=lambda c: (c.first, -c.last, c.depth)):
+        if (not found or c.first >= found[-1].last) and any(own[c.first : c.last]):
+            found.append(c)
+    return found
+
+
 def best_container(page: Page) -> tuple[Container | None, float]:
     """The container that holds the article, and its characters outside links.
 
-    Without an article or main element it is the deepest that holds all headings and passages of the page,
-    so that of an article spread over siblings no part is left out.
+    On a page with article or main elements it is the deepest one with their text and what stands beside them as the
+    title or as prose; an article element that holds it all is taken itself, not what is inside it. On other
+    pages it is the deepest one with all headings and passages, or one around it as long as what that
+    adds has text outside of links: short lines beside the body stay, lists of links don't come in.
     """
-    size, passages = [0], [0]
-    for block, links, heading in zip(page.blocks, page.links, page.headings, strict=True):
-        own = max(0, len(block) - 2 * links)
-        size.append(size[-1] + own)
-        passages.append(passages[-1] + (own > 0 and (heading or len(block.split(None, PASSAGE - 1)) >= PASSAGE)))
-    total = size[-1]
-    holds = [(size[c.last] - size[c.first], c) for c in page.containers]
-    named = [(n, c.depth, c) for n, c in holds if c.tag in ("article", "main") and n >= ARTICLE_HOLDS * total]
-    if named:
-        n, _, c = max(named, key=lambda x: (x[0], x[1]))
-        return c, float(n)
-    plain = [(c.depth, n, c) for n, c in holds if n >= HOLDS * total and passages[c.last] - passages[c.first] == passages[-1]]
-    if not plain:
+    own = _own(page)
+    articles = _articles(page, own)
+    if articles:
+        in_articles = bytearray(len(own))
+        for c in articles:
+            in_articles[c.first : c.last] = b"\1" * (c.last - c.first)
+        needed = [i for i, n in enumerate(own) if n and (
+            in_articles[i] or page.levels[i] == 1 or _has_words(page.blocks[i], PROSE))]
+    else:
+        texts = [i for i, n in enumerate(own) if n]
+        needed = [i for i in texts if page.levels[i] or _has_words(page.blocks[i], PASSAGE)] or texts
+    if not needed:
+        return None, 0.0
+    first, last = needed[0], needed[-1] + 1
+    for c in articles:
+        if c.first <= first and c.last >= last:
+            return c, float(sum(own[c.first : c.last]))
+    holds = sorted((c for c in page.containers if c.first <= first and c.last >= last), key=lambda c: -c.depth)
+    if not holds:
         return None, 0.0
-    _, n, c = max(plain, key=lambda x: x[:2])
-    return c, float(n)
+    chosen = holds[0]
+    for c in holds[1:] if not articles else ():
+        if not all(own[c.first : chosen.first]) or not all(own[chosen.last : c.last]):
+            break
+        if c.last - c.first > chosen.last - chosen.first:
+            chosen = c
+    return chosen, float(sum(own[chosen.first : chosen.last]))
 
 
 def vote(html: str | None) -> tuple[str | None, float]:
@@ -215,9 +315,16 @@ def vote(html: str | None) -> tuple[str | None, float]:
 
 
 def extract(html: str | None, path: str | None) -> str:
-    """Text at the winning path, or that of the page's own best container where it has no such path."""
+    """Text at the winning path, or that of the page's own best container where it has no such path.
+
+    Where the path leads to article or main elements, the page's other ones with prose are part of the text.
+    """
     page = parse(html or "")
-    chosen = sorted({(c.first, c.last) for c in page.containers if c.path == path and c.last > c.first})
+    at_path = [c for c in page.containers if c.path == path and c.last > c.first]
+    if any(c.tag in ("article", "main") for c in at_path):
+        own = _own(page)
+        at_path += [c for c in _articles(page, own) if any(own[i] and _has_words(page.blocks[i], PROSE) for i in range(c.first, c.last))]
+    chosen = sorted({(c.first, c.last) for c in at_path})
     if not chosen:
         own, _ = best_container(page)
         chosen = [(own.first, own.last)] if own else [(0, len(page.blocks))]

@@ -1,6 +1,7 @@
 """HTML extraction and WARC archives."""
 
 import hashlib
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ def test_very_long_and_deep_pages():
 
 
 def test_hosts_agree(spark):
-    article = "<body><div class=c><p>{}</p></div><div class=d><p>{}</p></div>"
+    article = "<body><div class=c><p>{}</p></div><div class=l><a href=/>more</a></div><div class=d><p>{}</p></div>"
     rows = [(i, "http://h.example/x", article.format("long text " * 9, "short"), "k") for i in range(3)]
     rows += [(3, "http://h.example/y", article.format("few", "much longer on this page " * 9), "k"), (4, "http://other.example/", article.format("few", "longer " * 9), "k"),
              (5, None, None, "k"), (6, "no url at all", "", "k"), (6, "no url at all", "", "k")]
@@ -54,6 +55,41 @@ def test_pages_of_the_table(spark):
     assert len(rows) == 250 and all(r.n_chars == len(r.text) > 0 and "<" not in r.text[:50] for r in rows)
 
 
+class Plain(HTMLParser):
+    """Text of the article element by the standard library's parser, block by block, for the kind of pages in the table."""
+
+    BLOCKS = frozenset("html head body nav ul li div article h1 p br footer title style script".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_of_the_table_by_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        plain.close()
+        want[r.page_id] = " ".join(b for b in (" ".join(x.split()) for x in plain.blocks) if b)
+    assert {r.page_id: r.text for r in extract.main_texts(pages).collect()} == want
+
+
 BIG = "<p>" + "x" * 1200
 
 

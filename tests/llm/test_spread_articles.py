@@ -20,6 +20,40 @@ def test_article_over_siblings(html, text):
     assert extract.extract(html, extract.vote(html)[0]) == text.strip()
 
 
+PROSE = "<p>It begins with a lead. It has three sentences. They are part of it.</p>"
+LEAD = "It begins with a lead. It has three sentences. They are part of it. "
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<body><div class=lead>{PROSE}</div><article>{LONG}</article>", LEAD + BODY),
+    (f"<body><h1>Title</h1><article>{LONG}</article><div>3 min</div>", f"Title {BODY}3 min"),
+    (f"<body><nav>menu</nav><article class=a>{LONG}</article><article class=b>{PROSE}</article><footer>end</footer>", BODY + LEAD),
+    (f"<body><div class=post><div class='post-header'><h1>Title</h1><span>by Ann</span></div><div>{LONG}</div></div>", f"Title by Ann {BODY}"),
+    (f"<body><div class='site-header'><h1>The site</h1>{PROSE}</div><div class=post><h1>Title</h1>{LONG}</div>", f"Title {BODY}"),
+    (f"<body><div class='social-history'>{LONG}</div><div class=other><p>a few words beside it</p></div>", f"{BODY}a few words beside it"),
+    (f"<body><div class='page-header-wrap'><div class='share-box'><p>share it</p></div><article>{LONG}</article></div>", BODY),
+    (f"<body><div class='cookie-bar'>{LONG}</div><div class='share-row'>{PROSE}</div><div class=b>{LONG}</div>", BODY),
+    (f"<body><div class=body>{LONG}</div><p>Two words</p><p>the end</p>", f"{BODY}Two words the end"),
+    (f"<body><article>{LONG}</article><section class='comment-list'><p>first</p></section><article class='comment'>{PROSE}</article>", BODY),
+    (f"<body><article class=teaser><a href=/>{PROSE}</a></article><main>{LONG}</main>", BODY),
+])
+def test_place_and_links_decide(html, text):
+    assert extract.extract(html, extract.vote(html)[0]) == text.strip()
+
+
+def test_a_second_article_where_the_host_has_one(spark):
+    one, two = f"<body><article class=a>{LONG}</article>", f"<body><article class=a>{LONG}</article><article class=b>{PROSE}</article>"
+    pages = spark.createDataFrame([(i, "http://h.example/", two if i == 2 else one) for i in range(5)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract.main_texts(pages).collect()}
+    assert got == {i: (BODY + LEAD if i == 2 else BODY).strip() for i in range(5)}
+
+
+def test_deep_containers_have_paths_of_their_own():
+    """However deep, containers with other steps above them are not one path."""
+    paths = {extract.vote("<body>" + f"<div class={name}>" + "<div class=level>" * 200 + LONG)[0] for name in ("a", "b", "c")}
+    assert len(paths) == 3 and all(len(p) < 1000 for p in paths)
+
+
 def test_hosts_keep_what_stands_beside(spark):
     page = "<body><nav>menu</nav><div class=post><div class=lead><p>{} is how it begins</p></div><div class=body>" + LONG + "</div></div>"
     pages = spark.createDataFrame([(i, "http://h.example/", page.format(f"page {i}")) for i in range(5)], "page_id long, url string, html string")
