@@ -1,8 +1,9 @@
 """Secrets in texts: named assignments, access key ids and hex strings, and keys confirmed by structure.
 
 The base patterns report what looks like a secret. Encoded material is reported only after it has been
-decoded and its inside has been parsed: DER keys by nested lengths that fill the whole blob, OpenSSH keys
-by their header and length-prefixed fields, signed tokens by a header and claims that are JSON objects.
+decoded and its inside has been parsed: DER keys, encrypted ones too, by nested lengths that fill the whole blob,
+OpenSSH keys by their header and length-prefixed fields, PGP secret keys by their first packet and the block's
+checksum, signed tokens by a header and claims that are JSON objects. What was encoded twice is decoded twice.
 Line breaks inside encoded material may be real or written as a backslash and n, as in JSON and env files.
 """
 
@@ -28,18 +29,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as a run is taken whole from its first character
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
-KINDS = ("assign", "access", "hex", "signed_token", "der_key", "ssh_key")
+KINDS = ("assign", "access", "hex", "signed_token", "der_key", "ssh_key", "pgp_key")
 BASE_KINDS = KINDS[:3]
 
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----([^-]+)-----END \1-----")
+_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----")
+_KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M[A-P]|b3Bl)[A-Za-z0-9+/_-]{12,37}(?![A-Za-z0-9+/_-])")  # of a key in short lines
+_AFTER_SLASH = re.compile(r"(?<=/)(?:M[A-P]|b3Bl)")
+_HEX_START = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{14,}")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+_TWICE = re.compile(r"T[Q-Za-f]|YjNC|LS0tLS1CRUdJT")  # base64 of what begins a key in base64 or PEM
 _RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _BREAK = re.compile(r"(?:[\x20\t]|\\*[\r\n]|\\+[nr])+")  # between lines of one blob; also written as backslash and n
 _ESCAPED_BREAK = re.compile(r"\\+[nr]")
 _HEX_BLOB = re.compile(r"[0-9A-Fa-f]{64,}")
 _MARKS = re.compile(r"[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
 _SSH_MAGIC = b"openssh-key-v1\x00"
+_PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # object ids of PKCS#5 and PKCS#12
 
 
 def _base64(text: str) -> bytes | None:
@@ -75,15 +82,20 @@ def is_der_key(data: bytes) -> bool:
     """A sequence that fills the blob and has the fields of a private key.
 
     RSA: version and eight integers; PKCS#8: version, algorithm sequence with an object id, octets;
-    elliptic curve: version 1, octets.
+    elliptic curve: version 1, octets; encrypted: the object id of a password scheme in a sequence, octets.
     """
     outer = der_items(data, 0, len(data))
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
     inner = der_items(data, outer[0][1], outer[0][2])
-    if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
+    if not inner or len(inner) < 2:
         return False
     tags = [tag for tag, _, _ in inner]
+    if tags == [0x30, 0x04]:
+        scheme = der_items(data, inner[0][1], inner[0][2])
+        return bool(scheme) and scheme[0][0] == 0x06 and data[scheme[0][1] : scheme[0][2]].startswith(_PASSWORD_SCHEMES)
+    if inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
+        return False
     if len(tags) >= 9 and tags[:9] == [0x02] * 9:
         return True
     if tags[:3] == [0x02, 0x30, 0x04]:
@@ -121,11 +133,15 @@ def _ssh_end(data: bytes) -> int | None:
 
 
 def _der_end(head: bytes) -> int | None:
-    """Where the sequence that begins with this head and a one-byte integer ends, as its length says."""
+    """Where the sequence that begins with this head ends, as its length says.
+
+    Its first item is a one-byte integer or a sequence, as in keys and encrypted keys.
+    """
     if len(head) < 8 or head[0] != 0x30:
         return None
     width = head[1] & 0x7F if head[1] >= 0x80 else 0
-    if width > 4 or head[1] == 0x80 or head[2 + width : 4 + width] != b"\x02\x01":
+    first = head[2 + width : 4 + width]
+    if width > 4 or head[1] == 0x80 or first != b"\x02\x01" and first[:1] != b"\x30":
         return None
     return 2 + width + (int.from_bytes(head[2 : 2 + width], "big") if width else head[1])
 
@@ -161,6 +177,66 @@ def wrapped_key(text: str, start: int) -> tuple[int, str] | None:
     return end, kind
 
 
+def wrapped_hex_key(text: str, start: int) -> tuple[int, str] | None:
+    """End and kind of a DER key in hex that begins there, over one line or several."""
+    run = _HEX_RUN.match(text, start)
+    total = _der_end(bytes.fromhex(run[0][: min(32, len(run[0]) // 2 * 2)]))
+    if total is None:
+        return None
+    pieces, count, end = [], 0, start
+    while run and count < 2 * total:
+        pieces.append(run[0])
+        count, end = count + len(run[0]), run.end()
+        between = _BREAK.match(text, end)
+        run = _HEX_RUN.match(text, between.end()) if between else None
+    return (end, kind) if count == 2 * total and (kind := _structure(bytes.fromhex("".join(pieces)))) else None
+
+
+def _checksum24(data: bytes) -> int:
+    """The checksum of armoured blocks: 24 bits, polynomial 0x864CFB, start 0xB704CE."""
+    value = 0xB704CE
+    for byte in data:
+        value ^= byte << 16
+        for _ in range(8):
+            value <<= 1
+            if value & 0x1000000:
+                value ^= 0x1864CFB
+    return value
+
+
+def is_pgp_key(data: bytes) -> bool:
+    """A secret key or secret subkey packet of a known version that ends within the data."""
+    if len(data) < 6 or not data[0] & 0x80:
+        return False
+    if data[0] & 0x40:  # new format
+        tag, one = data[0] & 0x3F, data[1]
+        if one < 192:
+            body, size = 2, one
+        elif one < 224:
+            body, size = 3, ((one - 192) << 8) + data[2] + 192
+        elif one == 255:
+            body, size = 6, int.from_bytes(data[2:6], "big")
+        else:
+            return False  # keys don't come in parts
+    else:
+        width = (1, 2, 4, 0)[data[0] & 3]
+        tag, body, size = data[0] >> 2 & 0xF, 1 + width, int.from_bytes(data[1 : 1 + width], "big")
+    return tag in (5, 7) and 6 <= size <= len(data) - body and data[body] in (3, 4, 5, 6)
+
+
+def _block_kind(label: str, lines: list[str]) -> str | None:
+    """Kind of the key in the lines between BEGIN and END."""
+    lines = [line.strip() for line in lines if ":" not in line]  # without the headers
+    if not label.startswith("PGP "):
+        return _structure(_base64("".join("".join(lines).split())))
+    lines = [line for line in lines if line]
+    checksum = lines.pop()[1:] if lines and re.fullmatch(r"=[A-Za-z0-9+/]{4}", lines[-1]) else None
+    data = _base64("".join(lines))
+    if not data or checksum is not None and int.from_bytes(_base64(checksum) or b"", "big") != _checksum24(data):
+        return None
+    return "pgp_key" if is_pgp_key(data) else None
+
+
 def is_signed_token(header: str, claims: str) -> bool:
     """Header and claims decode to JSON objects, and the header names an algorithm."""
     parsed = []
@@ -192,34 +268,84 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def _blocks(text: str) -> list[tuple[int, int, str]]:
+    """Spans of the key blocks with BEGIN and END lines. Every part of the text is looked at once."""
+    spans, at = [], 0
+    while begin := _PEM_BEGIN.search(text, at):
+        at = begin.end()
+        close = text.find("-----", at)
+        while close >= 0 and text.startswith("-----BEGIN ", close):  # the block before has no end
+            begin = _PEM_BEGIN.match(text, close) or begin
+            at = max(begin.end(), close + 5)
+            close = text.find("-----", at)
+        end = f"-----END {begin[1]}-----"
+        if close < 0 or not text.startswith(end, close):
+            continue
+        body = _ESCAPED_BREAK.sub("\n", text[begin.end() : close]).replace("\\", "")  # what else is escaped are slashes
+        at = close + len(end)
+        if kind := _block_kind(begin[1], body.split("\n")):
+            spans.append((begin.start(), at, kind))
+    return spans
+
+
+def _twice(body: str) -> str | None:
+    """Kind of the key that base64 hides which decodes to base64 or a block with BEGIN and END lines."""
+    data = _base64(body)
+    if not data or not data.isascii():
+        return None
+    inner = data.decode().strip()
+    if inner.startswith("-----BEGIN "):
+        return next((kind for start, _, kind in _blocks(inner) if start == 0), None)
+    return _structure(_base64("".join(inner.split())))
+
+
+def _encoded_key(text: str, start: int, end: int) -> tuple[int, int, str] | None:
+    """The key in a run of base64 or hex characters, which may begin after a slash and go on over further lines."""
+    body = text[start:end]
+    if body[0] in "nr" and text[start - 1 : start] == "\\":
+        start, body = start + 1, body[1:]  # the break before it
+    if (h := _HEX_BLOB.fullmatch(body)) and len(body) % 2 == 0 and (kind := _structure(bytes.fromhex(h[0]))):
+        return start, end, kind
+    if _TWICE.match(body) and (kind := _twice(body)):
+        return start, end, kind
+    for at in [0, *(m.start() for m in _AFTER_SLASH.finditer(body))]:
+        if body[at : at + 1] not in ("M", "b"):  # 0x30 0x8? or the magic's first byte
+            continue
+        head = _base64(body[at : at + 40])
+        if not head or not head.startswith(_SSH_MAGIC) and _der_end(head) is None:
+            continue
+        if kind := _structure(_base64(body[at:])):
+            return start + at, end, kind
+        if wrapped := wrapped_key(text, start + at):
+            return start + at, *wrapped
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of encoded material whose decoded structure is that of a key or signed token."""
-    spans, taken = [], []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = _ESCAPED_BREAK.sub("\n", m[2]).replace("\\", "")  # what else is escaped are slashes
-            lines = [line for line in body.split("\n") if ":" not in line]  # without the headers of old formats
-            if kind := _structure(_base64("".join("".join(lines).split()))):
-                spans.append((m.start(), m.end(), kind))
-                taken.append((m.start(), m.end()))
+    spans = _blocks(text) if "-----BEGIN " in text else []
+    taken = list(spans)
     if ".ey" in text or "ey" in text and "." in text:
         for m in _SIGNED.finditer(text):
             if is_signed_token(m[1], m[2]):
                 spans.append((m.start(), m.end(), "signed_token"))
-    for m in _ENCODED.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
+    starts = [(m.start(), m.end(), False) for m in _ENCODED.finditer(text)]
+    if "M" in text or "b3Bl" in text:
+        starts += [(m.start(), m.end(), False) for m in _KEY_START.finditer(text)]
+    starts += [(m.start(), m.end(), True) for m in _HEX_START.finditer(text)]
+    done, block = 0, 0
+    for start, end, is_hex in sorted(starts):
+        while block < len(taken) and taken[block][1] <= start:
+            block += 1
+        if start < done or block < len(taken) and taken[block][0] <= start:
             continue
-        start, end, body = m.start(), m.end(), m[0]
-        if body[0] in "nr" and text[start - 1 : start] == "\\":
-            start, body = start + 1, body[1:]  # the break before it
-        kind = _structure(_base64(body)) if body[0] in "Mb" else None  # 0x30 0x8? or the magic's first byte
-        if not kind and body[0] in "Mb" and (wrapped := wrapped_key(text, start)):
-            end, kind = wrapped
-            taken.append((start, end))
-        if not kind and (h := _HEX_BLOB.fullmatch(body)) and len(body) % 2 == 0:
-            kind = _structure(bytes.fromhex(h[0]))
-        if kind:
-            spans.append((start, end, kind))
+        if is_hex:
+            found = (start, *wrapped) if (wrapped := wrapped_hex_key(text, start)) else None
+        else:
+            found = _encoded_key(text, start, end)
+        if found:
+            spans.append(found)
+            done = found[1]
     return spans
 
 
