@@ -249,6 +249,10 @@ SELECT hotel, CASE WHEN adults = 'NA' THEN 'NA' END AS rescued_adults,
 FROM bronze GROUP BY ALL""",
     "silver_table": f"{_TO_SILVER} SELECT {_SILVER_NAMES} FROM silver",
     "clustered_silver": f"{_TO_SILVER} SELECT {_SILVER_NAMES} FROM silver",
+    "skipped_bookings": f"""{_TO_SILVER} SELECT {_SILVER_NAMES} FROM silver
+WHERE hotel = 'City Hotel' AND arrival_date BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'""",
+    "repeated_bookings_found": f"""{_TO_SILVER} SELECT {_SILVER_NAMES} FROM silver WHERE reservation_id = (
+  SELECT reservation_id FROM silver GROUP BY reservation_id ORDER BY count(*) DESC, reservation_id LIMIT 1)""",
     "keys_with_null_token": f"""WITH {_SOURCE.strip()},
 keyed AS (SELECT hotel, {_KEY_WITH_TOKEN} AS k FROM bronze)
 SELECT hotel, count(*) AS row_count, count(DISTINCT k) AS distinct_keys, min(k) AS lowest_key

@@ -6,6 +6,7 @@ flagship, gold_hotel_month, goes from the star-schema tables to the answer in on
 """
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,7 @@ from roomledger.session import work_dir
 from roomledger.sources import ledger, star, tables
 from roomledger.sources.csvfolder import land_folder
 from roomledger.sources.landing import csv_batch, infer_schema, write_csv
+from roomledger.sources.skipping import SkippingTable
 from roomledger.streaming import actions as action_log, kept, scoring
 from roomledger.streaming.medallion import build_silver, count_rules, land_csv, rule_totals
 
@@ -200,6 +202,25 @@ def clustered_silver(spark, sf_dir):  # S8, S9
     return warehouse(spark, sf_dir).silver.select(*SILVER_COLUMNS)
 
 
+@query
+def skipped_bookings(spark, sf_dir):  # S9
+    """A hotel's month, from those files of a table along a Hilbert curve whose statistics allow it."""
+    table = SkippingTable(spark, work_dir(spark, "skipping"), ["hotel", "arrival_date"], ["reservation_id"])
+    table.add(warehouse(spark, sf_dir).silver_landed)
+    month = (date(TREND_YEAR, 3, 1), date(TREND_YEAR, 3, 31))
+    return table.read({"arrival_date": month}, {"hotel": CITY_HOTEL}).select(*SILVER_COLUMNS)
+
+
+@query
+def repeated_bookings_found(spark, sf_dir):  # S9, D2
+    """All rows with the most repeated key, from the files whose Bloom filters allow it."""
+    silver = warehouse(spark, sf_dir).silver_landed
+    table = SkippingTable(spark, work_dir(spark, "skipping"), ["hotel", "arrival_date"], ["reservation_id"])
+    table.add(silver)
+    key = silver.groupBy("reservation_id").count().orderBy(F.desc("count"), "reservation_id").first()[0]
+    return table.read(equals={"reservation_id": key}).select(*SILVER_COLUMNS)
+
+
 @query
 def keys_with_null_token(spark, sf_dir):  # P7
     rows = typed_bookings(warehouse(spark, sf_dir).bronze.select(*SOURCE_SCHEMA.names), null_token="<null>")
