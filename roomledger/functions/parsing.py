@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomledger.schemas import MONTH_NAMES
 
@@ -54,3 +55,12 @@ def date_from_parts(year, month, day) -> Column:
     in_range = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
     candidate = F.when(in_range, F.date_add(F.make_date(year, month, F.lit(1)), day - 1))
     return F.when(F.month(candidate) == month, candidate)
+
+
+def as_number(column: Column, kind: T.DataType) -> Column:
+    """A double in the order of the values: numbers, dates as days and instants as seconds since 1970-01-01."""
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        column = F.unix_micros(F.to_timestamp(F.concat(column.cast("string"), F.lit("+00:00")))) / 1_000_000
+    return column.cast("double")

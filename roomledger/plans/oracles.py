@@ -315,6 +315,19 @@ UNION ALL SELECT 'risk', count(*) FROM risk UNION ALL SELECT 'serving', count(*)
     "bronze_vs_silver": f"""{_TO_SILVER}
 SELECT (SELECT count(*) FROM bronze) AS bronze_rows, count(*) AS silver_rows,
   (SELECT count(*) FROM bronze) - count(*) AS dropped_rows FROM silver""",
+    "sketched_keys": f"""{_TO_SERVING}
+SELECT 'silver' AS layer, count(*) AS row_count, 0::BIGINT AS null_count, count(DISTINCT reservation_id) AS distinct_keys, true AS is_close FROM silver
+UNION ALL SELECT 'serving', count(*), 0, count(DISTINCT reservation_id), true FROM serving""",
+    "sketched_overlap": f"""{_TO_SERVING},
+a AS (SELECT DISTINCT reservation_id FROM silver), b AS (SELECT DISTINCT reservation_id FROM serving)
+SELECT (SELECT count(*) FROM a SEMI JOIN b USING (reservation_id)) AS both_keys,
+  (SELECT count(*) FROM a ANTI JOIN b USING (reservation_id)) AS silver_only,
+  (SELECT count(*) FROM b ANTI JOIN a USING (reservation_id)) AS serving_only,
+  true AS both_keys_close, true AS silver_only_close, true AS serving_only_close""",
+    "sketched_quantiles": f"""{_TO_SILVER}
+SELECT measure, share, CASE measure WHEN 'adr' THEN prices ELSE arrivals END AS row_count, true AS is_close
+FROM (SELECT count(adr) AS prices, count(arrival_date) AS arrivals FROM silver),
+  (SELECT unnest(['adr', 'arrival_date']) AS measure), (SELECT unnest([0.1, 0.5, 0.8, 0.99])::DOUBLE AS share)""",
     "key_uniqueness": f"""{_TO_SILVER}
 SELECT count(*) AS row_count, count(DISTINCT reservation_id) AS distinct_keys,
   count(*) = count(DISTINCT reservation_id) AS is_unique FROM silver""",

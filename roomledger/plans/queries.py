@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomledger.functions import sqlaccess
+from roomledger.functions.parsing import as_number
 from roomledger.functions.display import display_actions, display_reservations, to_json_rows
 from roomledger.operators import (
     actions as acts, features as feats, gold as golds, governance, metrics, model, profile, quality,
     risk as risks, serving as serves,
 )
+from roomledger.operators.sketches import SketchStore
 from roomledger.operators.silver import silver_bookings, typed_bookings
 from roomledger.schemas import (
     ANALYST, CITY_HOTEL, CITY_MANAGER, CATEGORICAL_FEATURES, ENGINEER, LABEL, MASKED_COLUMNS,
@@ -325,6 +327,60 @@ def serving_key_uniqueness(spark, sf_dir):  # A14, V4
     return profile.key_uniqueness(warehouse(spark, sf_dir).serving, "reservation_id")
 
 
+def _sketched(spark, sf_dir):
+    """The store of sketches of silver and serving, and both layers."""
+    w, store = warehouse(spark, sf_dir), SketchStore(spark, work_dir(spark, "sketches"))
+    store.add(w.silver, "silver", ["reservation_id"], ["adr", "arrival_date"])
+    store.add(w.serving, "serving", ["reservation_id"])
+    return store, w
+
+
+@query
+def sketched_keys(spark, sf_dir):  # A14, V4
+    """Distinct keys per layer from stored sketches, beside the exact count; close is within 4 %."""
+    store, w = _sketched(spark, sf_dir)
+    rows = [
+        store.distinct(name, "reservation_id")
+        .withColumn("distinct_keys", profile.key_uniqueness(df, "reservation_id").select("distinct_keys").scalar())
+        .select(F.lit(name).alias("layer"), "row_count", "null_count", "distinct_keys",
+                (F.abs(F.col("distinct_estimate") - F.col("distinct_keys")) <= 0.04 * F.col("distinct_keys")).alias("is_close"))
+        for name, df in (("silver", w.silver), ("serving", w.serving))
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def sketched_overlap(spark, sf_dir):  # D2, V4
+    """Keys in both layers and in one only, by theta sketches; close is within 4 % of all keys."""
+    store, w = _sketched(spark, sf_dir)
+    flags = [df.groupBy("reservation_id").agg(F.lit(i).alias("layer")) for i, df in enumerate((w.silver, w.serving))]
+    held = flags[0].unionByName(flags[1]).groupBy("reservation_id").agg(F.collect_set("layer").alias("layers"))
+    estimate = store.overlap("silver", "serving", "reservation_id").first()  # three numbers
+    exact = held.agg(
+        F.count_if(F.size("layers") == 2).alias("both_keys"), F.count_if(F.col("layers") == F.array(F.lit(0))).alias("silver_only"),
+        F.count_if(F.col("layers") == F.array(F.lit(1))).alias("serving_only"), F.count(F.lit(1)).alias("all_keys"))
+    close = lambda name, exact: (F.abs(F.lit(estimate[name]) - F.col(exact)) <= 0.04 * F.col("all_keys")).alias(f"{exact}_close")
+    return exact.select(
+        "both_keys", "silver_only", "serving_only", close("both", "both_keys"), close("left_only", "silver_only"),
+        close("right_only", "serving_only"))
+
+
+@query
+def sketched_quantiles(spark, sf_dir):  # M1, A3
+    """Quantiles of price and arrival from stored sketches; close is a rank within 1 % of the rows."""
+    store, w = _sketched(spark, sf_dir)
+    out = None
+    for column in ("adr", "arrival_date"):
+        number = as_number(F.col(column), w.silver.schema[column].dataType)
+        found = store.quantiles("silver", column, [0.1, 0.5, 0.8, 0.99]).collect()  # four numbers
+        held = F.count(number)
+        near = lambda r: (F.count_if(number < r.value) <= (r.share + 0.01) * held) & (F.count_if(number <= r.value) >= (r.share - 0.01) * held)
+        each = F.array(*[F.struct(F.lit(r.share).alias("share"), held.alias("row_count"), near(r).alias("is_close")) for r in found])
+        one = w.silver.agg(each.alias("each")).select(F.lit(column).alias("measure"), F.inline("each"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def duplicate_profile(spark, sf_dir):  # D2
     return profile.duplicate_profile(warehouse(spark, sf_dir).silver, "reservation_id")
