@@ -13,10 +13,8 @@ the edit was, and compares the shingles themselves of those that meet.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from itertools import repeat
-from tempfile import TemporaryFile
 
 import numpy as np
 import pandas as pd
@@ -36,7 +34,7 @@ RADIUS = 3
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 BANDS, BAND = 20, 5  # keys by which similar documents meet, of so many minimum hashes each: 0.04 % of pairs at 0.8 share none
 LOOSE = 5  # deviations below the average of equal minimum hashes that a pair may have and still be compared
-HELD = 4 << 20  # elements of a group of documents that a task keeps in memory; more are in a file without a name
+HELD = 4 << 20  # elements of a block of documents; a task compares two blocks. Results don't depend on it
 SHARD = 131_072  # fingerprints a shard is meant to hold
 SPLIT = 4 * SHARD  # a shard above this is compared block by block, in tasks of their own
 TREE_SAMPLE = 65_536  # fingerprints, on average, that vantage points and borders are chosen from; results don't depend on it
@@ -100,7 +98,15 @@ def elements(text: str | None, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
 
     So the weighted similarity of two texts is that of the sets of their elements.
     """
-    found = np.sort(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(_words(text), shingle)[1]]))
+    return _elements(_all_hashes(_words(text), shingle))
+
+
+def _all_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(words, shingle)[1]])
+
+
+def _elements(hashes: np.ndarray) -> np.ndarray:
+    found = np.sort(hashes)
     if len(found):
         first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
         nth = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
@@ -327,23 +333,32 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle:
 
 
 def banded(docs: DataFrame, keep: list[str], shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Kept columns of documents (with text), same (a digest of the words in order), keys of the bands, sketch (a byte of each minimum hash)."""
+    """Kept columns of documents (with text) and what they meet by.
+
+    These are same (a digest of the words in order), fp (SimHash of the shingles), keys of the bands, sketch (a byte
+    of each minimum hash) and n, the number of elements.
+    """
 
     def hash_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, keys, sketches = [], [], []
+        same, fps, keys, sketches, counts = [], [], [], [], []
         for text in batch.column(batch.num_columns - 1).to_pylist():
-            least = signature(elements(text, shingle))
-            same.append(xxh3_128_digest(b" ".join(_words(text))))
+            words = _words(text)
+            hashes = _all_hashes(words, shingle)
+            least = signature(_elements(hashes))
+            same.append(xxh3_128_digest(b" ".join(words)))
+            fps.append(_majority(len(hashes), (hashes[i : i + _STEP] for i in range(0, len(hashes), _STEP)), 1)[0])
             keys.append(np.array(band_keys(least), np.uint64).view(np.int64).tolist())
             sketches.append(sketch(least))
+            counts.append(len(hashes))
         return pa.RecordBatch.from_arrays([
-            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
-        ], names=[*batch.schema.names[:-1], "same", "keys", "sketch"])
+            *batch.columns[:-1], pa.array(same, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)),
+            pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(counts, pa.int64()),
+        ], names=[*batch.schema.names[:-1], "same", "fp", "keys", "sketch", "n"])
 
     bounded_batches(docs.sparkSession)
     chosen = docs.select(*keep, "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, keys array<long>, sketch binary")
+    return chosen.mapInArrow(in_batches(hash_batch), f"{fields}, same binary, fp long, keys array<long>, sketch binary, n long")
 
 
 class _Sketched(_Search):
@@ -362,36 +377,12 @@ class _Sketched(_Search):
         return found
 
 
-class _Elements:
-    """Elements of many documents, in memory up to HELD of them, else in a file that goes with this object."""
-
-    def __init__(self):
-        self.sizes, self.held, self.waiting, self.placed, self.end, self.file = [], 0, {}, {}, 0, None
-
-    def append(self, found: np.ndarray) -> None:
-        self.waiting[len(self.sizes)] = found
-        self.sizes.append(len(found))
-        self.held += len(found)
-        if self.held > HELD:
-            self.file = self.file or TemporaryFile()
-            for at, own in self.waiting.items():
-                self.placed[at] = self.end
-                self.end += self.file.write(own.tobytes())
-            self.file.flush()
-            self.waiting, self.held = {}, 0
-
-    def __getitem__(self, at: int) -> np.ndarray:
-        if at in self.waiting:
-            return self.waiting[at]
-        return np.frombuffer(os.pread(self.file.fileno(), 8 * self.sizes[at], self.placed[at]), np.uint64)
-
-
 class _Exact(_Sketched):
     """Documents that are similar by their elements."""
 
-    def __init__(self, sketches: list[bytes], similarity: float, elements_of: _Elements):
+    def __init__(self, sketches: list[bytes], similarity: float, elements_of: list[np.ndarray]):
         super().__init__(sketches, similarity)
-        self.similarity, self.elements, self.sizes = similarity, elements_of, np.array(elements_of.sizes)
+        self.similarity, self.elements, self.sizes = similarity, elements_of, np.array([len(own) for own in elements_of])
 
     def near(self, one: int, others: np.ndarray) -> np.ndarray:
         found = super().near(one, others)
@@ -446,23 +437,49 @@ def _compare_met(similarity: float):
     return compare
 
 
+def _near_prints(kinds: DataFrame, shard: int, split: int) -> DataFrame:
+    """Links (a, b) of nodes whose fingerprints are equal or within the radius, found by the tree."""
+    prints = materialize(kinds.groupBy("fp").agg(F.min("node").alias("holder")), "prints")
+    equal = kinds.join(prints, "fp").filter("node != holder").select(F.col("holder").alias("a"), F.col("node").alias("b"))
+    holder = lambda side: prints.select(F.col("fp").alias(side), F.col("holder").alias(f"of_{side}"))
+    near = linked_fingerprints(prints.select("fp"), RADIUS, shard, split)
+    near = near.join(holder("a"), "a").join(holder("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return equal.unionByName(near)
+
+
+def _in_blocks(members: DataFrame, held: int) -> DataFrame:
+    """The rows (root, node, n and more) with their tasks (root, i, j).
+
+    A root with more elements than a block may hold is cut into blocks by node, and every pair of different blocks
+    is a task.
+    """
+    size = F.sum(F.col("n") + 16)  # a document's other columns take memory too
+    large = members.groupBy("root").agg(F.ceil(size / F.lit(held)).cast("int").alias("blocks")).filter("blocks > 1")
+    blocks = F.coalesce("blocks", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    placed = members.join(large, "root", "left").select(
+        *members.columns, "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    placed = placed.filter("blocks IS NULL OR own != other")
+    return placed.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def _compare_groups(similarity: float):
-    """Function for mapInArrow that finds the links (a, b) in rows (root, node, sketch, text) ordered by root and node."""
+    """Function for mapInArrow that finds the links (a, b) in rows (root, i, j, node, sketch, text) in order of the first four."""
 
-    def links(nodes: list[int], sketches: list[bytes], found: _Elements) -> pa.RecordBatch:
+    def links(nodes: list[int], sketches: list[bytes], found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = _Exact(sketches, similarity, found).spanning(np.arange(len(nodes)))
         a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*pairs, strict=True) if pairs else ((), ())))
         named = np.array(nodes, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(named[a]), pa.array(named[b])], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, sketches, found = None, [], [], _Elements()
+        group, nodes, sketches, found = None, [], [], []
         for batch in batches:
-            for root, node, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if root != group:
+            for *task, node, own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if task != group:
                     if len(nodes) > 1:
                         yield links(nodes, sketches, found)
-                    group, nodes, sketches, found = root, [], [], _Elements()
+                    group, nodes, sketches, found = task, [], [], []
                 if not nodes or nodes[-1] != node:  # rows that repeat exactly come as often as they are there
                     nodes.append(node)
                     sketches.append(own)
@@ -473,23 +490,27 @@ def _compare_groups(similarity: float):
     return compare
 
 
-def similar_groups(hashed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD, split: int = SPLIT) -> DataFrame:
+def similar_groups(
+    hashed: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD, split: int = SPLIT, held: int = HELD,
+) -> DataFrame:
     """node, root of every row of a written table of banded documents with a number (node): groups of similar ones.
 
     ``texts`` has the text for each (__id, __text) of the table. Documents with the same words in the same order
-    are one from the start. Others meet where they share the key of a band: of pairs with similarity s,
-    (1 - s ** BAND) ** BANDS share none. Those whose sketches are alike enough are linked for a while, and what
-    is linked comes to one task with its texts. There two documents are similar by the weighted similarity of
-    their shingles itself, known by 64-bit hashes.
+    are one from the start. Others meet where their fingerprints are within the radius, or where they share the key
+    of a band and their sketches are alike enough: of pairs with similarity s, (1 - s ** BAND) ** BANDS share no key.
+    What meets is linked for a while. Linked documents come together with their texts, in pairs of blocks where they
+    are many, and two of them are similar by the weighted similarity of their shingles itself, known by 64-bit
+    hashes. A task holds two blocks in memory, and never less than one text.
     """
     first = materialize(hashed.groupBy("same").agg(F.min("node").alias("first")), "firsts")
     kinds = materialize(hashed.join(first.select(F.col("first").alias("node")), "node", "left_semi").drop("same"), "kinds")
-    loose = materialize(
-        _met(kinds, shard, split).groupBy("shard", "i", "j").applyInPandas(_compare_met(similarity), "a long, b long"), "loose")
-    members = materialize(kinds.join(components(loose), "node").select("__id", "__text", "root", "node", "sketch"), "members")
+    banded_links = _met(kinds, shard, split).groupBy("shard", "i", "j").applyInPandas(_compare_met(similarity), "a long, b long")
+    loose = materialize(_near_prints(kinds, shard, split).unionByName(banded_links), "loose")
+    members = materialize(kinds.join(components(loose), "node").select("__id", "__text", "root", "node", "sketch", "n"), "members")
     bounded_batches(hashed.sparkSession)
-    placed = texts.select("__id", "__text", "text").join(members, ["__id", "__text"]).select("root", "node", "sketch", "text")
-    placed = placed.repartition("root").sortWithinPartitions("root", "node")
+    task = ["root", "i", "j"]
+    placed = texts.select("__id", "__text", "text").join(_in_blocks(members, held), ["__id", "__text"])
+    placed = placed.select(*task, "node", "sketch", "text").repartition(*task).sortWithinPartitions(*task, "node")
     links = materialize(placed.mapInArrow(_compare_groups(similarity), "a long, b long"), "similar")
     roots = components(links).withColumnRenamed("node", "first")
     return hashed.select("node", "same").join(first, "same").join(roots, "first", "left").select(

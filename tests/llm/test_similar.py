@@ -75,9 +75,32 @@ def test_table_is_deduplicated_at_the_similarity(spark):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == brute.kept_of_similar(rows, 0.8)
 
 
-def test_elements_beyond_memory(monkeypatch):
-    monkeypatch.setattr(simhash, "HELD", 100)
-    found, wanted = simhash._Elements(), [simhash.elements(t) for _, t in cut_copies(0.9, 5)]
-    for own in wanted:
-        found.append(own)
-    assert found.file and all((found[i] == own).all() for i, own in enumerate(wanted))
+def test_a_group_is_compared_in_blocks(spark):
+    """Blocks of a few documents, and of less than one, give what one task gives."""
+    pick = random.Random(3)
+    words, rows = [f"w{i}" for i in range(300)], []
+    for i in range(25):  # a chain: neighbours are similar, the ends are not
+        rows.append((i, " ".join(words[6 * i : 6 * i + 150])))
+    rows += [(100 + i, " ".join([f"v{pick.randint(0, 9)}" for _ in range(i)])) for i in range(12)]
+    docs = spark.createDataFrame(rows, "node long, text string").withColumns({"__id": F.col("node"), "__text": F.xxhash64("text")})
+    texts = docs.select("__id", "__text", "text")
+    hashed = simhash.materialize(simhash.banded(docs, ["node", "__id", "__text"]), "banded")
+    whole = sorted(map(tuple, simhash.similar_groups(hashed, texts).collect()))
+    assert {root for node, root in whole if node < 25} == {0}
+    for held in (500, 50):
+        assert sorted(map(tuple, simhash.similar_groups(hashed, texts, held=held).collect())) == whole
+
+
+def test_near_fingerprints_meet_in_the_tree(spark):
+    """Documents whose fingerprints differ in three bits or fewer are linked before any band is read."""
+    pick, rows = random.Random(5), []
+    for g in range(30):
+        words = [f"w{pick.randint(0, 10**6)}" for _ in range(400)]
+        rows += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(words[:-1])), (10 * g + 2, " ".join(words[:300]))]
+    hashed = simhash.materialize(simhash.banded(spark.createDataFrame(rows, "node long, text string"), ["node"]), "banded")
+    fps = {r.node: np.uint64(r.fp & (1 << 64) - 1) for r in hashed.collect()}
+    assert all(int(fps[i]) == simhash.fingerprint(t, 5) for i, t in rows)
+    near = [(a, b) for a in fps for b in fps if a < b and int(fps[a] ^ fps[b]).bit_count() <= simhash.RADIUS]
+    linked = {tuple(sorted(r)) for r in simhash._near_prints(hashed, simhash.SHARD, simhash.SPLIT).collect()}
+    assert len(near) > 20 and linked <= set(near)
+    assert {n for pair in near for n in pair} == {n for pair in linked for n in pair}
