@@ -1,10 +1,13 @@
 """Cancellation classifier: fit, score, permutation importance."""
 
+import re
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from roomledger.operators.features import feature_lists, features
 from roomledger.operators.metrics import ranking_from_steps, score_steps
 from roomledger.operators.risk import stamp_scores
 from roomledger.schemas import LABEL
-from roomledger.sources.tables import numbered
+from roomledger.sources.tables import materialize, numbered
 
 
 @dataclass(frozen=True)
@@ -115,6 +118,24 @@ def score(
     return stamp_scores(scored, model_version, scored_at)
 
 
+def _paired(
+    rows: DataFrame, names: list[str], keep: list[str], order: Column, repeats: int, carried: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The numbered rows, and (other, repeat, row): the row that row is paired with in each repeat.
+
+    ``other`` holds the carried columns, the names if none are given.
+    """
+    carried = carried or names
+    base = numbered(rows.select(*dict.fromkeys([*keep, *names, *carried])), "row", order=[*dict.fromkeys([*keep, *names])])
+    total = base.count()
+    turns = base.drop("row").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    turned = numbered(turns.withColumn("_order", order), "place", order=["repeat", "_order", *names])
+    return base, turned.select(
+        F.struct(*carried).alias("other"), "repeat",
+        (F.col("place") - (F.col("repeat") - 1) * F.lit(total)).alias("row"),
+    )
+
+
 def permuted(
     rows: DataFrame, names: list[str], keep: list[str], order: Column, repeats: int = 5
 ) -> DataFrame:
@@ -125,15 +146,7 @@ def permuted(
     ``repeat`` and the rows' columns; ties are put in the order of the names. Both numberings are by
     ranges, so no task sorts all rows, and the copies are spread over all tasks.
     """
-    chosen = rows.select(*keep, *names)
-    base = numbered(chosen, "row", order=[*dict.fromkeys([*keep, *names])])
-    total = base.count()
-    turns = base.drop("row").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    turned = numbered(turns.withColumn("_order", order), "place", order=["repeat", "_order", *names])
-    other = turned.select(
-        F.struct(*names).alias("other"), "repeat",
-        (F.col("place") - (F.col("repeat") - 1) * F.lit(total)).alias("row"),
-    )
+    base, other = _paired(rows, names, keep, order, repeats)
     copies = base.join(other, "row").withColumn("feature", F.explode(F.array(*[F.lit(name) for name in names])))
     moved = copies.select(
         "feature", "repeat", *keep,
@@ -146,22 +159,72 @@ def permuted(
     return moved.unionByName(untouched)
 
 
+def trees_by_feature(model: PipelineModel) -> dict[str, list[int]]:
+    """For each feature the numbers of the trees that split by it."""
+    categorical, numeric = model_features(model)
+    found: dict[str, list[int]] = {name: [] for name in categorical + numeric}
+    inputs = [c.removesuffix("__index") for c in model.stages[-2].getInputCols()]
+    for number, tree in enumerate(model.stages[-1]._java_obj.trees()):
+        for place in {int(i) for i in re.findall(r"\(feature (\d+) ", tree.toDebugString())}:
+            found[inputs[place]].append(number)
+    return found
+
+
+def _with_margin(
+    model: GBTClassificationModel, df: DataFrame, inputs: list[str], name: str, trees: list[int] | None = None
+) -> DataFrame:
+    """The rows with what the trees, all unless numbered, add up to on the inputs."""
+    if trees is not None:
+        every, weights = model._java_obj.trees(), model.treeWeights
+        jvm = JavaWrapper._new_java_array
+        virtual = df.sparkSession.sparkContext._gateway.jvm
+        model = GBTClassificationModel(JavaWrapper._new_java_obj(
+            "org.apache.spark.ml.classification.GBTClassificationModel", f"{model.uid}_{name}",
+            jvm([every[t] for t in trees], virtual.org.apache.spark.ml.regression.DecisionTreeRegressionModel),
+            jvm([weights[t] for t in trees], virtual.double)))
+    renamed = {
+        model.featuresCol: f"{name}__vector", model.rawPredictionCol: f"{name}__raw", model.probabilityCol: "", model.predictionCol: ""}
+    scored = model.copy(renamed).transform(VectorAssembler(inputCols=inputs, outputCol=f"{name}__vector").transform(df))
+    return scored.withColumn(name, vector_to_array(F.col(f"{name}__raw"))[1]).drop(f"{name}__vector", f"{name}__raw")
+
+
 def permutation_scores(
     model: PipelineModel, test: DataFrame, label: str = LABEL, repeats: int = 5, seed: int = 42
 ) -> DataFrame:
     """feature, repeat, label, cancel_probability of the test rows and their permuted copies.
 
-    All rows take part, whatever their number.
+    All rows take part, whatever their number. A copy differs from its row only in what the trees that split
+    by the permuted feature say: only these run on it, and what they said of the row is replaced in the row's
+    sum. Sums are rounded to 12 places, so that scores which differ by rounding errors only are ties.
     """
     categorical, numeric = model_features(model)
-    names = categorical + numeric
-    rows = features(test, [label, "reservation_id"], categorical, numeric)
+    names, keep, trees = categorical + numeric, [label, "reservation_id"], trees_by_feature(model)
+    *encoders, assembler, boosted = model.stages
+    inputs = assembler.getInputCols()
+    rows = features(test, keep, categorical, numeric)
+    for encoder in encoders:
+        rows = encoder.transform(rows)
     order = F.xxhash64("repeat", F.lit(seed), "reservation_id")
-    scored = model.transform(permuted(rows, names, [label, "reservation_id"], order, repeats))
-    return scored.select(
-        "feature", "repeat", F.col(label).cast("int").alias("label"),
-        _probability().alias("cancel_probability"),
-    )
+    base, other = _paired(rows, names, keep, order, repeats, inputs)
+    base = _with_margin(boosted, base, inputs, "_margin")
+    used = [name for name in names if trees[name]]
+    for name in used:
+        base = _with_margin(boosted, base, inputs, f"_of_{name}", trees[name])
+    base = materialize(base, "margins")
+    pairs = base.join(other.select("row", "repeat", *[F.col(f"other.{c}").alias(f"_other_{c}") for c in inputs]), "row")
+    for name in used:
+        mixed = [f"_other_{c}" if c.removesuffix("__index") == name else c for c in inputs]
+        pairs = _with_margin(boosted, pairs, mixed, f"_now_{name}", trees[name])
+    sums = [F.struct(
+        F.lit(name).alias("feature"),
+        (F.col("_margin") - F.col(f"_of_{name}") + F.col(f"_now_{name}") if name in used else F.col("_margin")).alias("margin"),
+    ) for name in names]
+    columns = lambda feature, repeat, margin: [
+        feature.alias("feature"), repeat.alias("repeat"), F.col(label).cast("int").alias("label"),
+        (1 / (1 + F.exp(-2 * F.round(margin, 12)))).alias("cancel_probability"),
+    ]
+    moved = pairs.withColumn("sum", F.explode(F.array(*sums))).select(*columns(F.col("sum.feature"), F.col("repeat"), F.col("sum.margin")))
+    return moved.unionByName(base.select(*columns(F.lit(None).cast("string"), F.lit(0), F.col("_margin"))))
 
 
 def importance(scored: DataFrame, top: int = 15) -> DataFrame:

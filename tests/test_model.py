@@ -131,6 +131,29 @@ def test_permutation_only_moves_values(fitted, split):
     assert per_copy.count() == 1
 
 
+def test_only_trees_of_the_permuted_feature_run(fitted, split):
+    """Scores equal those of whole models on permuted rows, with fewer trees run."""
+    trees = m.trees_by_feature(fitted)
+    texts = [t.toDebugString for t in fitted.stages[-1].trees]
+    inputs = [c.removesuffix("__index") for c in fitted.stages[-2].getInputCols()]
+    for place, name in enumerate(inputs):
+        assert trees[name] == [i for i, text in enumerate(texts) if f"(feature {place} " in text]
+    assert sum(map(len, trees.values())) < len(texts) * len(inputs)
+
+    categorical, numeric = m.model_features(fitted)
+    names = categorical + numeric
+    rows = f.features(split[1], ["is_canceled", "reservation_id"], categorical, numeric)
+    order = F.xxhash64("repeat", F.lit(42), "reservation_id")
+    whole = fitted.transform(m.permuted(rows, names, ["is_canceled", "reservation_id"], order, 2)).select(
+        "feature", "repeat", F.col("is_canceled").cast("int").alias("label"), m._probability().alias("p"))
+    ordered = lambda df, p: sorted((r.feature or "", r["repeat"], r.label, round(r[p], 9)) for r in df.collect())
+    assert ordered(m.permutation_scores(fitted, split[1], repeats=2), "cancel_probability") == ordered(whole, "p")
+    rounded = whole.select("feature", "repeat", "label", F.round("p", 9).alias("cancel_probability"))  # rounding errors are no order
+    want = {r.feature: r.importance for r in m.importance(rounded).collect()}
+    got = {r.feature: r.importance for r in m.feature_importance(fitted, split[1], repeats=2).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_a_permuted_column_keeps_its_values(spark):
     df = spark.range(7000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
     copies = m.permuted(df, ["a", "b"], ["k"], F.xxhash64("repeat", "k"), repeats=2)
