@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roomledger.operators.actions import ACTION_COLUMNS, checked_actions
 from roomledger.schemas import ACTION_SCHEMA
-from roomledger.sources.tables import current_snapshot, exists, numbered, publish, read_snapshot
+from roomledger.sources.tables import current_snapshot, exists, numbered, publish, read_snapshot, remove
 
 STORED_SCHEMA = T.StructType([
     *ACTION_SCHEMA.fields,
@@ -32,6 +32,11 @@ def _compact_dir(log_dir: str) -> str:
     return f"{log_dir}_compact"
 
 
+def _notes_dir(log_dir: str) -> str:
+    """Beside the log: snapshots of the highest ids of older batches."""
+    return f"{log_dir}_notes"
+
+
 def _batches(spark: SparkSession, log_dir: str) -> DataFrame:
     if not exists(spark, log_dir):
         return spark.createDataFrame([], STORED_SCHEMA)
@@ -74,7 +79,14 @@ def append_actions(df: DataFrame, log_dir: str, batch: str | None = None) -> str
     A batch has a folder of its own, so repeating one after a failure replaces it and never adds
     its rows twice. The highest id of the batch is noted beside the log. Returns the batch's name.
     """
-    batch, spark = batch or uuid.uuid4().hex, df.sparkSession
+    batch = batch or uuid.uuid4().hex
+    folder = _write_batch(df, log_dir, batch)
+    written = df.sparkSession.read.schema(T.StructType([*ACTION_SCHEMA.fields, STORED_SCHEMA["valid"]])).parquet(folder)
+    _note(df.sparkSession, log_dir, batch, written.where("valid").agg(F.max("id")).first()[0])
+    return batch
+
+
+def _write_batch(df: DataFrame, log_dir: str, batch: str) -> str:
     folder = f"{log_dir}/batch={batch}"
     (
         checked_actions(df)
@@ -83,10 +95,23 @@ def append_actions(df: DataFrame, log_dir: str, batch: str | None = None) -> str
         .partitionBy("valid")
         .parquet(folder)
     )
-    written = spark.read.schema(T.StructType([*ACTION_SCHEMA.fields, STORED_SCHEMA["valid"]])).parquet(folder)
-    highest = written.where("valid").agg(F.max("id").alias("last"))
-    highest.coalesce(1).write.mode("overwrite").parquet(f"{_last_dir(log_dir)}/batch={batch}")
-    return batch
+    return folder
+
+
+def _note(spark: SparkSession, log_dir: str, batch: str, highest: int | None) -> None:
+    note = spark.range(0, 1, 1, 1).select(F.lit(highest).cast("long").alias("last"))
+    note.write.mode("overwrite").parquet(f"{_last_dir(log_dir)}/batch={batch}")
+
+
+def _notes(spark: SparkSession, log_dir: str) -> DataFrame:
+    """(last, batch) of every batch; a note of its own goes before one in the snapshot."""
+    own = spark.createDataFrame([], LAST_SCHEMA)
+    if exists(spark, _last_dir(log_dir)):
+        own = spark.read.schema(LAST_SCHEMA).parquet(_last_dir(log_dir))
+    if current_snapshot(spark, _notes_dir(log_dir)) is None:
+        return own
+    older = read_snapshot(spark, _notes_dir(log_dir)).select(*LAST_SCHEMA.names)
+    return older.join(own.select("batch"), "batch", "left_anti").select(*LAST_SCHEMA.names).unionByName(own)
 
 
 def last_id(spark: SparkSession, log_dir: str, without: str | None = None) -> int:
@@ -94,9 +119,7 @@ def last_id(spark: SparkSession, log_dir: str, without: str | None = None) -> in
 
     A batch that is being repeated is left out, so that it gets the ids it had.
     """
-    if not exists(spark, _last_dir(log_dir)):
-        return 0
-    noted = spark.read.schema(LAST_SCHEMA).parquet(_last_dir(log_dir))
+    noted = _notes(spark, log_dir)
     if without is not None:
         noted = noted.where(F.col("batch") != without)
     return noted.agg(F.max("last")).first()[0] or 0
@@ -105,13 +128,19 @@ def last_id(spark: SparkSession, log_dir: str, without: str | None = None) -> in
 def record_actions(df: DataFrame, log_dir: str, batch: str | None = None) -> DataFrame:
     """Append actions, numbering those without an id after the highest in the log.
 
-    The rows come back as they were written. For one writer at a time, like any counter kept in a table.
+    One pass tells the highest id and whether any is missing, and only then are rows put in order to be
+    numbered. Where all have ids the other pass is the writing. The rows come back as they were
+    written. For one writer at a time, like any counter kept in a table.
     """
-    spark = df.sparkSession
-    given = df.agg(F.max("id")).first()[0] or 0
-    with_ids = assign_ids(df, max(given, last_id(spark, log_dir, batch)) + 1)
-    written = append_actions(with_ids, log_dir, batch)
-    return _batches(spark, log_dir).where((F.col("batch") == written) & F.col("valid")).select(*ACTION_COLUMNS)
+    spark, batch = df.sparkSession, batch or uuid.uuid4().hex
+    given, missing, valid = checked_actions(df).agg(
+        F.max("id"), F.count_if(F.col("id").isNull()), F.max(F.when(F.col("reason").isNull(), F.col("id")))).first()
+    if missing:
+        append_actions(assign_ids(df, max(given or 0, last_id(spark, log_dir, batch)) + 1), log_dir, batch)
+    else:
+        _write_batch(df, log_dir, batch)
+        _note(spark, log_dir, batch, valid)
+    return _batches(spark, log_dir).where((F.col("batch") == batch) & F.col("valid")).select(*ACTION_COLUMNS)
 
 
 def action_stream(source: DataFrame, log_dir: str, checkpoint: str) -> StreamingQuery:
@@ -137,5 +166,12 @@ def compact_actions(spark: SparkSession, log_dir: str, keep: int = 2) -> int:
 
     A reservation's actions are then read from few files. Batches written later are read beside it
     until the next compaction. The batches themselves stay, so a stream can still repeat its last one.
+    The notes of highest ids are put into one table too, and their files go.
     """
-    return publish(_stored(spark, log_dir), _compact_dir(log_dir), None, ["reservation_id", "acted_at"], keep=keep)
+    number = publish(_stored(spark, log_dir), _compact_dir(log_dir), None, ["reservation_id", "acted_at"], keep=keep)
+    if exists(spark, _last_dir(log_dir)):
+        own = spark.read.schema(LAST_SCHEMA).parquet(_last_dir(log_dir)).select("batch").collect()  # names of new batches
+        publish(_notes(spark, log_dir), _notes_dir(log_dir), None, ["batch"], keep=keep)
+        for row in own:
+            remove(spark, f"{_last_dir(log_dir)}/batch={row.batch}")
+    return number

@@ -162,6 +162,32 @@ def test_log_round_trip(spark, folder, raw_actions):
     assert log.read_actions(spark, f"{folder}/log").count() == 7
 
 
+def test_notes_are_compacted_and_a_batch_can_be_repeated(spark, folder, raw_actions):
+    nameless = raw_actions.withColumn("id", F.lit(None).cast("long"))
+    path = f"{folder}/log"
+    first = sorted(log.record_actions(nameless, path, "b0").collect(), key=str)
+    log.record_actions(nameless, path, "b1")
+    highest = log.last_id(spark, path)
+    for _ in range(2):
+        log.compact_actions(spark, path)
+        assert log.last_id(spark, path) == highest
+        assert spark.read.schema(log.LAST_SCHEMA).parquet(f"{path}_last").count() == 0  # no file per batch is left
+    assert log.last_id(spark, path, "b1") < highest
+    second = sorted(r.id for r in log.record_actions(nameless, path, "b1").collect())  # run again after compaction
+    assert second[0] > max(r.id for r in first) and log.last_id(spark, path) == highest
+    log.record_actions(nameless, path, "b2")
+    assert log.last_id(spark, path) > highest
+
+
+def test_actions_with_ids_are_written_without_an_order(spark, folder, raw_actions, monkeypatch):
+    monkeypatch.setattr(log, "numbered", None)  # must not be needed
+    written = log.record_actions(raw_actions, f"{folder}/log", "b0")
+    assert sorted(r.id for r in written.collect()) == [1, 2, 3, 4, 5]
+    assert log.last_id(spark, f"{folder}/log") == 5  # refused rows don't count
+    assert log.record_actions(raw_actions.limit(0), f"{folder}/log", "b1").count() == 0
+    assert log.last_id(spark, f"{folder}/log") == 5
+
+
 def test_ids_are_consecutive_over_many_tasks(spark):
     df = spark.range(0, 1000, numPartitions=7).select(
         F.when(F.col("id") % 10 == 0, F.col("id") + 5000).alias("id"),
