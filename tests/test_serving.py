@@ -187,3 +187,22 @@ def test_display(spark):
         "reservation_id string, action_type string, note string, acted_by string, acted_at timestamp",
     )
     assert tuple(display_actions(actions).first())[:2] == ("0123456789ab", "deposit requested")
+
+
+def test_keys_are_shuffled_packed(spark):
+    from roomledger.functions.keys import packed_key
+
+    hashes = ["ab" * 32, "AB" * 32, "abc", "0abc", "", "gone", "é", None]
+    risk = spark.createDataFrame([(k, "h", 0.5, "medium", 1, None) for k in hashes],
+                                 "reservation_id string, hotel string, cancel_probability double, risk_band string, model_version int, scored_at timestamp")
+    types = "reservation_id string, arrival_date date, lead_time int, adr decimal(10,2), market_segment string, adults int, children int, babies int, deposit_type string, customer_type string"
+    silver = spark.createDataFrame([(k, None, i, *[None] * 7) for i, k in enumerate(hashes)], types)
+    out = s.build_serving(risk, silver)
+    assert {(x.reservation_id, x.lead_time) for x in out.collect()} == {
+        (k, i if k is not None else None) for i, k in enumerate(hashes)}
+    one = s.one_per_key(silver, "reservation_id", ["lead_time"])
+    assert {tuple(x) for x in one.collect()} == set(zip(hashes, range(len(hashes))))
+    packed = silver.select(F.length(packed_key(silver, "reservation_id"))).first()[0]
+    assert packed == 33
+    numbers = spark.createDataFrame([(1, 2), (1, 3), (None, 1)], "k int, v int")
+    assert {tuple(x) for x in s.one_per_key(numbers, "k", ["v"]).collect()} == {(1, 3), (None, 1)}
