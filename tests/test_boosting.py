@@ -131,3 +131,20 @@ def test_edges(spark, rows):
     assert len(boost(odd, [], [], NUMERIC, "y", growth)[1]) == 3
     wide = boost(many, ["many__index"], [1200], ["b"], "y", growth)
     assert wide[2].kind == np.uint16 and len(wide[1]) == 3
+
+
+def test_joint_counts_are_the_sums_of_each_feature():
+    from roomledger.operators import boosting as b
+
+    rng, how = np.random.default_rng(3), b.Binning((3, 9, 300), ((0.5,), tuple(map(float, range(254))), ()))
+    bins = np.array([rng.integers(0, size, 500) for size in how.sizes], how.kind)
+    worker = b._Worker(np.zeros(500), bins, how, b.Growth(1, 0.1, 2, 4, 1, 255), lambda own: own)
+    worker.g, worker.h = rng.random(500), rng.random(500)
+    rows, slot = np.arange(0, 500, 2), rng.integers(0, 3, 250)
+    got = worker.histogram(rows, slot, 3)
+    for f, size in enumerate(how.sizes):
+        for kind, of in enumerate((worker.g, worker.h, np.ones(500))):
+            expected = np.zeros((3, size))
+            np.add.at(expected, (slot, bins[f, rows]), of[rows])
+            assert np.allclose(got[kind, :, worker.offsets[f] : worker.offsets[f + 1]], expected)
+    assert len(worker.groups) < len(how.sizes) and sorted(f for g in worker.groups for f in g) == list(range(len(how.sizes)))
