@@ -89,3 +89,18 @@ def test_one_per_key_is_the_batch_survivor(spark, folder):
         spark.createDataFrame(rows, "k string, a int, b string").coalesce(1).write.mode("append").parquet(f"{folder}/rows")
     kept.keep_one_per_key(stream(spark, f"{folder}/rows"), "k", ["a", "b"], f"{folder}/one", f"{folder}/cp").awaitTermination()
     same(kept.read_kept(spark, f"{folder}/one", ["k"]), one_per_key(spark.read.parquet(f"{folder}/rows"), "k", ["a", "b"]))
+
+
+def test_batches_are_parts_of_the_rows_without_a_shuffle(spark, folder):
+    from roomledger.plans import queries
+
+    rows, seen = spark.range(50).selectExpr("id AS k", "id % 7 AS v").unionByName(spark.range(5).selectExpr("id AS k", "id AS v")), []
+
+    def keep(stream):
+        seen.append(sorted(tuple(r) for r in spark.read.parquet(f"{folder}/rows").collect()))
+        return kept.keep_one_per_key(stream, "k", ["v"], f"{folder}/one", f"{folder}/cp")
+
+    queries._in_batches(spark, rows, f"{folder}/rows", keep)
+    assert len(seen) == 3 and 0 < len(seen[0]) < len(seen[1]) < 55
+    assert seen[2] == sorted(tuple(r) for r in rows.collect())
+    assert kept.read_kept(spark, f"{folder}/one", ["k"]).count() == 50
