@@ -46,10 +46,21 @@ _ADR = (
 
 
 LINE_COLUMNS = [
-    "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", "adr",
-    "rescued", "arrives_on", "booked_on", "o_orderstatus", "o_orderpriority", "o_custkey", "c_mktsegment", "n_name",
+    "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "in_city", "marks", "adr", "rescued", "arrives_on",
+    "booked_on", "o_orderstatus", "o_orderpriority", "o_custkey", "c_mktsegment", "n_name",
 ]
-BY_ARRIVAL = ["l_linestatus", "arrives_on"]  # what hotel and arrival_date of a booking come from
+BY_ARRIVAL = ["in_city", "arrives_on"]  # what hotel and arrival_date of a booking come from
+# What a booking asks of its line by yes or no: one number to shuffle instead of four columns.
+MARKS = {"canceled": "l_returnflag = 'R'", "no_deposit": "l_tax < 0.03D", "refundable": "l_tax < 0.06D", "by_company": "l_tax > 0.05D"}
+
+
+def _marks() -> Column:
+    """A bit for each mark that is true; what is unknown is not."""
+    return sum((F.when(F.expr(test), 1 << bit).otherwise(0) for bit, test in enumerate(MARKS.values())), F.lit(0))
+
+
+def _marked(name: str) -> Column:
+    return F.getbit("marks", F.lit(list(MARKS).index(name))) == 1
 
 
 def booked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +79,8 @@ def booked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").withColumns({
         "arrives_on": F.col("l_shipdate").cast("date"),
         "adr": F.expr(_ADR),
+        "in_city": F.coalesce(F.col("l_linestatus") == "O", F.lit(False)),
+        "marks": _marks(),
         "rescued": F.when(F.col("l_discount") > 0.095, F.col("l_discount").cast("string")),
     })
     return lines.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).select(*LINE_COLUMNS)
@@ -80,10 +93,10 @@ def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_bookings(lines: DataFrame, sf_dir: str) -> DataFrame:
     """Booked lines as raw bookings, in the order of the lines. One booked in February appears twice, an exact duplicate."""
-    status = F.when(F.col("l_returnflag") == "R", "Canceled").otherwise("Check-Out")
+    status = F.when(_marked("canceled"), "Canceled").otherwise("Check-Out")
     derived = {
-        "hotel": F.when(F.col("l_linestatus") == "O", "City Hotel").otherwise("Resort Hotel"),
-        "is_canceled": F.when(F.col("l_returnflag") == "R", 1).otherwise(0),
+        "hotel": F.when(F.col("in_city"), "City Hotel").otherwise("Resort Hotel"),
+        "is_canceled": F.when(_marked("canceled"), 1).otherwise(0),
         "lead_time": F.abs(F.datediff("arrives_on", "booked_on")) % 400,
         "arrival_date_year": F.year("arrives_on"),
         "arrival_date_month": F.date_format("arrives_on", "MMMM"),
@@ -104,18 +117,18 @@ def as_bookings(lines: DataFrame, sf_dir: str) -> DataFrame:
         "reserved_room_type": _room(F.col("l_partkey")),
         "assigned_room_type": _room(F.col("l_partkey") + F.col("l_linenumber")),
         "booking_changes": _remainder("l_linenumber", 5),
-        "deposit_type": F.when(F.col("l_tax") < 0.03, "No Deposit")
-        .when(F.col("l_tax") < 0.06, "Refundable")
+        "deposit_type": F.when(_marked("no_deposit"), "No Deposit")
+        .when(_marked("refundable"), "Refundable")
         .otherwise("Non Refund"),
         "agent": F.col("l_suppkey").cast("string"),
-        "company": F.when(F.col("l_tax") > 0.05, F.col("l_partkey").cast("string")),
+        "company": F.when(_marked("by_company"), F.col("l_partkey").cast("string")),
         "days_in_waiting_list": _remainder("l_suppkey", 7),
         "customer_type": F.col("o_orderstatus"),
         "adr": F.col("adr"),
         "required_car_parking_spaces": _remainder("l_partkey", 2),
         "total_of_special_requests": _remainder("l_suppkey", 5),
         "reservation_status": status,
-        "reservation_status_date": F.when(F.col("l_returnflag") == "R", F.col("booked_on"))
+        "reservation_status_date": F.when(_marked("canceled"), F.col("booked_on"))
         .otherwise(F.col("arrives_on")),
     }
     copies = F.when(F.month("booked_on") == 2, 2).otherwise(1)
