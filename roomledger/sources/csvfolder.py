@@ -25,6 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from roomledger.functions.parsing import soft_cast
 from roomledger.schemas import SOURCE_SCHEMA
 from roomledger.sources.landing import BAD_LINE, header_names
+from roomledger.sources.tables import stored
 
 RANGE = 64 << 20  # bytes of a file, or of several small ones, that a task reads
 CHUNK = 4 << 20  # bytes parsed at once
@@ -258,7 +259,7 @@ def land_folder(
     run after a failed one repeats that batch and no more; files that came since are for the next run.
     """
     def land(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/landed={number}")
+        stored(batch).mode("overwrite").parquet(f"{out_dir}/landed={number}")
 
     return (
         folder_stream(spark, src_dir, os.path.join(checkpoint, "files"), schema, range_bytes)

@@ -3,7 +3,7 @@
 import csv
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from roomledger.schemas import SOURCE_SCHEMA
 BAD_LINE = "_corrupt_record"
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 FILES_PER_BATCH = 10_000  # bounds a batch, drops nothing
+FILE_ROWS = 1_000_000  # a compressed file is read by one task
 
 
 def infer_schema(spark: SparkSession, path: str, sampling_ratio: float = 1.0) -> T.StructType:
@@ -37,11 +38,11 @@ def headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """header, files: the files of each distinct first line.
 
     The first line of a file is the one with the lowest number in its first block; the numbers are
-    found with one long per file, then the lines themselves are fetched by them.
+    found with one long per file, then sent to where the lines are, so no other line leaves its task.
     """
     lines = _lines(spark, paths).where("block = 0")
     first = lines.groupBy("file").agg(F.min("line").alias("line"))
-    return lines.join(first, ["file", "line"]).groupBy(F.col("value").alias("header")).agg(
+    return lines.join(F.broadcast(first), ["file", "line"]).groupBy(F.col("value").alias("header")).agg(
         F.collect_list("file").alias("files")
     )
 
@@ -126,6 +127,11 @@ def file_stream(spark: SparkSession, src_dir: str, files_per_batch: int = FILES_
     )
 
 
-def write_csv(df: DataFrame, path: str, schema: T.StructType = SOURCE_SCHEMA) -> None:
-    """Source columns as CSV with a header, one file per task."""
-    df.select(*schema.names).write.option("header", True).csv(path)
+def csv_files(df: DataFrame, compression: str = "none") -> DataFrameWriter:
+    """Writer of CSV files with a header. Only plain ones can be read in byte ranges."""
+    return df.write.options(header=True, compression=compression, maxRecordsPerFile=FILE_ROWS)
+
+
+def write_csv(df: DataFrame, path: str, schema: T.StructType = SOURCE_SCHEMA, compression: str = "none") -> None:
+    """Source columns as CSV with a header, a file per task or more."""
+    csv_files(df.select(*schema.names), compression).csv(path)

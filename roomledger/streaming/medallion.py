@@ -13,6 +13,7 @@ from roomledger.operators.quality import BOOKING_RULES, apply_rules, rule_counts
 from roomledger.operators.silver import typed_bookings
 from roomledger.schemas import BRONZE_SCHEMA, SOURCE_SCHEMA
 from roomledger.sources.landing import FILES_PER_BATCH, csv_batch, file_stream
+from roomledger.sources.tables import stored
 
 LANDED = "landed"  # bronze's folders, one per batch
 
@@ -22,6 +23,7 @@ def append_parquet(stream: DataFrame, out_dir: str, checkpoint: str, name: str)
     return (
         stream.writeStream.queryName(name)
         .format("parquet")
+        .option("compression", "zstd")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -41,7 +43,7 @@ def land_csv(
         files = [row.path for row in batch.collect()]  # names of at most files_per_batch files
         if files:
             rows = csv_batch(batch.sparkSession, files, schema)
-            rows.write.mode("overwrite").parquet(f"{out_dir}/{LANDED}={number}")
+            stored(rows).mode("overwrite").parquet(f"{out_dir}/{LANDED}={number}")
 
     return (
         file_stream(spark, src_dir, files_per_batch)
