@@ -129,7 +129,9 @@ def _paired(
     base = numbered(rows.select(*dict.fromkeys([*keep, *names, *carried])), "row", order=[*dict.fromkeys([*keep, *names])])
     total = base.count()
     turns = base.drop("row").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    turned = numbered(turns.withColumn("_order", order), "place", order=["repeat", "_order", *names])
+    # the order may look at every column, what is sorted has only those that are carried or break ties
+    ordered = turns.withColumn("_order", order).select(*dict.fromkeys(["repeat", "_order", *names, *carried]))
+    turned = numbered(ordered, "place", order=["repeat", "_order", *names])
     return base, turned.select(
         F.struct(*carried).alias("other"), "repeat",
         (F.col("place") - (F.col("repeat") - 1) * F.lit(total)).alias("row"),
