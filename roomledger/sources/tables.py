@@ -102,7 +102,8 @@ def numbered(df: DataFrame, column: str, start: int = 1, order: list | None = No
         .select("task", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     )
     in_task = F.col("_place") - F.shiftleft("_task", 33)
-    return placed.join(starts, F.col("_task") == F.col("task")).withColumn(
+    # one row per task is sent to the rows; by its size alone the planner would shuffle the rows to it
+    return placed.join(F.broadcast(starts), F.col("_task") == F.col("task")).withColumn(
         column, F.lit(start) + F.col("before") + in_task
     ).select(*[c for c in df.columns if c != column], column)
 
