@@ -12,17 +12,17 @@ import gc
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.arrow import bounded_batches, in_batches
+from roomledger.llm.arrow import bounded_batches, in_batches, once_per_worker
 from roomledger.llm.pieces import Cutter, piece_patterns
 
-STORE = 300_000  # pre-tokens a worker keeps encoded, some 400 bytes each
+STORE = 50_000  # pre-tokens, some 400 bytes each, after which a worker's store begins anew, keeping those as its older half
+CHUNK = 1 << 19  # characters whose pre-tokens are merged at once
 _GAP = -1  # symbol between two pre-tokens
 
 
@@ -137,40 +137,46 @@ class Vocabulary:
         return b"".join([text[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
+@once_per_worker
 def vocabulary(path: str) -> Vocabulary:
     """A worker's vocabulary; read once per process."""
     return Vocabulary(path)
 
 
 class Store:
-    """Bounded store of pre-tokens encoded by this worker: ids as text and as decoded bytes."""
+    """Bounded store of pre-tokens encoded by this worker: ids as text and as decoded bytes.
+
+    What is met again moves from the older half to the newer one, so frequent pre-tokens stay.
+    """
 
     def __init__(self, words: Vocabulary):
         self.words = words
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
-        self.keep(())
+        self.age()
 
-    def keep(self, pieces) -> None:
-        """Forget all but these pre-tokens and the added tokens."""
-        ids = {p: self.ids[p] for p in pieces}
-        decoded = {p: self.decoded[p] for p in pieces}
+    def age(self) -> None:
+        """Forget the older half; the newer one takes its place."""
+        self.older = self.ids, self.decoded
+        self.ids, self.decoded = {}, {}
         for content, i in self.words.added.items():
-            ids[content], decoded[content] = str(i), self.words.decode([i])
-        self.ids, self.decoded = ids, decoded
+            self.ids[content], self.decoded[content] = str(i), self.words.decode([i])
 
     def learn(self, parts: list[list[str]]) -> None:
-        """Encode the pre-tokens of the parts that the store doesn't hold."""
-        known = self.ids
-        new = list(set().union(*parts).difference(known))
-        digits, text, decoded = self.words.digits, self.words.text, self.decoded
+        """Have all pre-tokens of the parts in the newer half, and encode those that the store doesn't hold."""
+        known, decoded = self.ids, self.decoded
+        older_ids, older_decoded = self.older
+        missing = set().union(*parts).difference(known)
+        for piece in older_ids.keys() & missing:
+            known[piece], decoded[piece] = older_ids[piece], older_decoded[piece]
+        new = list(missing.difference(older_ids))
+        digits, text = self.words.digits, self.words.text
         for piece, ids in zip(new, self.words.encode([p.encode() for p in new]), strict=True):
             known[piece] = ",".join([digits[i] for i in ids])
             decoded[piece] = b"".join([text[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
+@once_per_worker
 def store(path: str) -> Store:
     return Store(vocabulary(path))
 
@@ -205,8 +211,8 @@ def encode_texts(path: str, cutter: Cutter, texts: list[str | None]) -> Iterator
         known.learn([part for _, part in waiting])
         for at, part in waiting:
             digests[at].add(part, known.ids, known.decoded)
-        if len(known.ids) > STORE:  # the latest texts' pre-tokens have the frequent ones among them
-            known.keep(set().union(*(part for _, part in waiting)))
+        if len(known.ids) > STORE:
+            known.age()
         waiting.clear()
 
     for at, text in enumerate(texts):
@@ -248,7 +254,7 @@ def encoded_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         gc.disable()  # millions of small lists, none of them in a cycle
         try:
-            rows = list(encode_texts(path, Cutter(patterns, added), batch.column(1).to_pylist()))
+            rows = list(encode_texts(path, Cutter(patterns, added, CHUNK), batch.column(1).to_pylist()))
         finally:
             gc.enable()
         return pa.RecordBatch.from_arrays([

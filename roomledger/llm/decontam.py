@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
-from roomledger.llm.arrow import bounded_batches
+from roomledger.llm.arrow import bounded_batches, handed_back
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -216,7 +216,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_
                         pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
                     ], names=["doc_id", "item_id", "similarity", "start_word", "n_words"])
 
-        hits = chosen.mapInArrow(search, schema)
+        hits = chosen.mapInArrow(handed_back(search), schema)
         out = hits if number == 0 else out.union(hits)
     return out
 
@@ -234,5 +234,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 keep = [not _index(name, items).matches(text) for text in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(clean, schema)
+        docs = docs.mapInArrow(handed_back(clean), schema)
     return docs

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomledger.llm.arrow import bounded_batches, in_batches
+from roomledger.llm.arrow import bounded_batches, in_batches, once_per_worker
 
 SAMPLES = 64  # texts per language whose middles are learned from
 SNIPPET = 1500  # code points taken from each of them
@@ -222,7 +222,7 @@ class Model:
         return languages, scores, bits
 
 
-@lru_cache(maxsize=2)
+@once_per_worker
 def _model(sample: tuple) -> Model:
     return Model({language: list(texts) for language, texts in sample})
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from roomledger.llm.arrow import bounded_batches, in_batches
+from roomledger.llm.arrow import bounded_batches, handed_back, in_batches
 from roomledger.llm.components import components
 from roomledger.session import work_dir
 from roomledger.sources.tables import materialize
@@ -511,7 +511,7 @@ def similar_groups(
     task = ["root", "i", "j"]
     placed = texts.select("__id", "__text", "text").join(_in_blocks(members, held), ["__id", "__text"])
     placed = placed.select(*task, "node", "sketch", "text").repartition(*task).sortWithinPartitions(*task, "node")
-    links = materialize(placed.mapInArrow(_compare_groups(similarity), "a long, b long"), "similar")
+    links = materialize(placed.mapInArrow(handed_back(_compare_groups(similarity)), "a long, b long"), "similar")
     roots = components(links).withColumnRenamed("node", "first")
     return hashed.select("node", "same").join(first, "same").join(roots, "first", "left").select(
         "node", F.coalesce("root", "first").alias("root"))
