@@ -10,15 +10,20 @@ def stamp_scores(
     scored: DataFrame, model_version: int | Column, scored_at: Column | None = None
 ) -> DataFrame:
     """Scores with their band, model version and scoring time: the reservation_risk table."""
+    return with_stamp(scored, model_version, scored_at).select(
+        "reservation_id", "hotel", "cancel_probability", "risk_band", "model_version", "scored_at")
+
+
+def with_stamp(
+    scored: DataFrame, model_version: int | Column, scored_at: Column | None = None
+) -> DataFrame:
+    """All columns of the scored rows, and beside them band, model version and scoring time."""
     version = model_version if isinstance(model_version, Column) else F.lit(model_version)
-    return scored.select(
-        "reservation_id",
-        "hotel",
-        "cancel_probability",
-        risk_band("cancel_probability").alias("risk_band"),
-        version.cast("int").alias("model_version"),
-        (F.current_timestamp() if scored_at is None else scored_at).alias("scored_at"),
-    )
+    return scored.withColumns({
+        "risk_band": risk_band("cancel_probability"),
+        "model_version": version.cast("int"),
+        "scored_at": F.current_timestamp() if scored_at is None else scored_at,
+    })
 
 
 def risk_band_summary(risk: DataFrame) -> DataFrame:

@@ -29,14 +29,21 @@ def one_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.groupBy(packed_key(df, key).alias("_key")).agg(best).select(unpacked_key(df, key, "_key").alias(key), "best.*")
 
 
-def build_serving(risk: DataFrame, silver: DataFrame) -> DataFrame:
+def build_serving(risk: DataFrame, silver: DataFrame | None = None) -> DataFrame:
     """One row per reservation: its score joined to its booking detail.
 
     Both sides are brought down to one row per key before they meet. Joining first would turn k
     copies of a booking into k * k rows. Either side leaves its aggregate already partitioned by
-    the packed key, so the join itself shuffles nothing.
+    the packed key, so the join itself shuffles nothing. Without ``silver`` the details are further columns
+    of the scored rows; then one aggregate finds the greatest of both, and a key is shuffled once.
     """
     key = "reservation_id"
+    if silver is None:
+        best = risk.groupBy(packed_key(risk, key).alias("_key")).agg(
+            F.max(F.struct(*SCORE_COLUMNS)).alias("score"), F.max(F.struct(*DETAIL_COLUMNS)).alias("detail"))
+        detail = F.when(F.col("_key").isNotNull(), F.col("detail")).alias("detail")  # as a null key joins nothing
+        parts = best.select(unpacked_key(risk, key, "_key").alias(key), "score.*", detail)
+        return parts.select("*", "detail.*").select(*SERVING_COLUMNS)
     scores = risk.select(packed_key(risk, key).alias("_key"), *SCORE_COLUMNS)
     details = silver.select(packed_key(silver, key).alias("_key"), *DETAIL_COLUMNS)
     joined = one_per_key(scores, "_key", SCORE_COLUMNS).join(one_per_key(details, "_key", DETAIL_COLUMNS), "_key", "left")

@@ -7,7 +7,7 @@ The operators run on any bookings table; this adapter makes one from ``lineitem`
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.operators.risk import stamp_scores
+from roomledger.operators.risk import stamp_scores, with_stamp
 from roomledger.schemas import SOURCE_SCHEMA
 
 SCORED_AT = "2026-01-01 00:00:00"
@@ -153,9 +153,17 @@ def formula_score() -> Column:
 
 def formula_risk(silver: DataFrame) -> DataFrame:
     """reservation_risk with the stand-in score and a version that varies by row."""
+    return stamp_scores(*_formula_scored(silver))
+
+
+def formula_scored(silver: DataFrame) -> DataFrame:
+    """Silver with the columns of its ``formula_risk`` beside its own."""
+    return with_stamp(*_formula_scored(silver))
+
+
+def _formula_scored(silver: DataFrame) -> tuple[DataFrame, Column, Column]:
     scored = silver.withColumn("cancel_probability", formula_score())
-    version = 1 + F.col("lead_time") % 3
-    return stamp_scores(scored, version, F.lit(SCORED_AT).cast("timestamp"))
+    return scored, 1 + F.col("lead_time") % 3, F.lit(SCORED_AT).cast("timestamp")
 
 
 def _action_type() -> Column:
